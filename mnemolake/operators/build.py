@@ -53,6 +53,11 @@ def edge(src_type: str, src_id: str, kind: str, dst_type: str, dst_id: str) -> l
     ]
 
 
+def fact_tag_rows(facts: DataFrame) -> DataFrame:
+    """One row per (fact, tag id) of the stored id lists."""
+    return facts.select("graph_id", "semantic_id", F.explode(F.array_distinct("tag_ids")).alias("tag_id"))
+
+
 def evidence_links(facts: DataFrame, episodes: DataFrame) -> DataFrame:
     """Fact to the episode of its (trajectory, turn); to the whole insert when there is none.
 
@@ -249,7 +254,7 @@ def upsert_subgoals(
     rows = created.select(*columns)
     if known is not None:
         rows = rows.unionByName(known.select(*columns))
-    edges = procedures.join(rows.select("graph_id", "subgoal", "subgoal_id"), ["graph_id", "subgoal"]).select(
+    edges = procedures.select("graph_id", "procedural_id", "subgoal").join(rows.select("graph_id", "subgoal", "subgoal_id"), ["graph_id", "subgoal"]).select(
         *edge("procedural", "procedural_id", "grouped_by", "subgoal", "subgoal_id")
     )
     return rows, edges

@@ -6,6 +6,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,12 +120,9 @@ def crossover_text(rounds: Column) -> Column:
     return F.coalesce(rounds.cast("string"), F.lit("never"))
 
 
-def query_prefixes(queries: DataFrame, sizes: DataFrame, position: str = "position") -> DataFrame:
-    """For every R in ``sizes(rounds)`` the first R queries of each trajectory (position from 0).
-
-    Each query row opens the sizes it belongs to, held as one small array.
-    """
-    wanted = sizes.agg(F.sort_array(F.collect_set("rounds"))).scalar()
+def query_prefixes(queries: DataFrame, sizes: Sequence[int], position: str = "position") -> DataFrame:
+    """For every R in ``sizes`` the first R queries of each trajectory (position from 0)."""
+    wanted = F.array(*[F.lit(r) for r in sorted(set(sizes))])
     return queries.withColumn("rounds", F.explode(F.filter(wanted, lambda r: r > F.col(position))))
 
 

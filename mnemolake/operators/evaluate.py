@@ -91,7 +91,7 @@ def gold_paragraphs(items: DataFrame, include_title: bool = False) -> DataFrame:
     chosen = F.when(F.size(marked) > 0, marked).otherwise(F.coalesce(fallback, F.array().cast("array<int>")))
     # of paragraphs with one index the last one counts
     rows = items.select("id", F.explode(F.array_distinct(chosen)).alias("idx"), "paragraphs").select(
-        "id", "idx", F.element_at(F.filter("paragraphs", lambda p: p["idx"] == F.col("idx")), -1).alias("_p")
+        "id", "idx", F.try_element_at(F.filter("paragraphs", lambda p: p["idx"] == F.col("idx")), F.lit(-1)).alias("_p")
     )
     rows = rows.where(tx.strip(F.col("_p.paragraph_text")) != "")
     titled = F.concat_ws("\n", F.nullif(tx.strip(F.col("_p.title")), F.lit("")), F.col("_p.paragraph_text"))

@@ -269,4 +269,6 @@ priced AS (
 
 def with_bindings(select: str, *more: str) -> str:
     """Check SQL over the bindings; ``more`` are further named subqueries."""
-    return "WITH " + ",\n".join([SQL.strip(), *more]) + "\n" + select
+    own = select.strip().removeprefix("WITH ")
+    join = ",\n" if own != select.strip() else "\n"
+    return "WITH " + ",\n".join([SQL.strip(), *more]) + join + own

@@ -294,7 +294,7 @@ _CHUNKS = """numbered AS (
   SELECT lang AS graph_id, doc_id, text, unnest(range(greatest(1, ceil((length(text) - 256) / 192.0)::INTEGER + 1))) AS chunk
   FROM documents WHERE length(text) > 0),
 chunks AS (
-  SELECT graph_id, doc_id, chunk::INTEGER AS chunk, trim(substr(text, (chunk * 192 + 1)::INTEGER, 256), E' \\t\\n\\r\\f\\v') AS chunk_text FROM numbered)"""
+  SELECT graph_id, doc_id, chunk::INTEGER AS chunk, trim(substr(text, (chunk * 192 + 1)::INTEGER, 256), ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)) AS chunk_text FROM numbered)"""
 
 
 _PASSAGE_PAIRS = f"""passages AS (
