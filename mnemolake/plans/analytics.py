@@ -78,9 +78,9 @@ def provider_usage(spark, d) -> DataFrame:
     return cost.provider_usage(b.usage(spark, d))
 
 
-@query("price_lookup", with_bindings("SELECT model, round(sum(usd), 4) AS usd FROM priced GROUP BY model"))
+@query("price_lookup", with_bindings("SELECT model, round(sum(usd), 6) AS usd FROM priced GROUP BY model"))
 def price_lookup(spark, d) -> DataFrame:
-    return cost.with_cost(b.usage(spark, d), b.prices(spark, d)).groupBy("model").agg(F.round(F.sum("usd"), 4).alias("usd"))
+    return cost.with_cost(b.usage(spark, d), b.prices(spark, d)).groupBy("model").agg(F.round(F.sum("usd"), 6).alias("usd"))
 
 
 @query("query_prefixes", """

@@ -160,7 +160,7 @@ def audit(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("app").alias("graph_id"),
         F.col("event_id").alias("recall_id"),
         F.when(kind == "view", "retrieve").otherwise("reason").alias("endpoint"),
-        "ts",
+        F.col("ts").cast("timestamp").alias("ts"),
         F.col("event_id").alias("graph_time"),
         F.col("props").alias("observation"),
         F.when(F.col("value") < 20, "semantic_memory").when(F.col("value") < 60, "episodic_memory").otherwise("procedural_memory").alias("mode"),
@@ -177,7 +177,7 @@ def usage(spark: SparkSession, folder: str) -> DataFrame:
     )
     score = F.get_json_object("props", "$.k").cast("int") % 7 - 1
     return table(spark, folder, "events").select(
-        "ts",
+        F.col("ts").cast("timestamp").alias("ts"),
         F.col("user_id").cast("string").alias("trajectory_id"),
         _text(system, "@R=", event % 5 + 1).alias("system"),
         scope.alias("scope"),

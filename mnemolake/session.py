@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,14 +35,22 @@ def local_session(cores: int | None = None, app: str = "mnemolake", memory: str
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the checkpoint folder the cluster names.
-
-    The folder comes from ``spark.checkpoint.dir``; only a session that names none (local
-    tests) gets a fresh temporary one.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only when it names none."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="mnemolake-ckpt-"))
+        folder = folder or tempfile.mkdtemp(prefix="mnemolake-ckpt-")
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def run_folder(spark: SparkSession) -> str:
+    """A fresh sub-folder of the shared folder for one run's files."""
+    return f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -3,67 +3,61 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from mnemolake.functions import text as tx
+from mnemolake.operators.cost import with_cost
 
 STEP = "session_id string, step long, observation string, action string"
 
 
-class PairTurns(StatefulProcessor):
-    """Per session: pending observation and step counter; emits a step when the assistant answers.
+PENDING = "observation string, step long, last_ord long"
+
+
+def _pair_turns(idle_ms: int | None) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """State per session: pending observation, step counter, last message seen.
 
     Messages of a trigger are taken in ``ord`` order; one at or below the last ``ord`` seen is a repeat
     and is dropped. A session idle past ``idle_ms`` forgets its unanswered tail.
     """
 
-    def __init__(self, idle_ms: int):
-        self.idle_ms = idle_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("pending", "observation string, step long, last_ord long")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        pending, step, last = self.state.get() if self.state.exists() else (None, 0, -1)
+    def pair(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pending, step, last = state.get if state.exists else (None, 0, -1)
         out = []
-        batch = pd.concat(list(rows)).sort_values("ord")
-        for row in batch.itertuples():
-            if row.ord <= last:
-                continue
-            last = int(row.ord)
-            if row.part == "observation":
-                pending = row.line if pending is None else f"{pending}\n{row.line}"
-            elif row.part == "action" and pending is not None:
-                out.append((key[0], step, pending, row.line))
-                pending, step = None, step + 1
-        self.state.update((pending, step, last))
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        if state.hasTimedOut:
+            state.update((None, step, last))
+        else:
+            for row in pd.concat(list(rows)).sort_values("ord").itertuples():
+                if row.ord <= last:
+                    continue
+                last = int(row.ord)
+                if row.part == "observation":
+                    pending = row.line if pending is None else f"{pending}\n{row.line}"
+                elif pending is not None:
+                    out.append((key[0], step, pending, row.line))
+                    pending, step = None, step + 1
+            state.update((pending, step, last))
+            if idle_ms is not None:
+                state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["session_id", "step", "observation", "action"])
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        if self.state.exists():
-            _, step, last = self.state.get()
-            self.state.update((None, step, last))
-        yield pd.DataFrame(columns=["session_id", "step", "observation", "action"])
+    return pair
 
-    def close(self) -> None:
-        pass
 
+def stream_steps(lines: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """Streaming ``messages_to_steps``: flattened message lines in, finished steps out.
 
-def stream_steps(lines: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
-    """Streaming ``messages_to_steps``: flattened message lines in, finished steps out."""
+    ``idle_ms`` needs a continuously running trigger: a run-until-empty trigger would wait for ever.
+    """
+    timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     rows = lines.where(F.col("part").isNotNull()).select("session_id", F.col("ord").cast("bigint").alias("ord"), "part", "line")
-    return rows.groupBy("session_id").transformWithStateInPandas(
-        PairTurns(idle_ms), outputStructType=STEP, outputMode="Append", timeMode="ProcessingTime"
+    return rows.groupBy("session_id").applyInPandasWithState(
+        _pair_turns(idle_ms), STEP, PENDING, "append", timeout
     )
 
 
@@ -91,8 +85,6 @@ def audit_windows(audit: DataFrame, size: str = "1 day", late: str = "1 hour") -
 
 def usage_windows(usage: DataFrame, prices: DataFrame, size: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Tokens and dollars per window, system and scope."""
-    from mnemolake.operators.cost import with_cost
-
     letter, rounds = tx.split_system(F.col("system"))
     rows = with_cost(usage, prices).withColumn("letter", letter).withColumn("rounds", rounds).withWatermark("ts", late)
     return (
