@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # What counts as trimmable white space, ASCII punctuation and an English article.
 WHITESPACE = " \t\n\r\f\x0b"
-PUNCTUATION = r"""[!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]"""
+PUNCTUATION = r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
 ARTICLES = r"(?U)\b(a|an|the)\b"
 
 
@@ -33,7 +33,7 @@ def fold_case(c: Column) -> Column:
 
 def normalize_answer(c: Column) -> Column:
     """Lower-case, drop punctuation and articles, squeeze blanks."""
-    bare = F.regexp_replace(F.lower(c), PUNCTUATION, "")
+    bare = F.translate(F.lower(c), PUNCTUATION, "")
     return strip(F.regexp_replace(F.regexp_replace(bare, ARTICLES, " "), r"(?U)\s+", " "))
 
 

@@ -192,10 +192,9 @@ def resolve_merges(
                 .withColumn("deactivate_b", F.coalesce("deactivate_later", yes))
             )
         lists = checkpointed(lists)
-        groups = connected_components(lists.select("graph_id", F.col("id_a").alias("a"), F.col("id_b").alias("b")))
         first = F.dense_rank().over(Window.partitionBy("graph_id", "component").orderBy("id_a"))
         turn = (
-            lists.join(groups.select("graph_id", F.col("id").alias("id_a"), "component"), ["graph_id", "id_a"])
+            _independent(lists, fold_size)
             .withColumn("_turn", first)
             .where(F.col("_turn") <= fold_size)
             .drop("_turn")
@@ -227,6 +226,22 @@ def resolve_merges(
     return reduce(DataFrame.unionByName, merges).drop("event")
 
 
+def _independent(lists: DataFrame, fold_size: int) -> DataFrame:
+    """Add ``component``: list rows that can be folded apart from each other.
+
+    A graph with no more scanners than one fold takes is one component as it stands; only larger
+    graphs are searched for connected components.
+    """
+    sizes = lists.groupBy("graph_id").agg((F.count_distinct("id_a") > fold_size).alias("_large"))
+    marked = lists.join(sizes, "graph_id")
+    large = marked.where("_large").drop("_large")
+    whole = marked.where("not _large").drop("_large").withColumn("component", F.lit(-1).cast("bigint"))
+    if large.isEmpty():
+        return whole
+    groups = connected_components(large.select("graph_id", F.col("id_a").alias("a"), F.col("id_b").alias("b")))
+    return whole.unionByName(large.join(groups.select("graph_id", F.col("id").alias("id_a"), "component"), ["graph_id", "id_a"]))
+
+
 def consolidate(
     facts: DataFrame,
     clock: DataFrame,

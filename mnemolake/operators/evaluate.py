@@ -18,35 +18,36 @@ RESERVED_TOKENS = 4000
 STRIDES = (4294967311, 4294967357, 4294967371, 4294967377, 4294967387, 4294967389, 4294967459, 4294967477)
 
 
-def _tokens(c: Column) -> Column:
-    return F.filter(F.split(tx.normalize_answer(c), " "), lambda t: t != "")
-
-
 def em_f1(predictions: DataFrame, key: str, pred: str = "pred", gold: str = "gold") -> DataFrame:
-    """Add exact match and token F1 (multiset overlap); without gold both are 0. ``key`` is unique.
+    """Exact match and token F1 (multiset overlap) per ``key``, which is unique: (key, em, f1).
 
-    Tokens of both sides are counted together per (key, token), so texts of any length and any number
-    of rows share one partially aggregated shuffle.
+    Without gold both are 0. Tokens of both sides are counted together per (key, token), so texts of
+    any length and any number of rows share one partially aggregated shuffle.
     """
-    words = predictions.select(
-        key,
-        F.explode(
-            F.concat(
-                F.transform(_tokens(F.col(pred)), lambda t: F.struct(t.alias("t"), F.lit(1).alias("p"), F.lit(0).alias("g"))),
-                F.transform(_tokens(F.col(gold)), lambda t: F.struct(t.alias("t"), F.lit(0).alias("p"), F.lit(1).alias("g"))),
-            )
-        ).alias("_w"),
+    normal = predictions.select(key, tx.normalize_answer(F.col(pred)).alias("_p"), tx.normalize_answer(F.col(gold)).alias("_g"))
+
+    def counted(column: str, p: int, g: int) -> Column:
+        words = F.split(F.coalesce(column, F.lit("")), " ")
+        return F.transform(words, lambda t: F.struct(t.alias("t"), F.lit(p).alias("p"), F.lit(g).alias("g")))
+
+    # an empty text still counts one empty token, so every key stays; it is left out of the sums
+    words = normal.select(
+        key, F.coalesce(F.col("_p") == F.col("_g"), F.lit(False)).cast("int").alias("_em"),
+        F.explode(F.concat(counted("_p", 1, 0), counted("_g", 0, 1))).alias("_w"),
     )
-    per_token = words.groupBy(key, "_w.t").agg(F.sum("_w.p").alias("_p"), F.sum("_w.g").alias("_g"))
-    overlap = per_token.groupBy(key).agg(
-        F.sum(F.least("_p", "_g")).cast("double").alias("_same"), F.sum("_p").alias("_p"), F.sum("_g").alias("_g")
+    per_token = words.groupBy(key, "_w.t").agg(F.max("_em").alias("_em"), F.sum("_w.p").alias("_p"), F.sum("_w.g").alias("_g"))
+    real = F.col("t") != ""
+
+    def total(c: Column) -> Column:
+        return F.sum(F.when(real, c).otherwise(0)).cast("double")
+
+    sums = per_token.groupBy(key).agg(
+        F.max("_em").cast("double").alias("em"), total(F.least("_p", "_g")).alias("_same"),
+        total(F.col("_p")).alias("_p"), total(F.col("_g")).alias("_g"),
     )
-    exact = F.when(tx.normalize_answer(F.col(pred)) == tx.normalize_answer(F.col(gold)), 1.0).otherwise(0.0)
     precision, recall = F.col("_same") / F.col("_p"), F.col("_same") / F.col("_g")
     f1 = F.when(F.col("_same") > 0, F.lit(2.0) * precision * recall / (precision + recall)).otherwise(0.0)
-    return (
-        predictions.withColumn("em", exact).join(overlap, key, "left").withColumn("f1", f1).drop("_same", "_p", "_g")
-    )
+    return sums.select(key, "em", f1.alias("f1"))
 
 
 def score_summary(scored: DataFrame, *by: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from mnemolake.functions import text as tx
 from mnemolake.functions.vector import cosine, hash_embedding, norm
-from mnemolake.operators.ordered import number_rows, previous_row, running_sum
+from mnemolake.operators.ordered import groups_are_small, number_rows, previous_row, running_sum
 
 # Display limits, dialogue placeholders, subgoal cut, embedding input limit, chunking.
 ARGUMENT_CHARS = 80
@@ -109,7 +109,8 @@ def messages_to_steps(lines: DataFrame, key: Sequence[str] = ("session_id",), or
     spoken = lines.where(F.col("part").isNotNull()).select(*key, order, "part", "line")
     closing = (F.col("part") == "action").cast("bigint")
     # an assistant turn belongs to the block it closes
-    blocks = running_sum(spoken, key, [order], closing, "_turn").withColumn("_turn", F.col("_turn") - closing)
+    small = groups_are_small(spoken, key)
+    blocks = running_sum(spoken, key, [order], closing, "_turn", small=small).withColumn("_turn", F.col("_turn") - closing)
     seen = F.when(F.col("part") == "observation", F.col("line"))
     steps = (
         blocks.groupBy(*key, "_turn")
@@ -120,7 +121,7 @@ def messages_to_steps(lines: DataFrame, key: Sequence[str] = ("session_id",), or
         )
         .where((F.col("_n") > 0) & F.col("action").isNotNull())
     )
-    return number_rows(steps, key, ["_turn"], "step").select(*key, "step", "observation", "action")
+    return number_rows(steps, key, ["_turn"], "step", small=small).select(*key, "step", "observation", "action")
 
 
 def infer_goal(lines: DataFrame, key: Sequence[str] = ("session_id",), order: str = "ord") -> DataFrame:
@@ -150,7 +151,8 @@ def dialogue_to_steps(turns: DataFrame, key: Sequence[str] = ("session_id",), or
     key = list(key)
     turns = turns.where(F.col("role").isin("user", "assistant"))
     opens = (F.col("role") != "assistant").cast("bigint")
-    blocks = running_sum(turns.select(*key, order, "role", "text"), key, [order], opens, "_turn")
+    small = groups_are_small(turns, key)
+    blocks = running_sum(turns.select(*key, order, "role", "text"), key, [order], opens, "_turn", small=small)
     is_agent = F.col("role") == "assistant"
     per_turn = blocks.groupBy(*key, "_turn").agg(
         F.max(F.when(~is_agent, F.col("text"))).alias("_user"),
@@ -164,7 +166,7 @@ def dialogue_to_steps(turns: DataFrame, key: Sequence[str] = ("session_id",), or
         .withColumn("observation", F.concat(F.lit(USER_PREFIX), F.coalesce("_user", silence)))
         .withColumn("action", F.concat(F.lit(AGENT_PREFIX), F.coalesce(F.col("_agent.text"), silence)))
     )
-    return number_rows(steps, key, ["_turn"], "step").select(*key, "step", "observation", "action")
+    return number_rows(steps, key, ["_turn"], "step", small=small).select(*key, "step", "observation", "action")
 
 
 def dated_turns(items: DataFrame) -> DataFrame:
@@ -230,13 +232,14 @@ def segment_trajectories(steps: DataFrame, key: Sequence[str], order: str = "ste
     ``trajectory_num`` and ``turn_num``.
     """
     key = list(key)
+    small = groups_are_small(steps, key)
     rows = steps.withColumn("_norm", norm(F.col("subgoal_embedding")))
-    rows = previous_row(rows, key, [order], ["subgoal_embedding", "_norm"], "_before")
+    rows = previous_row(rows, key, [order], ["subgoal_embedding", "_norm"], "_before", small=small)
     near = cosine(F.col("_before.subgoal_embedding"), F.col("subgoal_embedding"), F.col("_before._norm"), F.col("_norm"))
     rows = rows.withColumn("similarity_subgoal", F.when(F.col("_before").isNull(), F.lit(-1.0)).otherwise(near))
     cut = (F.col("_before").isNotNull() & (F.round("similarity_subgoal", 12) < same)).cast("bigint")
-    rows = running_sum(rows, key, [order], cut, "trajectory_num").drop("_before", "_norm")
-    return number_rows(rows, [*key, "trajectory_num"], [order], "turn_num")
+    rows = running_sum(rows, key, [order], cut, "trajectory_num", small=small).drop("_before", "_norm")
+    return number_rows(rows, [*key, "trajectory_num"], [order], "turn_num", small=small or None)
 
 
 def render_trajectories(steps: DataFrame, key: Sequence[str]) -> DataFrame:

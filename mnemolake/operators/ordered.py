@@ -1,9 +1,12 @@
 """Running totals, row numbers and previous rows that survive one very large group.
 
-A plain window puts a whole group in one task. Here each group is cut into blocks of its leading
-order column (``order[0]`` must be a non-negative integer); a small per-block summary carries totals
-or the last row from block to block, and the windows run inside (group, block). Groups of any size
-spread over the cluster and the outcome equals the plain window. Group keys must not be null.
+A plain window puts a whole group in one task. That is right while every group is small, which is
+checked first (one count over the keys). With a larger group each group is cut into blocks of its
+leading order column (``order[0]`` must be a non-negative integer); a small per-block summary carries
+totals or the last row from block to block, and the windows run inside (group, block). Groups of any
+size then spread over the cluster and the outcome is the same. Group keys must not be null.
+
+``small`` hands on what is already known: keys refined from checked ones need no second count.
 """
 
 from __future__ import annotations
@@ -14,6 +17,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SPAN = 1 << 16
+GROUP_ROWS = 1 << 20
+
+
+def groups_are_small(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> bool:
+    """Whether no group of ``keys`` has more rows than one task should window over."""
+    limit = GROUP_ROWS if limit is None else limit
+    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    return largest is None or largest <= limit
 
 
 def _blocked(df: DataFrame, order: Sequence[str], span: int) -> DataFrame:
@@ -21,9 +32,12 @@ def _blocked(df: DataFrame, order: Sequence[str], span: int) -> DataFrame:
 
 
 def running_sum(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, out: str, *, span: int = SPAN
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, out: str, *, span: int = SPAN, small: bool | None = None
 ) -> DataFrame:
     """Inclusive running total of ``value`` along ``order`` inside ``keys``."""
+    if groups_are_small(df, keys) if small is None else small:
+        whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(out, F.coalesce(F.sum(value).over(whole), F.lit(0)))
     blocked = _blocked(df.withColumn("_value", value), order, span)
     earlier = (
         Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -44,17 +58,20 @@ def running_sum(
 
 
 def number_rows(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, *, start: int = 0, span: int = SPAN
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, *, start: int = 0, span: int = SPAN, small: bool | None = None
 ) -> DataFrame:
     """Dense row numbers along ``order`` inside ``keys``, from ``start``."""
-    ranked = running_sum(df, keys, order, F.lit(1).cast("bigint"), out, span=span)
+    ranked = running_sum(df, keys, order, F.lit(1).cast("bigint"), out, span=span, small=small)
     return ranked.withColumn(out, F.col(out) + F.lit(start - 1))
 
 
 def previous_row(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], out: str, *, span: int = SPAN
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], out: str, *, span: int = SPAN, small: bool | None = None
 ) -> DataFrame:
     """Struct ``out`` of ``columns`` as they stood one row earlier (null on a group's first row)."""
+    if groups_are_small(df, keys) if small is None else small:
+        whole = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumn(out, F.lag(F.struct(*columns)).over(whole))
     blocked = _blocked(df.withColumn("_row", F.struct(*columns)), order, span)
     carry = (
         blocked.groupBy(*keys, "_block")

@@ -139,7 +139,8 @@ def em_f1(spark, d) -> DataFrame:
 
 @query("score_summary", with_bindings("SELECT lang, count(*) AS n, round(avg(em), 6) AS em, round(avg(f1), 6) AS f1 FROM scored GROUP BY lang", _ANSWERS))
 def score_summary(spark, d) -> DataFrame:
-    rows = evaluate.score_summary(evaluate.em_f1(_answers(spark, d), "doc_id"), "lang")
+    langs = b.table(spark, d, "documents").select("doc_id", "lang")
+    rows = evaluate.score_summary(evaluate.em_f1(_answers(spark, d), "doc_id").join(langs, "doc_id"), "lang")
     return rows.select("lang", "n", F.round("em", 6).alias("em"), F.round("f1", 6).alias("f1"))
 
 
