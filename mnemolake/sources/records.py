@@ -105,7 +105,7 @@ def read_objectives(spark: SparkSession, path: str, refresh: bool = False, dim:
 def read_recorded_trajectories(spark: SparkSession, path: str, step: str = "observation string, action string") -> DataFrame:
     """A file per task id holding ``trajectory``: one row per step."""
     task = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1)
-    rows = spark.read.schema(f"trajectory array<struct<{_nested(step)}>>").json(path, multiLine=True)
+    rows = spark.read.schema(f"trajectory array<struct<{_fields(step)}>>").json(path, multiLine=True)
     return rows.select(task.alias("task_id"), F.posexplode("trajectory").alias("step", "_s")).select("task_id", "step", "_s.*")
 
 
