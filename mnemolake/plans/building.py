@@ -55,7 +55,20 @@ def tag_upsert_stored(spark, d) -> DataFrame:
     return new.select("graph_id", "tag", "tag_id")
 
 
-@query("similar_tag_create")
+# arrival-order scan: state is the list of leaders so far
+@query("similar_tag_create", with_bindings("SELECT graph_id, tag_key, leader_key FROM scan WHERE tag_key IS NOT NULL", """near AS (
+  SELECT c.semantic_id AS b, list(a.semantic_id ORDER BY round(list_cosine_similarity(a.embedding, c.embedding), 12) DESC, a.semantic_id) AS earlier
+  FROM facts a JOIN facts c ON c.graph_id = a.graph_id AND c.semantic_id > a.semantic_id
+  WHERE round(list_cosine_similarity(a.embedding, c.embedding), 12) >= 0.35 GROUP BY c.semantic_id),
+turn AS (
+  SELECT f.graph_id, f.semantic_id, coalesce(n.earlier, []) AS earlier, row_number() OVER (ORDER BY f.graph_id, f.semantic_id) AS t
+  FROM facts f LEFT JOIN near n ON n.b = f.semantic_id),
+scan(t, graph_id, tag_key, leader_key, leaders) AS (
+  SELECT 0::BIGINT, NULL::VARCHAR, NULL::BIGINT, NULL::BIGINT, []::BIGINT[]
+  UNION ALL
+  SELECT t, graph_id, semantic_id, coalesce(led, semantic_id), CASE WHEN led IS NULL THEN list_append(leaders, semantic_id) ELSE leaders END
+  FROM (SELECT n.t, n.graph_id, n.semantic_id, s.leaders, list_filter(n.earlier, lambda o: list_contains(s.leaders, o))[1] AS led
+        FROM scan s JOIN turn n ON n.t = s.t + 1))""").replace("WITH ", "WITH RECURSIVE ", 1))
 def similar_tag_create(spark, d) -> DataFrame:
     """Facts as arriving tags: each follows the nearest earlier leader at 0.35 or leads itself."""
     rows = b.facts(spark, d).select("graph_id", F.col("semantic_id").alias("tag_key"), "embedding")

@@ -233,7 +233,42 @@ def procedural_retrieve(spark, d) -> DataFrame:
 # --- modes, fan-out, passages ---
 
 
-@query("retrieve_modes")
+_MODES = f"""modes AS (
+  SELECT graph_id, query_id, embedding, ['semantic_memory', 'procedural_memory', 'episodic_memory'][query_id % 3 + 1] AS mode,
+         {b.sql_hash("'src' || (query_id % 20)")} AS goal FROM queries),
+mode_facts AS (
+  SELECT c.query_id, c.semantic_id, f.text, row_number() OVER (PARTITION BY c.query_id ORDER BY round(c.relevance, 12) DESC, c.semantic_id) AS rank
+  FROM candidates c JOIN facts f ON f.semantic_id = c.semantic_id JOIN modes m ON m.query_id = c.query_id AND m.mode <> 'procedural_memory'
+  QUALIFY rank <= 10 AND round(c.relevance, 12) >= 0),
+mode_procedures AS (SELECT * REPLACE (CASE graph_id WHEN 'en' THEN 'g0' WHEN 'de' THEN 'g1' ELSE 'g2' END AS graph_id) FROM procedures),
+mode_goals AS (
+  SELECT m.query_id, m.graph_id, m.goal, s.subgoal_id FROM modes m
+  JOIN (SELECT DISTINCT graph_id, subgoal_id, subgoal FROM mode_procedures) s ON s.graph_id = m.graph_id
+  WHERE m.mode <> 'semantic_memory'
+  QUALIFY row_number() OVER (PARTITION BY m.query_id ORDER BY round(list_cosine_similarity(m.goal, {b.sql_hash('s.subgoal')}), 12) DESC, s.subgoal_id) = 1
+      AND round(list_cosine_similarity(m.goal, {b.sql_hash('s.subgoal')}), 12) >= 0.1),
+mode_experience AS (
+  SELECT g.query_id, p.procedural_id, p.text FROM mode_goals g JOIN mode_procedures p ON p.graph_id = g.graph_id AND p.subgoal_id = g.subgoal_id
+  QUALIFY row_number() OVER (PARTITION BY g.query_id ORDER BY round(list_cosine_similarity(g.goal, p.embedding), 12) DESC, p.procedural_id) = 1
+      AND round(list_cosine_similarity(g.goal, p.embedding), 12) >= 0.1),
+mode_sessions AS (
+  SELECT 's' || conv_id AS session_id, first(turn::VARCHAR ORDER BY turn) || chr(10) || string_agg(text, chr(10) ORDER BY turn) || chr(10) AS text
+  FROM conversations GROUP BY conv_id),
+mode_items AS (
+  SELECT i.query_id, row_number() OVER (PARTITION BY i.query_id ORDER BY i.part, i.rank) - 1 AS item,
+         CASE i.kind WHEN 'session' THEN coalesce(s.text, 'There is no relevant memory') ELSE f.text || chr(10) END AS text
+  FROM items i LEFT JOIN mode_sessions s ON s.session_id = i.session_id LEFT JOIN facts f ON f.semantic_id = i.semantic_id)"""
+
+
+@query("retrieve_modes", with_bindings("""
+SELECT m.graph_id, m.query_id, m.mode,
+       CASE m.mode
+         WHEN 'semantic_memory' THEN coalesce((SELECT string_agg('Fact ' || (rank - 1) || ': ' || text || chr(10), '' ORDER BY rank) FROM mode_facts h WHERE h.query_id = m.query_id), 'No relevant fact')
+         WHEN 'procedural_memory' THEN coalesce((SELECT 'Experience 0: ' || min(text) || chr(10) FROM mode_experience h WHERE h.query_id = m.query_id), 'No relevant experiences')
+         ELSE (SELECT string_agg('Relevant Memory ' || item || ':' || chr(10) || text, '' ORDER BY item) FROM mode_items h WHERE h.query_id = m.query_id) END AS text,
+       coalesce((SELECT string_agg(semantic_id, ',' ORDER BY rank) FROM mode_facts h WHERE h.query_id = m.query_id), '') AS fact_ids,
+       coalesce((SELECT min(procedural_id)::VARCHAR FROM mode_experience h WHERE h.query_id = m.query_id), '') AS procedure_ids
+FROM modes m""", _NEAR, _TAG_HITS, _VOTES, _UNTAGGED, _MODES))
 def retrieve_modes(spark, d) -> DataFrame:
     """Every benchmark item answered in one of the three modes over one graph of facts and documents."""
     asked = b.queries(spark, d)
@@ -375,7 +410,32 @@ def recall_logging(spark, d) -> DataFrame:
     return rows.select("graph_id", "recall_id", "endpoint", "fact_ids")
 
 
-@query("multi_hop")
+def _hop(r: int) -> str:
+    """One round of iterated retrieval as SQL: asked{r} to hits{r}, new{r} and asked{r+1}."""
+    seen = " ".join(f"AND NOT EXISTS (SELECT 1 FROM hits{i} s WHERE s.query_id = h.query_id AND s.semantic_id = h.semantic_id)" for i in range(1, r))
+    text = "'original question: ' || min(a.question) || chr(10) || string_agg(f.text, chr(10) ORDER BY f.semantic_id)"
+    return f"""hop_pairs{r} AS (
+  SELECT a.graph_id, a.query_id, f.semantic_id, f.is_active, list_cosine_similarity(a.embedding, f.embedding) AS relevance
+  FROM asked{r} a JOIN facts f USING (graph_id)),
+hop_pool{r} AS (
+  SELECT query_id, semantic_id FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(relevance, 12) DESC, semantic_id) AS rank FROM hop_pairs{r} WHERE is_active)
+  WHERE rank <= 5
+  UNION SELECT h.query_id, t.semantic_id FROM tag_hits h JOIN fact_tags t ON t.graph_id = h.graph_id AND t.tag_id = h.tag_id),
+hits{r} AS (
+  SELECT p.graph_id, p.query_id, p.semantic_id FROM hop_pairs{r} p JOIN hop_pool{r} c ON c.query_id = p.query_id AND c.semantic_id = p.semantic_id
+  QUALIFY row_number() OVER (PARTITION BY p.query_id ORDER BY round(relevance, 12) DESC, p.semantic_id) <= 10 AND round(relevance, 12) >= 0),
+new{r} AS (SELECT h.* FROM hits{r} h WHERE true {seen}),
+asked{r + 1} AS (
+  SELECT a.graph_id, a.query_id, min(a.question) AS question, {b.sql_hash(text)} AS embedding
+  FROM asked{r} a JOIN (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY semantic_id) AS n FROM hits{r}) h ON h.query_id = a.query_id AND h.n <= 3
+  JOIN facts f ON f.semantic_id = h.semantic_id WHERE a.query_id IN (SELECT query_id FROM new{r}) GROUP BY a.graph_id, a.query_id)"""
+
+
+@query("multi_hop", with_bindings(
+    "\nUNION ALL ".join(f"SELECT graph_id, query_id, semantic_id, {r} AS round FROM new{r}" for r in (1, 2, 3)),
+    _TAG_HITS, "asked1 AS (SELECT graph_id, query_id, question, embedding FROM queries)", _hop(1), _hop(2), _hop(3),
+))
 def multi_hop(spark, d) -> DataFrame:
     """Three rounds of iterated retrieval; facts found with the round that found them."""
     found, _ = retrieve.multi_hop(
@@ -402,7 +462,28 @@ def random_context(spark, d) -> DataFrame:
     return evaluate.random_context(b.queries(spark, d), b.facts(spark, d), k=10)
 
 
-@query("context_packing")
+_PACK = """pack_sizes AS (SELECT graph_id, count(*) AS n FROM docs GROUP BY graph_id),
+pack_order AS (
+  SELECT q.graph_id, q.query_id, n, ('0x' || substr(md5('0|' || query_id || '|start'), 1, 12))::BIGINT % n AS start,
+         [4294967311, 4294967357, 4294967371, 4294967377, 4294967387, 4294967389, 4294967459, 4294967477]
+           [('0x' || substr(md5('0|' || query_id || '|stride'), 1, 12))::BIGINT % 8 + 1] % n AS stride
+  FROM goal_queries q JOIN pack_sizes USING (graph_id)),
+pack_places AS (SELECT graph_id, semantic_id, length(text) // 4 AS n_tokens, row_number() OVER (PARTITION BY graph_id ORDER BY semantic_id) - 1 AS pos FROM docs),
+pack_walk AS (
+  SELECT o.query_id, o.graph_id, o.j, p.semantic_id, p.n_tokens FROM (SELECT *, unnest(range(n)) AS j FROM pack_order) o
+  JOIN pack_places p ON p.graph_id = o.graph_id AND p.pos = (o.start + (o.j * o.stride) % o.n) % o.n),
+fold(query_id, graph_id, j, total, picks, passage_id, complete) AS (
+  SELECT query_id, graph_id, -1::BIGINT, 0::BIGINT, 0, NULL::BIGINT, false FROM pack_order
+  UNION ALL
+  SELECT f.query_id, f.graph_id, w.j, f.total + CASE WHEN f.total + w.n_tokens <= 20000 THEN w.n_tokens ELSE 0 END,
+         f.picks + (f.total + w.n_tokens <= 20000)::INTEGER, CASE WHEN f.total + w.n_tokens <= 20000 THEN w.semantic_id END,
+         f.total + CASE WHEN f.total + w.n_tokens <= 20000 THEN w.n_tokens ELSE 0 END > 19800
+  FROM fold f JOIN pack_walk w ON w.query_id = f.query_id AND w.j = f.j + 1 WHERE NOT f.complete)"""
+
+
+@query("context_packing", with_bindings(
+    "SELECT graph_id, query_id, (picks - 1)::INTEGER AS pick, passage_id FROM fold WHERE passage_id IS NOT NULL", _PACK
+).replace("WITH ", "WITH RECURSIVE ", 1))
 def context_packing(spark, d) -> DataFrame:
     """Every benchmark item packs the documents of its language into a budget of 20,000 tokens."""
     passages = b.table(spark, d, "documents").select(
