@@ -70,12 +70,15 @@ def candidate_lists(
     optional sampling of popular tags (a fixed pseudo-random choice); without it every tag-sharing
     fact is considered.
     """
+    copies, searched = (None, scanners)
+    if sample_per_tag is None and value == SEMANTIC_EQUAL.with_limits(value.k, value.threshold) and 0 < threshold <= 1:
+        copies, searched = _next_copies(scanners, candidates, list_size)
     nodes = _by_tag(candidates)
     if sample_per_tag is not None:
         drawn = Window.partitionBy("graph_id", "tag_id").orderBy(F.xxhash64(F.lit(seed), "semantic_id"))
         nodes = nodes.withColumn("_draw", F.row_number().over(drawn)).where(F.col("_draw") <= sample_per_tag)
     near = nearest(
-        _by_tag(scanners).withColumnRenamed("semantic_id", "id_a"), nodes, k=list_size, query_id="id_a",
+        _by_tag(searched).withColumnRenamed("semantic_id", "id_a"), nodes, k=list_size, query_id="id_a",
         by=("graph_id", "tag_id"), value=value, floor=threshold, later_only=True,
     )
     pairs = near.groupBy("graph_id", "id_a", F.col("semantic_id").alias("id_b")).agg(
@@ -83,12 +86,44 @@ def candidate_lists(
     )
     best = Window.partitionBy("graph_id", "id_a").orderBy(F.desc("score"), "id_b")
     whole = Window.partitionBy("graph_id", "id_a")
-    return (
+    lists = (
         pairs.withColumn("place", F.row_number().over(best))
         .withColumn("full", F.max("_cut").over(whole) | (F.max("place").over(whole) >= list_size))
         .where(F.col("place") <= list_size)
         .drop("_cut")
     )
+    return lists if copies is None else lists.unionByName(copies)
+
+
+def _next_copies(scanners: DataFrame, candidates: DataFrame, list_size: int) -> tuple[DataFrame | None, DataFrame]:
+    """Lists of facts with plenty of later copies, and the scanners that still need a search.
+
+    Nothing is closer than a copy (same vector, same tags), so a fact with ``list_size`` later copies has
+    the next ones as its list. Large groups of copies then cost a numbering instead of a search of the
+    group against itself. Scanners must be among the candidates.
+    """
+    key = ["graph_id", "_copy"]
+    mark = F.xxhash64("embedding", "tag_ids")
+    real = (F.size("tag_ids") > 0) & F.exists("embedding", lambda x: x != 0)
+    marked = candidates.where(real).select("graph_id", "semantic_id", "embedding", "tag_ids", mark.alias("_copy"))
+    sizes = marked.groupBy(*key, "embedding", "tag_ids").agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > list_size)
+    sizes = checkpointed(sizes.groupBy(*key).agg(F.max("_size").alias("_size"), F.count(F.lit(1)).alias("_kinds")).where("_kinds = 1"))
+    if sizes.isEmpty():
+        return None, scanners
+    grouped = checkpointed(
+        number_rows(marked.select(*key, "semantic_id").join(sizes, key), key, ["semantic_id"], "_pos")
+    )
+    mine = grouped.join(scanners.select("graph_id", "semantic_id"), ["graph_id", "semantic_id"], "left_semi").where(
+        F.col("_pos") + list_size < F.col("_size")
+    )
+    steps = F.sequence(F.lit(1), F.lit(list_size))
+    wanted = mine.select(*key, F.col("semantic_id").alias("id_a"), "_pos", F.explode(steps).alias("place"))
+    wanted = wanted.withColumn("_pos", F.col("_pos") + F.col("place"))
+    lists = wanted.join(grouped.select(*key, "_pos", F.col("semantic_id").alias("id_b")), [*key, "_pos"]).select(
+        "graph_id", "id_a", "id_b", F.lit(1.0).alias("score"), "place", F.lit(True).alias("full")
+    )
+    rest = scanners.join(mine.select("graph_id", "semantic_id"), ["graph_id", "semantic_id"], "left_anti")
+    return lists, rest
 
 
 def _by_tag(facts: DataFrame) -> DataFrame:

@@ -365,12 +365,14 @@ def context_window(text: Column, action: Column, around: int = CONTEXT_LINES) ->
     element = F.nullif(F.regexp_extract(action, r"\[(\d+)\]", 1), F.lit(""))
     lines = F.split(F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"\n\z", ""), "\n")
 
-    def first(pattern: Column) -> Column:
-        hit = F.array_position(F.transform(lines, lambda line: F.regexp_like(line, pattern)), True)
-        return F.nullif(hit, F.lit(0))
+    def first(test) -> Column:
+        return F.nullif(F.array_position(F.transform(lines, test), True), F.lit(0))
 
+    marked = F.concat(F.lit("["), element, F.lit("]"))
+    bare = F.concat(F.lit(r"\b"), element, F.lit(r"\b"))
     at = F.coalesce(
-        first(F.concat(F.lit(r"\["), element, F.lit(r"\]"))), first(F.concat(F.lit(r"\b"), element, F.lit(r"\b")))
+        first(lambda line: F.contains(line, marked)),
+        F.when(F.contains(text, element), first(lambda line: F.regexp_like(line, bare))),
     )
     start = F.greatest(F.lit(1), at - around)
     window = F.slice(lines, start, at + around - start + 1)

@@ -147,6 +147,13 @@ def _ranked(rows: DataFrame, node: str) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(best))
 
 
+def choose_tags(
+    query_tags: DataFrame, tags: DataFrame, tag_value: ValueFunction = vf.TAG_RELEVANT, clock: DataFrame | None = None
+) -> DataFrame:
+    """Stored tags chosen per query with their votes and weight (a few rows per query, settled once)."""
+    return checkpointed(weighted_hits(query_tags, retrieve_tags(query_tags, tags, tag_value, clock=clock)))
+
+
 def retrieve_semantic(
     queries: DataFrame,
     query_tags: DataFrame,
@@ -157,45 +164,63 @@ def retrieve_semantic(
     value: ValueFunction = vf.SEMANTIC_RELEVANT,
     clock: DataFrame | None = None,
     prune: bool = True,
+    chosen: DataFrame | None = None,
 ) -> DataFrame:
     """Facts kept per query: candidates are tag-voted facts (inactive too) and the direct hits.
 
     When the value function ignores importance, a fact outside the k best of each chosen tag cannot
     win, so tags are searched with a running top-k and no candidate pairs are produced
-    (``prune=False`` forces the general route; both give the same rows).
+    (``prune=False`` forces the general route; both give the same rows). ``chosen`` hands in the
+    result of ``choose_tags`` when several calls share it.
     """
-    chosen = weighted_hits(query_tags, retrieve_tags(query_tags, tags, tag_value, clock=clock))
+    if chosen is None:
+        chosen = choose_tags(query_tags, tags, tag_value, clock)
     facts = _aged(facts, value, clock)
     direct = direct_facts(queries, facts)
     if prune and value.importance is None:
-        recency = ["recency"] if value.recency is not None else []
-        scoped = chosen.join(queries.select(*GQ, "embedding"), GQ)
-        near = nearest(
-            scoped, fact_tags(facts, "embedding", *recency), k=value.k, by=("graph_id", "tag_id"), value=value
-        )
-        pairs = near.select(*GQ, "semantic_id").union(direct.select(*GQ, "semantic_id")).distinct()
-        voters = (
-            pairs.join(facts.select("graph_id", "semantic_id", "tag_ids"), ["graph_id", "semantic_id"])
-            .select(*GQ, "semantic_id", F.explode(F.array_distinct("tag_ids")).alias("tag_id"))
-            .join(chosen, [*GQ, "tag_id"])
-            .select(*GQ, "semantic_id", "hit_votes", "hit_weight")
-        )
-        by_distance = direct.select(
-            *GQ, "semantic_id", F.lit(1).cast("bigint").alias("hit_votes"), F.lit(DIRECT_WEIGHT).alias("hit_weight")
-        )
-        votes = (
-            voters.unionByName(by_distance)
-            .groupBy(*GQ, "semantic_id")
-            .agg(F.sum("hit_votes").alias("tag_votes"), F.sum("hit_weight").alias("vote_weight"))
-        )
+        scored = _pruned_candidates(queries, chosen, facts, direct, value)
     else:
-        votes = tag_votes(chosen, facts, direct)
-    scored = _ranked(_score(votes, queries, facts, value), "semantic_id")
+        scored = _score(tag_votes(chosen, facts, direct), queries, facts, value)
+    scored = _ranked(scored, "semantic_id")
     return scored.where((F.col("rank") <= value.k) & (F.col("value") >= value.threshold)).select(
         *GQ, "semantic_id", "relevance", "importance", "tag_votes", "value", "rank"
     )
 
 
+def _pruned_candidates(
+    queries: DataFrame, chosen: DataFrame, facts: DataFrame, direct: DataFrame, value: ValueFunction
+) -> DataFrame:
+    """Candidates that can still win, with votes counted for them alone.
+
+    Relevance comes from the searches, so the facts are joined once, without their vectors.
+    """
+    recency = ["recency"] if value.recency is not None else []
+    scoped = chosen.select(*GQ, "tag_id").join(queries.select(*GQ, "embedding"), GQ)
+    near = nearest(scoped, fact_tags(facts, "embedding", *recency), k=value.k, by=("graph_id", "tag_id"), value=value)
+    rows = near.select(*GQ, "semantic_id", "relevance", F.lit(0).alias("_direct")).unionByName(
+        direct.select(*GQ, "semantic_id", "relevance", F.lit(1).alias("_direct"))
+    )
+    pairs = rows.groupBy(*GQ, "semantic_id").agg(F.max("relevance").alias("relevance"), F.max("_direct").alias("_direct"))
+    nodes = facts.select("graph_id", "semantic_id", "tag_ids", F.size("tags").alias("_n_tags"), *recency)
+    pairs = pairs.join(nodes, ["graph_id", "semantic_id"])
+    voters = pairs.select(*GQ, "semantic_id", F.explode_outer(F.array_distinct("tag_ids")).alias("tag_id"), "relevance", "_direct", "_n_tags", *recency)
+    zero = F.lit(0)
+    votes = (
+        voters.join(chosen, [*GQ, "tag_id"], "left")
+        .groupBy(*GQ, "semantic_id")
+        .agg(
+            F.first("relevance").alias("relevance"),
+            (F.sum(F.coalesce("hit_votes", zero)) + F.first("_direct")).alias("tag_votes"),
+            (F.sum(F.coalesce("hit_weight", zero)) + F.first("_direct") * DIRECT_WEIGHT).alias("_weight"),
+            F.first("_n_tags").alias("_n_tags"),
+            *[F.first(c).alias(c) for c in recency],
+        )
+        .withColumn("importance", F.col("_weight") / F.greatest(F.lit(1), F.col("_n_tags")))
+    )
+    age = F.col("recency") if recency else F.lit(0)
+    return votes.withColumn("value", F.round(value.score(F.col("relevance"), F.col("importance"), age), 12))
+
+
 def trace_semantic(
     queries: DataFrame,
     query_tags: DataFrame,
@@ -207,7 +232,7 @@ def trace_semantic(
     clock: DataFrame | None = None,
 ) -> DataFrame:
     """Every candidate fact with its components and whether it was selected."""
-    chosen = weighted_hits(query_tags, retrieve_tags(query_tags, tags, tag_value, clock=clock))
+    chosen = choose_tags(query_tags, tags, tag_value, clock)
     aged = with_recency(facts, graph_clock(facts) if clock is None else clock)
     votes = tag_votes(chosen, aged, direct_facts(queries, aged))
     scored = _ranked(_score(votes, queries, aged, value), "semantic_id")
@@ -510,12 +535,12 @@ def multi_hop(
     embed = embed or (lambda text: hash_embedding(text, 64))
     fact_texts = facts.select("graph_id", "semantic_id", tx.strip(F.col("text")).alias("_text"))
     open_ = queries.select(*GQ, "question", F.col("embedding"))
+    tags_chosen = choose_tags(query_tags, tags, tag_value)
     seen: DataFrame | None = None
     logs: list[DataFrame] = []
     for round_no in range(1, max_rounds + 1):
-        live_tags = query_tags.join(open_.select(*GQ), GQ, "left_semi")
         hits = checkpointed(
-            retrieve_semantic(open_, live_tags, tags, facts, tag_value=tag_value, value=value).select(*GQ, "semantic_id")
+            retrieve_semantic(open_, query_tags, tags, facts, value=value, chosen=tags_chosen).select(*GQ, "semantic_id")
         )
         fresh = hits if seen is None else hits.join(seen.drop("round"), [*GQ, "semantic_id"], "left_anti")
         fresh = fresh.withColumn("round", F.lit(round_no))
@@ -547,7 +572,8 @@ def multi_hop(
             .when(F.size("_picked") == 0, "no_candidates")
             .when(F.col("_more").isNull(), "selected_nodes_empty")
         )
-        state = checkpointed(state.join(more, GQ, "left").withColumn("stop_reason", reason))
+        state = state.join(more, GQ, "left").withColumn("stop_reason", reason)
+        state = checkpointed(state)
         logs.append(
             state.select(*GQ, F.lit(round_no).alias("round"), F.size("_ids").alias("n_retrieved"), "n_new", "stop_reason")
         )

@@ -161,3 +161,19 @@ def test_consolidation_run(spark):
     assert (merged.semantic_id, merged.text, sorted(merged.tags), sorted(merged.episodic_ids), merged.time) == (5, "a b", ["t", "u"], [5, 6], 5)
     assert {r.semantic_id: r.is_active for r in out["facts"].collect()} == {0: False, 1: False, 2: False, 3: False, 4: True}
     assert {(r.src_id, r.dst_id) for r in out["edges"].collect()} == {(5, 0), (5, 1)}
+
+
+def test_many_copies_equal_the_sequential_scan(spark):
+    gen = np.random.default_rng(9)
+    base = [gen.normal(size=4).astype(np.float32).tolist() for _ in range(3)]
+    facts = [{"id": i, "v": base[0 if i % 4 else i % 3], "tags": [1], "ev": [i]} for i in range(40)]
+    df = spark.createDataFrame(
+        [("g", f["id"], f["v"], f["tags"], f["ev"], True) for f in facts],
+        "graph_id string, semantic_id long, embedding array<float>, tag_ids array<long>, episodic_ids array<long>, is_active boolean",
+    )
+    copies, rest = consolidate._next_copies(df, df, 4)
+    assert copies.count() > 60 and rest.count() < 20
+    keep = {(a, b): (False, True) for a in range(0, 40, 3) for b in range(40)}
+    table = spark.createDataFrame([("g", a, b, x, y) for (a, b), (x, y) in keep.items()], "graph_id string, id_a long, id_b long, deactivate_earlier boolean, deactivate_later boolean")
+    got = consolidate.resolve_merges(df, scanner=F.col("is_active"), candidate=F.col("is_active"), decisions=table, threshold=0.6, list_size=4)
+    assert sorted((r.id_a, r.id_b) for r in got.collect()) == sorted(_scan(facts, 1, 1, 0.6, keep))
