@@ -66,15 +66,11 @@ def resolve_templates(templates: DataFrame, requests: DataFrame) -> DataFrame:
     """Strongest complete template per (graph_id, name) request; an unknown name fails the job."""
     strength = F.array_position(F.array(*[F.lit(x) for x in LAYERS]), F.col("layer"))
     usable = templates.where(F.col("system").isNotNull() & F.col("user").isNotNull()).withColumn("_strength", strength)
-    usable = usable.withColumnRenamed("graph_id", "_graph")
+    asked = requests.select("graph_id", "name").distinct()
+    own = asked.join(usable.where(F.col("graph_id").isNotNull()), ["graph_id", "name"])
+    shared = asked.join(usable.where(F.col("graph_id").isNull()).drop("graph_id"), "name")
     best = Window.partitionBy("graph_id", "name").orderBy(F.desc("_strength"))
-    rows = (
-        requests.select("graph_id", "name").distinct()
-        .join(usable, "name", "left")
-        .where(F.col("_graph").isNull() | (F.col("_graph") == F.col("graph_id")))
-        .withColumn("_rank", F.row_number().over(best))
-        .where("_rank = 1")
-    )
+    rows = own.unionByName(shared).withColumn("_rank", F.row_number().over(best)).where("_rank = 1")
     resolved = requests.join(rows.select("graph_id", "name", "layer", "system", "user"), ["graph_id", "name"], "left")
     unknown = F.assert_true(F.col("system").isNotNull(), F.concat(F.lit("Unknown prompt: "), F.col("name")))
     return resolved.where(unknown.isNull())

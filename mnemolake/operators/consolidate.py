@@ -13,6 +13,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -160,30 +162,26 @@ def _folder(k: int, max_merges: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     columns = [c.split()[0] for c in MERGE_ROW.split(", ")]
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        """Scan one component in id order; report merges, decided scanners, and where it ran dry."""
+        """Scan one component in id order; report merges and decided scanners; stop where a list runs dry."""
         graph = rows["graph_id"].iloc[0]
+        ordered = rows.sort_values(["id_a", "place"])[["id_a", "id_b", "score", "full", "barred", "deactivate_a", "deactivate_b"]]
         gone: set[int] = set()
         out: list[tuple] = []
-        for a, options in rows.sort_values(["id_a", "place"]).groupby("id_a", sort=True):
-            a = int(a)
-            if a in gone:
-                out.append((graph, "scanned", a, None, 0, None, None, None))
-                continue
-            live = options[~options["id_b"].isin(gone)].head(k)
-            if len(live) < k and bool(options["full"].iloc[0]):
-                break
-            done = 0
-            for row in live.itertuples():
-                if row.barred:
-                    continue
-                out.append((graph, "merge", a, int(row.id_b), done, row.score, row.deactivate_a, row.deactivate_b))
-                if row.deactivate_a:
-                    gone.add(a)
-                if row.deactivate_b:
-                    gone.add(int(row.id_b))
-                done += 1
-                if done >= max_merges:
+        for a, options in groupby(ordered.itertuples(index=False, name=None), key=itemgetter(0)):
+            a, options = int(a), list(options)
+            if a not in gone:
+                live = [o for o in options if o[1] not in gone][:k]
+                if len(live) < k and options[0][3]:
                     break
+                done = 0
+                for _, b, score, _, barred, drop_a, drop_b in live:
+                    if barred:
+                        continue
+                    out.append((graph, "merge", a, int(b), done, score, bool(drop_a), bool(drop_b)))
+                    gone.update(([a] if drop_a else []) + ([int(b)] if drop_b else []))
+                    done += 1
+                    if done >= max_merges:
+                        break
             out.append((graph, "scanned", a, None, 0, None, None, None))
         return pd.DataFrame(out, columns=columns)
 

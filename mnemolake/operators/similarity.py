@@ -182,9 +182,10 @@ def _scan(sample, nodes, by, query_id, node_id, out, value, k, floor, later_only
         for key, rows in _keys(sample, by).items()
     }
     shared = nodes.sparkSession.sparkContext.broadcast(sides)
-    if 0 < len(sides) <= 256:
+    if len(sides) <= 256:
+        # also keeps the scan to the partitions asked for
         first = sorted({key[0] for key in sides if key[0] is not None})
-        nodes = nodes.where(F.col(by[0]).isin(first))
+        nodes = nodes.where(F.col(by[0]).isin(first) if first else F.lit(False))
     schema = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -73,11 +73,20 @@ def stream_insert(spark, d) -> DataFrame:
     folder = run_folder(spark)
     store = MemoryStore(spark, f"{folder}/store")
 
-    def insert(batch: DataFrame, _: int) -> None:
-        facts = batch.select(F.col("lang").alias("graph_id"), F.col("doc_id").alias("insert_id"), F.lit(0).alias("fact_pos"), "text", F.array("source").alias("tags"), F.col("source").alias("session_id"), F.lit(0).alias("trajectory_num"), F.lit(0).alias("turn_num"))
-        steps = batch.select(F.col("lang").alias("graph_id"), F.col("doc_id").alias("insert_id"), F.lit(0).alias("trajectory_num"), F.lit(0).alias("turn_num"), F.col("source").alias("observation"), F.lit("").alias("action"), F.col("source").alias("session_id"))
-        none = batch.limit(0).select(F.col("lang").alias("graph_id"), F.col("doc_id").alias("insert_id"), F.lit(0).alias("proc_pos"), F.lit("").alias("subgoal"), "text", F.lit(0).alias("trajectory_num"), F.array().cast("array<float>").alias("embedding"), F.array().cast("array<float>").alias("subgoal_embedding"))
-        store.save_insert(build.insert_batch(steps, facts, none, store.load_all()))
+    def insert(batch: DataFrame, batch_id: int) -> None:
+        zero = F.lit(0)
+        rows = batch.select(
+            F.col("lang").alias("graph_id"), F.col("doc_id").alias("insert_id"), "text", "source", F.col("source").alias("session_id"),
+            zero.alias("trajectory_num"), zero.alias("turn_num"),
+        )
+        facts = rows.withColumn("fact_pos", zero).withColumn("tags", F.array("source"))
+        steps = rows.withColumn("observation", F.col("source")).withColumn("action", F.lit(""))
+        none = F.array().cast("array<float>")
+        procedures = (
+            rows.limit(0).withColumn("proc_pos", zero).withColumn("subgoal", F.lit(""))
+            .withColumn("embedding", none).withColumn("subgoal_embedding", none)
+        )
+        store.save_insert(build.insert_batch(steps, facts, procedures, store.begin_batch(batch_id)))
 
     source = StreamReader(spark).parquet(f"{d}/documents.parquet")
     jobs.stream_inserts(source, insert, f"{folder}/state").awaitTermination()

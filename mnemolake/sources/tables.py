@@ -39,6 +39,26 @@ class MemoryStore:
     def load_all(self, graph_id: str | None = None) -> dict[str, DataFrame]:
         return {name: self.load(name, graph_id) for name in schema.TABLES}
 
+    def begin_batch(self, batch_id: int) -> dict[str, DataFrame]:
+        """The tables as they stood when this batch first began.
+
+        The last id of every graph is written down before anything else, so a batch tried again numbers
+        its rows as before and ``append`` finds them stored already.
+        """
+        path = f"{self.root}/batches/{batch_id}"
+        if not self._exists(f"batches/{batch_id}/_SUCCESS"):
+            last = None
+            for name in schema.NODE_TABLES:
+                ids = self.load(name).groupBy("graph_id").agg(F.max(schema.ID_COLUMN[name]).alias("last_id")).withColumn("node_type", F.lit(name))
+                last = ids if last is None else last.unionByName(ids)
+            last.write.mode("overwrite").parquet(path)
+        seen = self.spark.read.parquet(path)
+        out = {"edges": self.load("edges")}
+        for name in schema.NODE_TABLES:
+            limit = seen.where(F.col("node_type") == name).select("graph_id", "last_id")
+            out[name] = self.load(name).join(limit, "graph_id").where(F.col(schema.ID_COLUMN[name]) <= F.col("last_id")).drop("last_id")
+        return out
+
     def counts(self, graph_id: str | None = None) -> DataFrame:
         return graph_stats({n: self.load(n, graph_id) for n in schema.NODE_TABLES})
 
@@ -55,7 +75,12 @@ class MemoryStore:
             stored = self.load(table).select(*KEY[table])
             graphs = shaped.select("graph_id").distinct()
             shaped = shaped.join(stored.join(graphs, "graph_id", "left_semi"), KEY[table], "left_anti")
-        shaped.write.mode("append").partitionBy("graph_id").parquet(self.path(table))
+        self._balanced(shaped).write.mode("append").partitionBy("graph_id").parquet(self.path(table))
+
+    @staticmethod
+    def _balanced(rows: DataFrame) -> DataFrame:
+        """Few files per graph, and several for a graph too large for one."""
+        return rows.hint("rebalance", "graph_id")
 
     def patch(self, table: str, patch: DataFrame) -> None:
         """Change the supplied non-null fields of existing rows; only touched graphs are rewritten."""
@@ -69,7 +94,7 @@ class MemoryStore:
             merged = merged.withColumn(c, F.coalesce(f"_{c}", c))
         # the result is read from the files it replaces: settle it first
         settled = checkpointed(merged.select(*current.columns))
-        settled.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("graph_id").parquet(self.path(table))
+        self._balanced(settled).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("graph_id").parquet(self.path(table))
 
     def upsert(self, table: str, rows: DataFrame) -> None:
         """Patch rows that exist, append the others."""

@@ -64,7 +64,11 @@ def stream_steps(lines: DataFrame, idle_ms: int | None = None) -> DataFrame:
 def stream_inserts(
     source: DataFrame, insert: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True
 ) -> StreamingQuery:
-    """Run the batch insert on every micro-batch. Inserts are keyed, so a retried batch adds nothing twice."""
+    """Run the batch insert on every micro-batch.
+
+    ``insert(rows, batch_id)`` should build on ``MemoryStore.begin_batch(batch_id)``: a batch tried again then
+    gives its rows the ids it gave them before, and adds nothing twice.
+    """
     writer = source.writeStream.foreachBatch(insert).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 

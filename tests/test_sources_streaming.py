@@ -130,3 +130,29 @@ def test_windows_batch(spark):
     audit = spark.createDataFrame(rows, "graph_id string, recall_id long, ts string, endpoint string, mode string, n_messages int").withColumn("ts", F.to_timestamp("ts"))
     row = jobs.audit_windows(audit).first()
     assert (row.n_recalls, row.n_messages) == (2, 5)
+
+
+def test_batch_tried_again_adds_nothing(spark, tmp_path):
+    from mnemolake.operators import build
+
+    store = MemoryStore(spark, str(tmp_path))
+    step = "graph_id string, insert_id long, trajectory_num int, turn_num int, observation string, action string, session_id string"
+    fact = "graph_id string, insert_id long, fact_pos int, text string, tags array<string>, trajectory_num int, turn_num int"
+    proc = "graph_id string, insert_id long, proc_pos int, subgoal string, text string, trajectory_num int, embedding array<float>, subgoal_embedding array<float>"
+
+    def rows(insert_id):
+        steps = spark.createDataFrame([("g", insert_id, 0, 0, "o", "a", "s")], step)
+        facts = spark.createDataFrame([("g", insert_id, 0, f"fact {insert_id}", ["t"], 0, 0)], fact)
+        procedures = spark.createDataFrame([("g", insert_id, 0, "goal", "do", 0, [1.0], [float(insert_id)])], proc)
+        return build.insert_batch(steps, facts, procedures, store.begin_batch(insert_id))
+
+    store.save_insert(rows(0))
+    partial = rows(1)
+    store.append("episodic", partial["episodic"])  # stops half way
+    store.save_insert(rows(1))
+    store.save_insert(rows(1))
+    counts = store.counts().first()
+    assert (counts.episodic, counts.semantic, counts.tag, counts.procedural, counts.subgoal) == (2, 2, 1, 2, 1)
+    assert store.load("subgoal").first().embedding == [1.0]
+    kinds = {r.kind: r.n for r in store.load("edges").groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    assert kinds == {"tagged": 2, "evidenced_by": 2, "related": 2, "grouped_by": 2, "from_session": 2}
