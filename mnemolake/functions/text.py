@@ -31,10 +31,18 @@ def fold_case(c: Column) -> Column:
     return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
 
 
+def _bare_answer(c: Column) -> Column:
+    return F.regexp_replace(F.translate(F.lower(c), PUNCTUATION, ""), ARTICLES, " ")
+
+
 def normalize_answer(c: Column) -> Column:
     """Lower-case, drop punctuation and articles, squeeze blanks."""
-    bare = F.translate(F.lower(c), PUNCTUATION, "")
-    return strip(F.regexp_replace(F.regexp_replace(bare, ARTICLES, " "), r"(?U)\s+", " "))
+    return strip(F.regexp_replace(_bare_answer(c), r"(?U)\s+", " "))
+
+
+def answer_tokens(c: Column) -> Column:
+    """Words of the normalised answer."""
+    return F.filter(F.split(_bare_answer(c), r"(?U)\s+"), lambda t: t != "")
 
 
 def token_estimate(c: Column) -> Column:

@@ -24,22 +24,20 @@ def em_f1(predictions: DataFrame, key: str, pred: str = "pred", gold: str = "gol
     Without gold both are 0. Tokens of both sides are counted together per (key, token), so texts of
     any length and any number of rows share one partially aggregated shuffle.
     """
-    normal = predictions.select(key, tx.normalize_answer(F.col(pred)).alias("_p"), tx.normalize_answer(F.col(gold)).alias("_g"))
-
-    def counted(column: str, p: int, g: int) -> Column:
-        words = F.split(F.coalesce(column, F.lit("")), " ")
-        return F.transform(words, lambda t: F.struct(t.alias("t"), F.lit(p).alias("p"), F.lit(g).alias("g")))
-
-    # an empty text still counts one empty token, so every key stays; it is left out of the sums
-    words = normal.select(
-        key, F.coalesce(F.col("_p") == F.col("_g"), F.lit(False)).cast("int").alias("_em"),
-        F.explode(F.concat(counted("_p", 1, 0), counted("_g", 0, 1))).alias("_w"),
+    none = F.array().cast("array<string>")
+    tokens = predictions.select(
+        key, F.coalesce(tx.answer_tokens(F.col(pred)), none).alias("_p"), tx.answer_tokens(F.col(gold)).alias("_g")
     )
-    per_token = words.groupBy(key, "_w.t").agg(F.max("_em").alias("_em"), F.sum("_w.p").alias("_p"), F.sum("_w.g").alias("_g"))
-    real = F.col("t") != ""
+    # both sides become rows first, so each token list is opened where it stands
+    side = F.struct(F.col("_p").alias("words"), F.lit(1).alias("p"), F.lit(0).alias("g"))
+    other = F.struct(F.coalesce("_g", none).alias("words"), F.lit(0).alias("p"), F.lit(1).alias("g"))
+    exact = F.coalesce(F.col("_p") == F.col("_g"), F.lit(False)).cast("int")
+    sides = tokens.select(key, exact.alias("_em"), F.explode(F.array(side, other)).alias("_s"))
+    words = sides.select(key, "_em", "_s.p", "_s.g", F.explode_outer("_s.words").alias("t"))
+    per_token = words.groupBy(key, "t").agg(F.max("_em").alias("_em"), F.sum("p").alias("_p"), F.sum("g").alias("_g"))
 
     def total(c: Column) -> Column:
-        return F.sum(F.when(real, c).otherwise(0)).cast("double")
+        return F.sum(F.when(F.col("t").isNotNull(), c).otherwise(0)).cast("double")
 
     sums = per_token.groupBy(key).agg(
         F.max("_em").cast("double").alias("em"), total(F.least("_p", "_g")).alias("_same"),
