@@ -95,10 +95,11 @@ def token_estimate(spark, d) -> DataFrame:
     return b.table(spark, d, "documents").select("doc_id", tx.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query("session_tokens", "SELECT conv_id, sum(greatest(1, length(text) // 4))::BIGINT AS tokens FROM conversations GROUP BY conv_id")
-def session_tokens(spark, d) -> DataFrame:
-    messages = b.table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("role", F.col("text").alias("content"))).alias("m"))
-    return messages.select("conv_id", tx.message_tokens(F.col("m")).alias("tokens"))
+@query("message_tokens", "SELECT doc_id, greatest(1, length(source) // 4) + greatest(1, length(text) // 4) AS tokens FROM documents")
+def message_tokens(spark, d) -> DataFrame:
+    """A document and its source as the two messages of one prompt."""
+    message = lambda role, text: F.struct(F.lit(role).alias("role"), F.col(text).alias("content"))
+    return b.table(spark, d, "documents").select("doc_id", tx.message_tokens(F.array(message("system", "source"), message("user", "text"))).alias("tokens"))
 
 
 # --- answers ---

@@ -145,7 +145,7 @@ def episodes(spark: SparkSession, folder: str) -> DataFrame:
     user = F.col("role") == "user"
     return turns(spark, folder).select(
         F.lit("chat").alias("graph_id"),
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("episodic_id"),
+        (F.col("conv_id") * 1000000000 + F.col("turn")).alias("episodic_id"),
         F.when(user, F.col("text")).otherwise("").alias("observation"),
         F.when(user, F.lit("")).otherwise(F.col("text")).alias("action"),
         F.col("turn").cast("string").alias("time"),
@@ -241,7 +241,7 @@ goal_queries AS (
   FROM benchmark),
 turns AS (SELECT 'c' || conv_id AS session_id, conv_id, turn, role, text FROM conversations),
 episodes AS (
-  SELECT 'chat' AS graph_id, conv_id * 1000 + turn AS episodic_id,
+  SELECT 'chat' AS graph_id, conv_id * 1000000000 + turn AS episodic_id,
          CASE WHEN role = 'user' THEN text ELSE '' END AS observation,
          CASE WHEN role = 'user' THEN '' ELSE text END AS action, turn::VARCHAR AS time, session_id, role AS subgoal
   FROM turns),

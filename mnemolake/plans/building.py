@@ -102,18 +102,18 @@ def _chat(spark, d) -> tuple[DataFrame, DataFrame]:
     turns = b.turns(spark, d)
     episodes = turns.select(
         F.lit("chat").alias("graph_id"), F.col("conv_id").alias("insert_id"), F.lit(0).cast("bigint").alias("trajectory_num"),
-        F.col("turn").alias("turn_num"), (F.col("conv_id") * 1000 + F.col("turn")).alias("episodic_id"),
+        F.col("turn").alias("turn_num"), (F.col("conv_id") * 1000000000 + F.col("turn")).alias("episodic_id"),
     )
     facts = turns.select(
-        F.lit("chat").alias("graph_id"), F.col("conv_id").alias("insert_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("semantic_id"),
+        F.lit("chat").alias("graph_id"), F.col("conv_id").alias("insert_id"), (F.col("conv_id") * 1000000000 + F.col("turn")).alias("semantic_id"),
         F.lit(0).cast("bigint").alias("trajectory_num"), (F.col("turn") + 1).alias("turn_num"),
     )
     return episodes, facts
 
 
 @query("evidence_links", """
-SELECT c.conv_id * 1000 + c.turn AS src_id, CASE WHEN n.turn IS NULL THEN 'insert' ELSE 'episodic' END AS dst_type,
-       CASE WHEN n.turn IS NULL THEN c.conv_id ELSE n.conv_id * 1000 + n.turn END AS dst_id
+SELECT c.conv_id * 1000000000 + c.turn AS src_id, CASE WHEN n.turn IS NULL THEN 'insert' ELSE 'episodic' END AS dst_type,
+       CASE WHEN n.turn IS NULL THEN c.conv_id ELSE n.conv_id * 1000000000 + n.turn END AS dst_id
 FROM conversations c LEFT JOIN conversations n ON n.conv_id = c.conv_id AND n.turn = c.turn + 1""")
 def evidence_links(spark, d) -> DataFrame:
     """Each turn's fact rests on the turn after it; the last one on the whole conversation."""
@@ -122,14 +122,14 @@ def evidence_links(spark, d) -> DataFrame:
 
 
 @query("cited_by", """
-SELECT n.conv_id * 1000 + n.turn AS episodic_id, c.conv_id * 1000 + c.turn AS semantic_id
+SELECT n.conv_id * 1000000000 + n.turn AS episodic_id, c.conv_id * 1000000000 + c.turn AS semantic_id
 FROM conversations c JOIN conversations n ON n.conv_id = c.conv_id AND n.turn = c.turn + 1""")
 def cited_by(spark, d) -> DataFrame:
     episodes, facts = _chat(spark, d)
     return build.cited_by(build.evidence_links(facts, episodes), episodes).select("episodic_id", "semantic_id")
 
 
-@query("procedure_links", "SELECT conv_id AS src_id, conv_id * 1000 + turn AS dst_id FROM conversations")
+@query("procedure_links", "SELECT conv_id AS src_id, conv_id * 1000000000 + turn AS dst_id FROM conversations")
 def procedure_links(spark, d) -> DataFrame:
     episodes, _ = _chat(spark, d)
     procedures = episodes.select("graph_id", "insert_id", "trajectory_num", F.col("insert_id").alias("procedural_id")).distinct()

@@ -61,15 +61,14 @@ def infer_goal(spark, d) -> DataFrame:
 
 
 @query("dated_turns", """
-SELECT conv_id::VARCHAR AS question_id, 0 AS session_no, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INTEGER AS turn,
-       'day ' || conv_id AS date, role || ' say: ' || text AS line FROM conversations""")
+SELECT doc_id::VARCHAR AS question_id, 0 AS session_no, unnest([0, 1]) AS turn, 'day ' || n_chars AS date,
+       unnest(['user say: ' || source, 'assistant say: ' || text]) AS line FROM documents""")
 def dated_turns(spark, d) -> DataFrame:
-    turns = b.turns(spark, d)
-    session = F.transform(
-        F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))), lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))
-    )
-    items = turns.groupBy("conv_id").agg(F.array(session).alias("haystack_sessions")).select(
-        F.col("conv_id").cast("string").alias("question_id"), "haystack_sessions", F.array(F.concat(F.lit("day "), F.col("conv_id").cast("string"))).alias("haystack_dates")
+    """Each document as the answer in a dated two-turn session."""
+    turn = lambda role, text: F.struct(F.lit(role).alias("role"), F.col(text).alias("content"))
+    items = b.table(spark, d, "documents").select(
+        F.col("doc_id").cast("string").alias("question_id"), F.array(F.array(turn("user", "source"), turn("assistant", "text"))).alias("haystack_sessions"),
+        F.array(F.concat(F.lit("day "), F.col("n_chars").cast("string"))).alias("haystack_dates"),
     )
     return ingest.dated_turns(items)
 
@@ -147,34 +146,39 @@ def render_transcript(spark, d) -> DataFrame:
     return ingest.render_transcripts(steps, goals, ["session_id"])
 
 
-@query("normalize_flat_episodes", with_bindings("""
-SELECT session_id, 0 AS trajectory_num, (row_number() OVER (PARTITION BY session_id ORDER BY turn) - 1)::INTEGER AS turn_num, text AS observation FROM turns"""))
+@query("normalize_flat_episodes", """
+SELECT doc_id, 0 AS trajectory_num, (n - 1)::INTEGER AS turn_num, parts[n] AS observation
+FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents))""")
 def normalize_flat_episodes(spark, d) -> DataFrame:
-    """Sessions as flat text lists, nested into one trajectory and opened again."""
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"])
-    inserts = b.turns(spark, d).groupBy("session_id").agg(texts.alias("episodic"))
+    """Documents as flat lists of text steps, nested into one trajectory and opened again."""
+    inserts = b.table(spark, d, "documents").select("doc_id", F.split("text", "\n").alias("episodic"))
     rows = ingest.explode_trajectories(ingest.nest_flat_episodes(inserts))
-    return rows.select("session_id", "trajectory_num", "turn_num", "step.observation")
+    return rows.select("doc_id", "trajectory_num", "turn_num", "step.observation")
 
 
-@query("insert_validation", with_bindings("""
-SELECT session_id, CASE WHEN session_id NOT IN (SELECT session_id FROM steps) THEN 'steps missing' END AS error
-FROM turns GROUP BY session_id""", _STEPS))
+@query("insert_validation", """
+SELECT doc_id, CASE WHEN n_chars % 3 = 2 THEN 'unknown mode' WHEN n_chars % 3 = 1 THEN NULL WHEN n_chars % 2 = 1 THEN 'goal missing'
+                    WHEN n_chars % 5 = 0 THEN 'steps missing' END AS error FROM documents""")
 def insert_validation(spark, d) -> DataFrame:
-    steps = ingest.messages_to_steps(b.lines(spark, d)).groupBy("session_id").agg(F.collect_list(F.struct("observation", "action")).alias("steps"))
-    rows = ingest.infer_goal(b.lines(spark, d)).join(steps, "session_id", "left")
-    return rows.select("session_id", ingest.invalid_insert(F.lit("trajectory"), F.col("goal"), F.col("steps")).alias("error"))
+    """Documents as insert requests: mode, goal and steps by text length."""
+    n = F.col("n_chars")
+    mode = F.when(n % 3 == 0, "trajectory").when(n % 3 == 1, "structured").otherwise("other")
+    goal = F.when(n % 2 == 0, F.col("source")).otherwise("")
+    steps = F.when(n % 5 == 0, F.array().cast("array<string>")).otherwise(F.split("text", "\n"))
+    return b.table(spark, d, "documents").select("doc_id", ingest.invalid_insert(mode, goal, steps).alias("error"))
 
 
-@query("trajectory_validation", with_bindings("""
-SELECT session_id, CASE WHEN n <> 3 THEN 'steps len ' || n || ' != 3' END AS error FROM (SELECT session_id, count(*) AS n FROM steps GROUP BY session_id)""", _STEPS))
+@query("trajectory_validation", """
+SELECT doc_id, CASE WHEN len(parts) <> 5 THEN 'steps len ' || len(parts) || ' != 5' WHEN list_contains(parts, '') THEN 'step missing observation/action' END AS error
+FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)""")
 def trajectory_validation(spark, d) -> DataFrame:
-    """Sessions checked as benchmark records of three steps."""
-    rows = ingest.messages_to_steps(b.lines(spark, d)).groupBy("session_id").agg(
-        F.collect_list(F.struct("observation", "action")).alias("steps"), F.collect_list("action").alias("semantic_facts"),
-        F.collect_list(F.struct(F.col("observation").alias("question"), F.col("action").alias("gold"))).alias("queries"),
+    """Documents checked as benchmark records of five steps, a blank line being a missing action."""
+    parts = F.split("text", "\n")
+    rows = b.table(spark, d, "documents").select(
+        "doc_id", F.transform(parts, lambda p: F.struct(p.alias("observation"), F.nullif(p, F.lit("")).alias("action"))).alias("steps"), parts.alias("semantic_facts"),
+        F.transform(parts, lambda p: F.struct(p.alias("question"), p.alias("gold"))).alias("queries"),
     )
-    return rows.select("session_id", ingest.invalid_trajectory(3, 3).alias("error"))
+    return rows.select("doc_id", ingest.invalid_trajectory(5, 5).alias("error"))
 
 
 # --- documents ---
@@ -234,29 +238,23 @@ def corpus_sentences(spark, d) -> DataFrame:
 
 
 @query("whole_context", """
-SELECT lang AS id, string_agg(chr(10) || 'Caption:' || source || chr(10) || 'Content:' || chr(10) || text, '' ORDER BY doc_id) AS text
-FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) GROUP BY lang""")
+SELECT doc_id AS id, chr(10) || 'Caption:' || source || chr(10) || 'Content:' || chr(10) || replace(text, chr(10), '')
+       || chr(10) || 'Caption:' || lang || chr(10) || 'Content:' || chr(10) || source AS text FROM documents""")
 def whole_context(spark, d) -> DataFrame:
-    """Low-quality documents of a language as the context of one question."""
-    rows = b.table(spark, d, "documents").join(b.table(spark, d, "labels").where("quality = 0").select("doc_id"), "doc_id", "left_semi")
-    context = F.transform(
-        F.array_sort(F.collect_list(F.struct("doc_id", "source", "text"))), lambda x: F.struct(x["source"].alias("title"), F.array(x["text"]).alias("sents"))
-    )
-    return ingest.render_contexts(rows.groupBy(F.col("lang").alias("id")).agg(context.alias("context")))
+    """A document's lines and its source as the context passages of one question."""
+    passage = lambda title, sents: F.struct(F.col(title).alias("title"), sents.alias("sents"))
+    context = F.array(passage("source", F.split("text", "\n")), passage("lang", F.array("source")))
+    return ingest.render_contexts(b.table(spark, d, "documents").select(F.col("doc_id").alias("id"), context.alias("context")))
 
 
-@query("objective_entry", with_bindings("""
-SELECT session_id, 'OBJECTIVE: ' || session_id || string_agg(chr(10) || 'OBSERVATION_' || n || ': ' || coalesce(o, 'N/A') || chr(10) || 'ACTION_' || n || ': ' || coalesce(a, 'N/A'), '' ORDER BY n) AS entry
-FROM (SELECT session_id, unnest(range(1, greatest(len(os), coalesce(len(ag), 0)) + 1)) AS n, os[n] AS o, ag[n] AS a FROM (
-  SELECT session_id, list(text ORDER BY turn) FILTER (role = 'user') AS os, list(text ORDER BY turn) FILTER (role = 'assistant') AS ag FROM turns GROUP BY session_id))
-GROUP BY session_id"""))
+@query("objective_entry", """
+SELECT doc_id, 'OBJECTIVE: ' || source || string_agg(chr(10) || 'OBSERVATION_' || n || ': ' || coalesce(o[n], 'N/A') || chr(10) || 'ACTION_' || n || ': ' || coalesce(a[n], 'N/A'), '' ORDER BY n) AS entry
+FROM (SELECT doc_id, source, o, a, unnest(range(1, greatest(len(o), 2) + 1)) AS n FROM (SELECT doc_id, source, string_split(text, chr(10)) AS o, [lang, source] AS a FROM documents))
+GROUP BY doc_id, source""")
 def objective_entry(spark, d) -> DataFrame:
-    def said(role: str):
-        rows = F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text"))))
-        return F.transform(rows, lambda t: t["text"])
-
-    rows = b.turns(spark, d).groupBy("session_id").agg(said("user").alias("o"), said("assistant").alias("a"))
-    return rows.select("session_id", ingest.objective_entry(F.col("session_id"), F.col("o"), F.col("a")).alias("entry"))
+    """A document's lines as observations, its language and source as the actions."""
+    entry = ingest.objective_entry(F.col("source"), F.split("text", "\n"), F.array("lang", "source"))
+    return b.table(spark, d, "documents").select("doc_id", entry.alias("entry"))
 
 
 @query("context_window", """

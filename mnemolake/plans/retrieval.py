@@ -277,7 +277,7 @@ def retrieve_modes(spark, d) -> DataFrame:
     facts = b.facts(spark, d)
     episodes = b.turns(spark, d).select(
         F.explode(F.array(F.lit("g0"), F.lit("g1"), F.lit("g2"))).alias("graph_id"),
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("episodic_id"),
+        (F.col("conv_id") * 1000000000 + F.col("turn")).alias("episodic_id"),
         F.col("text").alias("observation"), F.lit("").alias("action"), F.col("turn").cast("string").alias("time"),
         F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("session_id"),
     )
@@ -333,7 +333,7 @@ chunks AS (
 
 
 _PASSAGE_PAIRS = f"""passages AS (
-  SELECT doc_id * 100000 + chunk AS passage_id, {b.sql_hash('chunk_text')} AS embedding FROM chunks WHERE chunk_text <> ''),
+  SELECT doc_id * 10000000 + chunk AS passage_id, {b.sql_hash('chunk_text')} AS embedding FROM chunks WHERE chunk_text <> ''),
 passage_pairs AS (
   SELECT q.query_id, p.passage_id, list_cosine_similarity(q.embedding, p.embedding) AS relevance FROM queries q, passages p)"""
 
@@ -346,7 +346,7 @@ def dense_passages(spark, d) -> DataFrame:
     """Benchmark items against every chunk of every document."""
     chunks = ingest.chunk_text(b.table(spark, d, "documents").select("doc_id", "text"))
     passages = chunks.select(
-        F.lit("corpus").alias("graph_id"), (F.col("doc_id") * 100000 + F.col("chunk")).alias("passage_id"),
+        F.lit("corpus").alias("graph_id"), (F.col("doc_id") * 10000000 + F.col("chunk")).alias("passage_id"),
         F.col("chunk_text").alias("text"), hash_embedding(F.col("chunk_text"), b.DIM).alias("embedding"),
     )
     asked = b.queries(spark, d).withColumn("graph_id", F.lit("corpus"))
@@ -356,7 +356,7 @@ def dense_passages(spark, d) -> DataFrame:
 
 @query("turn_retrieval", with_bindings(f"""
 SELECT query_id, turn_id, round(relevance, 6) AS relevance, rank::INTEGER AS rank FROM (
-  SELECT q.query_id, conv_id * 1000 + turn AS turn_id,
+  SELECT q.query_id, conv_id * 1000000000 + turn AS turn_id,
          list_cosine_similarity(q.embedding, {b.sql_hash("t.role || ' say: ' || t.text")}) AS relevance,
          row_number() OVER (PARTITION BY query_id ORDER BY round(relevance, 12) DESC, turn_id) AS rank
   FROM queries q, turns t)
@@ -365,7 +365,7 @@ def turn_retrieval(spark, d) -> DataFrame:
     """Benchmark items against every dated conversation turn."""
     line = F.concat("role", F.lit(" say: "), "text")
     rows = b.turns(spark, d).select(
-        F.lit("chat").alias("graph_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), hash_embedding(line, b.DIM).alias("embedding")
+        F.lit("chat").alias("graph_id"), (F.col("conv_id") * 1000000000 + F.col("turn")).alias("turn_id"), hash_embedding(line, b.DIM).alias("embedding")
     )
     found = nearest(b.queries(spark, d).withColumn("graph_id", F.lit("chat")), rows, k=10, node_id="turn_id")
     return found.select("query_id", "turn_id", "rank", *_six("relevance"))
