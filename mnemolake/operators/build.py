@@ -13,10 +13,13 @@ any size never turns into all its pairs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemolake.functions import value as vf
+from mnemolake.functions.vector import hash_embedding
 from mnemolake.operators.ordered import number_rows
 from mnemolake.operators.similarity import nearest
 from mnemolake.schema import DEFAULT_CREDIBILITY, DEFAULT_IMPORTANCE
@@ -98,9 +101,10 @@ def sibling_counts(facts: DataFrame) -> DataFrame:
 def expand_links(edges: DataFrame, members: DataFrame, wanted: DataFrame) -> DataFrame:
     """Open group links of the ``wanted(graph_id, src_id)`` sources into one edge per member.
 
-    ``members(graph_id, insert_id, dst_type, dst_id)`` lists the nodes of each insert.
+    ``members(graph_id, insert_id, dst_type, dst_id)`` lists the nodes of each insert; with a
+    ``trajectory_num`` column, a procedure (``wanted`` then names its own) opens its trajectory only.
     """
-    mine = edges.join(wanted, ["graph_id", "src_id"], "left_semi")
+    mine = edges.join(wanted.select("graph_id", "src_id"), ["graph_id", "src_id"], "left_semi")
     plain = mine.where(F.col("dst_type") != "insert")
     target = F.when(F.col("kind") == "related", "semantic").otherwise("episodic")
     group = mine.where(F.col("dst_type") == "insert").select(
@@ -109,17 +113,25 @@ def expand_links(edges: DataFrame, members: DataFrame, wanted: DataFrame) -> Dat
     opened = group.join(members, ["graph_id", "insert_id", "dst_type"]).where(
         (F.col("kind") != "related") | (F.col("src_id") != F.col("dst_id"))
     )
+    if "trajectory_num" in members.columns and "trajectory_num" in wanted.columns:
+        own = wanted.select("graph_id", "src_id", F.coalesce("trajectory_num", F.lit(0)).cast("bigint").alias("_own"))
+        opened = opened.join(own, ["graph_id", "src_id"]).where(
+            (F.col("kind") != "from_session") | (F.coalesce("trajectory_num", F.lit(0)) == F.col("_own"))
+        )
     return plain.unionByName(opened.select(*plain.columns))
 
 
 def procedure_links(procedures: DataFrame, episodes: DataFrame) -> DataFrame:
-    """Procedure to the episodes of its trajectory."""
+    """Procedure to its trajectory's episodes: one edge to the insert, opened by ``expand_links``.
+
+    A procedure without trajectory number belongs to trajectory 0. Trajectories without episodes give no link.
+    """
     at = ["graph_id", "insert_id", "trajectory_num"]
-    steps = episodes.select("graph_id", "insert_id", F.col("trajectory_num").cast("bigint").alias("trajectory_num"), "episodic_id")
+    number = F.coalesce("trajectory_num", F.lit(0)).cast("bigint").alias("trajectory_num")
+    steps = episodes.select("graph_id", "insert_id", number).distinct()
     return (
-        procedures.withColumn("trajectory_num", F.coalesce("trajectory_num", F.lit(0)).cast("bigint"))
-        .join(steps, at)
-        .select(*edge("procedural", "procedural_id", "from_session", "episodic", "episodic_id"))
+        procedures.select("graph_id", "insert_id", number, "procedural_id").join(steps, at, "left_semi")
+        .select(*edge("procedural", "procedural_id", "from_session", "insert", "insert_id"))
     )
 
 
@@ -130,10 +142,13 @@ def tag_mentions(facts: DataFrame) -> DataFrame:
     )
 
 
-def upsert_tags(facts: DataFrame, stored: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def upsert_tags(
+    facts: DataFrame, stored: DataFrame | None = None, embed: Callable[[Column], Column] | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Exact-text tag upsert: (new tags, fact-tag edges).
 
-    New tags get ids in order of first mention and the time of the fact that brought them.
+    New tags get ids in order of first mention, the time of the fact that brought them and the vector ``embed``
+    makes of their text (the hash vector, as wide as the facts' vectors, unless given).
     """
     mentions = tag_mentions(facts)
     first = mentions.groupBy("graph_id", "tag").agg(
@@ -142,7 +157,8 @@ def upsert_tags(facts: DataFrame, stored: DataFrame | None = None) -> tuple[Data
     fresh = first if stored is None else first.join(stored.select("graph_id", "tag"), ["graph_id", "tag"], "left_anti")
     fresh = fresh.select("graph_id", "tag", "_first.semantic_id", "_first.tag_pos", "_first.time")
     ids = assign_ids(fresh, ["semantic_id", "tag_pos"], "tag_id", None if stored is None else next_ids(stored, "tag_id"))
-    new = ids.select("graph_id", "tag_id", "tag", "time", F.lit(DEFAULT_IMPORTANCE).alias("importance"))
+    vector = (embed or hash_embedding)(F.col("tag"))
+    new = ids.select("graph_id", "tag_id", "tag", vector.alias("embedding"), "time", F.lit(DEFAULT_IMPORTANCE).alias("importance"))
     known = new.select("graph_id", "tag_id", "tag")
     if stored is not None:
         known = known.unionByName(stored.select("graph_id", "tag_id", "tag"))
@@ -317,34 +333,52 @@ def degree_importance(nodes: DataFrame, id_column: str, edges: DataFrame, kind:
     )
 
 
-def lineage(edges: DataFrame, max_depth: int = 32) -> DataFrame:
+def lineage(edges: DataFrame) -> DataFrame:
     """All originals behind each merged fact: (graph_id, semantic_id, ancestor_id, depth).
 
-    The bounded loop stops when a level adds nothing; the merge graph has no cycles.
+    The relation is joined with itself, so known paths double in length per round: a chain of n merges takes
+    log2(n) rounds. Rounds stop when neither the pairs nor their depths change; the merge graph has no cycles.
     """
-    step = edges.where(F.col("kind") == "derived_from").select("graph_id", F.col("src_id").alias("semantic_id"), F.col("dst_id").alias("ancestor_id"))
-    level = step.withColumn("depth", F.lit(1))
-    total = level
-    hop = step.select("graph_id", F.col("semantic_id").alias("ancestor_id"), F.col("ancestor_id").alias("_next"))
-    for depth in range(2, max_depth + 1):
-        level = checkpointed(
-            level.join(hop, ["graph_id", "ancestor_id"]).select(
-                "graph_id", "semantic_id", F.col("_next").alias("ancestor_id"), F.lit(depth).alias("depth")
-            ).distinct()
-        )
-        if level.isEmpty():
-            break
-        total = total.unionByName(level)
-    return total.groupBy("graph_id", "semantic_id", "ancestor_id").agg(F.min("depth").alias("depth"))
+    key = ["graph_id", "semantic_id", "ancestor_id"]
+    known = checkpointed(
+        edges.where(F.col("kind") == "derived_from")
+        .select("graph_id", F.col("src_id").alias("semantic_id"), F.col("dst_id").alias("ancestor_id"), F.lit(1).alias("depth"))
+        .distinct()
+    )
+    size = None
+    while True:
+        found = known.agg(F.count(F.lit(1)), F.sum("depth")).first()
+        if found == size:
+            return known
+        size = found
+        onward = known.select("graph_id", F.col("semantic_id").alias("ancestor_id"), F.col("ancestor_id").alias("_next"), F.col("depth").alias("_more"))
+        longer = known.join(onward, ["graph_id", "ancestor_id"]).select("graph_id", "semantic_id", F.col("_next").alias("ancestor_id"), (F.col("depth") + F.col("_more")).alias("depth"))
+        known = checkpointed(known.unionByName(longer).groupBy(*key).agg(F.min("depth").alias("depth")))
+
+
+def ticking(rows: DataFrame, id_column: str, stored: DataFrame | None) -> DataFrame:
+    """Add ``time``: rows take the ticks after the graph's last one, in order of their new ids."""
+    first = rows.groupBy("graph_id").agg(F.min(id_column).alias("_first"))
+    timed = rows.join(first, "graph_id")
+    if stored is None:
+        return timed.withColumn("time", F.col(id_column) - F.col("_first")).drop("_first")
+    last = stored.groupBy("graph_id").agg((F.max("time") + 1).alias("_tick"))
+    tick = F.coalesce("_tick", F.lit(0)) + F.col(id_column) - F.col("_first")
+    return timed.join(last, "graph_id", "left").withColumn("time", tick).drop("_first", "_tick")
 
 
 def insert_batch(
-    steps: DataFrame, facts: DataFrame, procedures: DataFrame, stored: dict[str, DataFrame] | None = None
+    steps: DataFrame,
+    facts: DataFrame,
+    procedures: DataFrame,
+    stored: dict[str, DataFrame] | None = None,
+    embed: Callable[[Column], Column] | None = None,
 ) -> dict[str, DataFrame]:
     """Turn one batch of structured inserts into rows for every table.
 
-    ``stored`` holds the present tables (ids continue after them). Vectors must already be on
-    ``facts.embedding``, ``procedures.embedding`` and ``procedures.subgoal_embedding``.
+    ``stored`` holds the present tables (ids and clock continue after them). Vectors must already be on
+    ``facts.embedding``, ``procedures.embedding`` and ``procedures.subgoal_embedding``; ``embed`` makes those of
+    new tags.
     """
     stored = stored or {}
 
@@ -353,18 +387,20 @@ def insert_batch(
 
     episodes = assign_ids(steps, ["insert_id", "trajectory_num", "turn_num"], "episodic_id", first("episodic", "episodic_id"))
     semantic = assign_ids(without_blank(facts), ["insert_id", "fact_pos"], "semantic_id", first("semantic", "semantic_id"))
-    # the logical clock advances by one per fact, so a fact's time follows its id
+    # the logical clock advances by one per inserted fact; merged facts take ids without moving it
     semantic = (
-        semantic.withColumn("time", F.col("semantic_id"))
+        ticking(semantic, "semantic_id", stored.get("semantic"))
         .withColumn("tags", F.array_distinct("tags"))
         .withColumn("is_active", F.lit(True))
         .withColumn("credibility", F.lit(DEFAULT_CREDIBILITY))
     )
-    new_tags, tagged = upsert_tags(semantic, stored.get("tag"))
+    new_tags, tagged = upsert_tags(semantic, stored.get("tag"), embed)
     procedural = assign_ids(without_blank(procedures), ["insert_id", "proc_pos"], "procedural_id", first("procedural", "procedural_id")).withColumn(
         "time", F.col("procedural_id")
     )
     subgoals, grouped = upsert_subgoals(procedural, stored.get("subgoal"))
+    own = grouped.select("graph_id", F.col("src_id").alias("procedural_id"), F.col("dst_id").alias("subgoal_id"))
+    procedural = procedural.join(own, ["graph_id", "procedural_id"], "left")
     tag_ids = tagged.groupBy("graph_id", F.col("src_id").alias("semantic_id")).agg(F.sort_array(F.collect_set("dst_id")).alias("tag_ids"))
     semantic = semantic.join(tag_ids, ["graph_id", "semantic_id"], "left").withColumn(
         "tag_ids", F.coalesce("tag_ids", F.array().cast("array<bigint>"))

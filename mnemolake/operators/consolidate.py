@@ -63,22 +63,16 @@ def candidate_lists(
     threshold: float = MERGE_THRESHOLD,
     value: ValueFunction = SEMANTIC_EQUAL,
     list_size: int = LIST_SIZE,
-    sample_per_tag: int | None = None,
-    seed: int = 0,
 ) -> DataFrame:
     """Best later facts sharing a tag: (graph_id, id_a, id_b, score, place, full).
 
-    ``full`` marks facts whose list may have been cut at ``list_size``. ``sample_per_tag`` is the
-    optional sampling of popular tags (a fixed pseudo-random choice); without it every tag-sharing
-    fact is considered.
+    ``full`` marks facts whose list may have been cut at ``list_size``: working lists of the fold, not an answer.
+    ``all_pairs`` has every pair.
     """
     copies, searched = (None, scanners)
-    if sample_per_tag is None and value == SEMANTIC_EQUAL.with_limits(value.k, value.threshold) and 0 < threshold <= 1:
+    if value == SEMANTIC_EQUAL.with_limits(value.k, value.threshold) and 0 < threshold <= 1:
         copies, searched = _next_copies(scanners, candidates, list_size)
     nodes = _by_tag(candidates)
-    if sample_per_tag is not None:
-        drawn = Window.partitionBy("graph_id", "tag_id").orderBy(F.xxhash64(F.lit(seed), "semantic_id"))
-        nodes = nodes.withColumn("_draw", F.row_number().over(drawn)).where(F.col("_draw") <= sample_per_tag)
     near = nearest(
         _by_tag(searched).withColumnRenamed("semantic_id", "id_a"), nodes, k=list_size, query_id="id_a",
         by=("graph_id", "tag_id"), value=value, floor=threshold, later_only=True,
@@ -97,6 +91,17 @@ def candidate_lists(
     return lists if copies is None else lists.unionByName(copies)
 
 
+def all_pairs(
+    scanners: DataFrame, candidates: DataFrame, *, threshold: float = MERGE_THRESHOLD, value: ValueFunction = SEMANTIC_EQUAL
+) -> DataFrame:
+    """Every later fact that shares a tag and reaches the threshold: (graph_id, id_a, id_b, score)."""
+    near = nearest(
+        _by_tag(scanners).withColumnRenamed("semantic_id", "id_a"), _by_tag(candidates), k=None, query_id="id_a",
+        by=("graph_id", "tag_id"), value=value, floor=threshold, later_only=True,
+    )
+    return near.groupBy("graph_id", "id_a", F.col("semantic_id").alias("id_b")).agg(F.max("value").alias("score"))
+
+
 def _next_copies(scanners: DataFrame, candidates: DataFrame, list_size: int) -> tuple[DataFrame | None, DataFrame]:
     """Lists of facts with plenty of later copies, and the scanners that still need a search.
 
@@ -132,30 +137,37 @@ def _by_tag(facts: DataFrame) -> DataFrame:
     return facts.select("graph_id", "semantic_id", "embedding", F.explode(F.array_distinct("tag_ids")).alias("tag_id"))
 
 
+def evidence_lists(facts: DataFrame, edges: DataFrame) -> DataFrame:
+    """``facts`` with ``episodic_ids`` and ``whole_insert`` from their stored ``evidenced_by`` edges."""
+    cited = edges.where((F.col("kind") == "evidenced_by") & (F.col("src_type") == "semantic"))
+    lists = cited.groupBy("graph_id", F.col("src_id").alias("semantic_id")).agg(
+        F.sort_array(F.collect_set(F.when(F.col("dst_type") == "episodic", F.col("dst_id")))).alias("episodic_ids"),
+        F.max(F.col("dst_type") == "insert").alias("whole_insert"),
+    )
+    bare = facts.drop(*[c for c in ("episodic_ids", "whole_insert") if c in facts.columns])
+    return bare.join(lists, ["graph_id", "semantic_id"], "left")
+
+
 def share_evidence(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     """Add ``barred``: both facts rest on a common episode.
 
-    Evidence is ``episodic_ids``; a fact evidenced by its whole insert says so in ``whole_insert``.
+    Evidence is ``episodic_ids`` (``evidence_lists`` reads it off stored edges); a fact evidenced by its whole
+    insert says so in ``whole_insert``, next to ``insert_id``.
     """
-    columns = {"episodic_ids": "array<bigint>", "insert_id": "bigint", "whole_insert": "boolean"}
-    lists = facts.select(
-        "graph_id", "semantic_id",
-        *[F.col(c) if c in facts.columns else F.lit(None).cast(t).alias(c) for c, t in columns.items()],
-    )
+    if "episodic_ids" not in facts.columns:
+        raise ValueError("facts carry no evidence: add it by evidence_lists, or allow common evidence")
+    no = F.lit(False)
+    names = ["episodic_ids", *[c for c in ("insert_id", "whole_insert") if c in facts.columns]]
+    lists = facts.select("graph_id", "semantic_id", *names)
 
     def side(name: str) -> DataFrame:
-        return lists.select("graph_id", F.col("semantic_id").alias(f"id_{name}"), F.struct(*columns).alias(f"_{name}"))
+        return lists.select("graph_id", F.col("semantic_id").alias(f"id_{name}"), F.struct(*names).alias(f"_{name}"))
 
-    same_insert = (F.col("_a.insert_id") == F.col("_b.insert_id")) & (
-        F.coalesce(F.col("_a.whole_insert"), F.lit(False)) | F.coalesce(F.col("_b.whole_insert"), F.lit(False))
-    )
-    overlap = F.arrays_overlap(F.col("_a.episodic_ids"), F.col("_b.episodic_ids"))
-    no = F.lit(False)
-    return (
-        pairs.join(side("a"), ["graph_id", "id_a"]).join(side("b"), ["graph_id", "id_b"])
-        .withColumn("barred", F.coalesce(overlap, no) | F.coalesce(same_insert, no))
-        .drop("_a", "_b")
-    )
+    barred = F.coalesce(F.arrays_overlap(F.col("_a.episodic_ids"), F.col("_b.episodic_ids")), no)
+    if len(names) == 3:
+        whole = F.coalesce("_a.whole_insert", no) | F.coalesce("_b.whole_insert", no)
+        barred |= F.coalesce((F.col("_a.insert_id") == F.col("_b.insert_id")) & whole, no)
+    return pairs.join(side("a"), ["graph_id", "id_a"]).join(side("b"), ["graph_id", "id_b"]).withColumn("barred", barred).drop("_a", "_b")
 
 
 def _folder(k: int, max_merges: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -200,7 +212,6 @@ def resolve_merges(
     allow_common_evidence: bool = False,
     list_size: int = LIST_SIZE,
     fold_size: int = FOLD_SIZE,
-    sample_per_tag: int | None = None,
 ) -> DataFrame:
     """Merges of a sequential greedy scan: (graph_id, id_a, id_b, place, score, deactivate_a, deactivate_b).
 
@@ -212,7 +223,7 @@ def resolve_merges(
     merges: list[DataFrame] = []
     while True:
         lists = candidate_lists(
-            scanners, candidates, threshold=threshold, value=value, list_size=list_size, sample_per_tag=sample_per_tag
+            scanners, candidates, threshold=threshold, value=value, list_size=list_size
         )
         lists = lists.withColumn("barred", F.lit(False)) if allow_common_evidence else share_evidence(lists, facts)
         yes = F.lit(True)
@@ -287,7 +298,6 @@ def consolidate(
     credibility_decay: int = 0,
     window: int | None = None,
     allow_common_evidence: bool = False,
-    sample_per_tag: int | None = None,
     list_size: int = LIST_SIZE,
     fold_size: int = FOLD_SIZE,
     embed: Callable[[Column], Column] | None = None,
@@ -306,7 +316,7 @@ def consolidate(
         resolve_merges(
             facts, scanner=F.col("_scope") & active & ~F.col("_weak"), candidate=active & (F.col("time") < F.col("now")),
             decisions=decisions, threshold=threshold, value=value, max_merges=max_merges,
-            allow_common_evidence=allow_common_evidence, list_size=list_size, fold_size=fold_size, sample_per_tag=sample_per_tag,
+            allow_common_evidence=allow_common_evidence, list_size=list_size, fold_size=fold_size,
         )
     )
     key = ["graph_id", "semantic_id"]
@@ -331,10 +341,17 @@ def consolidate(
         .withColumn("new_facts", F.col("merged_pairs"))
     )
     merged = merged_facts(merges, facts, decisions, embed)
-    sons = merged.select("graph_id", "semantic_id", F.explode(F.array("id_a", "id_b")).alias("_son")).select(
-        "graph_id", F.lit("semantic").alias("src_type"), F.col("semantic_id").alias("src_id"), F.lit("derived_from").alias("kind"),
-        F.lit("semantic").alias("dst_type"), F.col("_son").alias("dst_id"),
-    )
+    def links(ids: Column, kind: str, target: str) -> DataFrame:
+        return merged.select("graph_id", "semantic_id", F.explode(ids).alias("_to")).select(
+            "graph_id", F.lit("semantic").alias("src_type"), F.col("semantic_id").alias("src_id"), F.lit(kind).alias("kind"),
+            F.lit(target).alias("dst_type"), F.col("_to").cast("bigint").alias("dst_id"),
+        )
+
+    sons = links(F.array("id_a", "id_b"), "derived_from", "semantic").unionByName(links(F.col("tag_ids"), "tagged", "tag"))
+    if "episodic_ids" in merged.columns:
+        sons = sons.unionByName(links(F.col("episodic_ids"), "evidenced_by", "episodic"))
+    if "insert_ids" in merged.columns:
+        sons = sons.unionByName(links(F.col("insert_ids"), "evidenced_by", "insert"))
     hidden = [c for c in rows.columns if c.startswith("_")]
     return {"facts": updated.drop(*hidden, "now"), "merged": merged, "edges": sons, "stats": stats, "merges": merges}
 
@@ -344,7 +361,9 @@ def merged_facts(merges: DataFrame, facts: DataFrame, decisions: DataFrame | Non
     first = facts.groupBy("graph_id").agg((F.max("semantic_id") + 1).alias("_first"))
     numbered = number_rows(merges.select("graph_id", "id_a", "id_b", "place"), ["graph_id"], ["id_a", "place"], "_n")
     has_evidence = "episodic_ids" in facts.columns
-    parts = ["text", "tags", "tag_ids"] + (["episodic_ids"] if has_evidence else [])
+    if {"whole_insert", "insert_id"} <= set(facts.columns):
+        facts = facts.withColumn("insert_ids", F.when(F.col("whole_insert"), F.array("insert_id")).otherwise(F.array().cast("array<bigint>")))
+    parts = ["text", "tags", "tag_ids"] + (["episodic_ids"] if has_evidence else []) + (["insert_ids"] if "insert_ids" in facts.columns else [])
 
     def side(name: str) -> DataFrame:
         return facts.select("graph_id", F.col("semantic_id").alias(f"id_{name}"), *[F.col(p).alias(f"{p}_{name}") for p in parts])

@@ -2,50 +2,52 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mnemolake.functions import text as tx
 from mnemolake.operators.ordered import number_rows
 from mnemolake.session import checkpointed
 
-# Share of the budget at which packing stops, tokens kept for everything else.
+# Fixed value: share of the budget at which packing stops.
 FULL_AT = 0.99
-RESERVED_TOKENS = 4000
 
 # Primes above any 32-bit position: each is a stride that visits every position exactly once.
 STRIDES = (4294967311, 4294967357, 4294967371, 4294967377, 4294967387, 4294967389, 4294967459, 4294967477)
 
 
+def _token_f1(pred: list[str], gold: list[str]) -> float:
+    same = (Counter(pred) & Counter(gold)).total()
+    if not same:
+        return 0.0
+    precision, recall = same / len(pred), same / len(gold)
+    return 2.0 * precision * recall / (precision + recall)
+
+
 def em_f1(predictions: DataFrame, key: str, pred: str = "pred", gold: str = "gold") -> DataFrame:
     """Exact match and token F1 (multiset overlap) per ``key``, which is unique: (key, em, f1).
 
-    Without gold both are 0. Tokens of both sides are counted together per (key, token), so texts of
-    any length and any number of rows share one partially aggregated shuffle.
+    Without gold both are 0. Both texts stand in one row, so tokens are counted there, in Arrow batches and
+    without any shuffle.
     """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f1 = [_token_f1(p, g) for p, g in zip(batch.column("p").to_pylist(), batch.column("g").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("em"), pa.array(f1, pa.float64())], [key, "em", "f1"])
+
     none = F.array().cast("array<string>")
-    tokens = predictions.select(
-        key, F.coalesce(tx.answer_tokens(F.col(pred)), none).alias("_p"), tx.answer_tokens(F.col(gold)).alias("_g")
-    )
-    # both sides become rows first, so each token list is opened where it stands
-    side = F.struct(F.col("_p").alias("words"), F.lit(1).alias("p"), F.lit(0).alias("g"))
-    other = F.struct(F.coalesce("_g", none).alias("words"), F.lit(0).alias("p"), F.lit(1).alias("g"))
-    exact = F.coalesce(F.col("_p") == F.col("_g"), F.lit(False)).cast("int")
-    sides = tokens.select(key, exact.alias("_em"), F.explode(F.array(side, other)).alias("_s"))
-    words = sides.select(key, "_em", "_s.p", "_s.g", F.explode_outer("_s.words").alias("t"))
-    per_token = words.groupBy(key, "t").agg(F.max("_em").alias("_em"), F.sum("p").alias("_p"), F.sum("g").alias("_g"))
-
-    def total(c: Column) -> Column:
-        return F.sum(F.when(F.col("t").isNotNull(), c).otherwise(0)).cast("double")
-
-    sums = per_token.groupBy(key).agg(
-        F.max("_em").cast("double").alias("em"), total(F.least("_p", "_g")).alias("_same"),
-        total(F.col("_p")).alias("_p"), total(F.col("_g")).alias("_g"),
-    )
-    precision, recall = F.col("_same") / F.col("_p"), F.col("_same") / F.col("_g")
-    f1 = F.when(F.col("_same") > 0, F.lit(2.0) * precision * recall / (precision + recall)).otherwise(0.0)
-    return sums.select(key, "em", f1.alias("f1"))
+    p, g = tx.answer_tokens(F.col(pred)), tx.answer_tokens(F.col(gold))
+    rows = predictions.select(key, F.coalesce(p, none).alias("p"), g.alias("g"))
+    rows = rows.select(key, F.coalesce(F.col("p") == F.col("g"), F.lit(False)).cast("double").alias("em"), "p", F.coalesce("g", none).alias("g"))
+    out = T.StructType([rows.schema[key], T.StructField("em", T.DoubleType()), T.StructField("f1", T.DoubleType())])
+    return rows.mapInArrow(count, out)
 
 
 def score_summary(scored: DataFrame, *by: str) -> DataFrame:

@@ -12,7 +12,7 @@ from mnemolake.functions import text as tx
 from mnemolake.functions.vector import cosine, hash_embedding, norm
 from mnemolake.operators.ordered import groups_are_small, number_rows, previous_row, running_sum
 
-# Display limits, dialogue placeholders, subgoal cut, embedding input limit, chunking.
+# Display limits, dialogue placeholders, subgoal cut, chunking.
 ARGUMENT_CHARS = 80
 RESULT_CHARS = 500
 COMMAND_CHARS = 120
@@ -23,7 +23,6 @@ USER_PREFIX = "User Say: "
 AGENT_PREFIX = "Agent Say: "
 NOTHING_SAID = "..."
 SAME_SUBGOAL = 0.75
-EMBED_CHARS = 8192
 CHUNK_CHARS = 256
 CHUNK_OVERLAP = 64
 TRACE_FIELDS = ("observation", "action", "state", "reward", "subgoal")
@@ -57,8 +56,12 @@ def blocks_text(blocks: Column) -> Column:
     return F.array_join(F.transform(texts, lambda b: b["text"]), "\n")
 
 
-def tool_calls(blocks: Column) -> Column:
-    """``[name(key=value, …)]`` per tool call."""
+def _limited(text: Column, limit: int | None) -> Column:
+    return text if limit is None else tx.truncate(text, limit)
+
+
+def tool_calls(blocks: Column, limit: int | None = None) -> Column:
+    """``[name(key=value, …)]`` per tool call, values whole unless a limit is given."""
     calls = F.filter(
         blocks, lambda b: (b["type"] == "toolCall") & (F.coalesce(b["name"], F.lit("")) != "")
     )
@@ -66,27 +69,32 @@ def tool_calls(blocks: Column) -> Column:
     def one(call: Column) -> Column:
         arguments = F.transform(
             F.map_entries(F.coalesce(call["arguments"], F.create_map().cast("map<string,string>"))),
-            lambda e: F.concat(e["key"], F.lit("="), tx.truncate(e["value"], ARGUMENT_CHARS)),
+            lambda e: F.concat(e["key"], F.lit("="), _limited(e["value"], limit)),
         )
         return F.concat(F.lit("["), call["name"], F.lit("("), F.array_join(arguments, ", "), F.lit(")]"))
 
     return F.array_join(F.transform(calls, one), " ")
 
 
-def flatten_messages(messages: DataFrame) -> DataFrame:
-    """Add ``part`` (observation, action or null) and its ``line`` to raw session messages."""
+def flatten_messages(
+    messages: DataFrame, *, argument_chars: int | None = None, result_chars: int | None = None, command_chars: int | None = None
+) -> DataFrame:
+    """Add ``part`` (observation, action or null) and its ``line`` to raw session messages.
+
+    Texts stay whole; the limits (``ARGUMENT_CHARS``, ``RESULT_CHARS``, ``COMMAND_CHARS``) are for display.
+    """
     blocks = message_blocks(F.col("content"))
     text = blocks_text(F.col("_blocks"))
     blank = F.lit("")
-    action = F.concat_ws("\n", F.nullif(text, blank), F.nullif(tool_calls(F.col("_blocks")), blank))
+    action = F.concat_ws("\n", F.nullif(text, blank), F.nullif(tool_calls(F.col("_blocks"), argument_chars), blank))
     label = F.when(F.coalesce("isError", F.lit(False)), F.concat(F.lit("[ERROR from "), F.col("toolName"), F.lit("]"))).otherwise(
         F.concat(F.lit("["), F.col("toolName"), F.lit(" result]"))
     )
-    result = F.concat_ws(" ", label, F.nullif(tx.truncate(text, RESULT_CHARS), blank))
+    result = F.concat_ws(" ", label, F.nullif(_limited(text, result_chars), blank))
     prefix = F.when(F.coalesce("exitCode", F.lit(0)) != 0, F.concat(F.lit("[bash exit="), F.col("exitCode").cast("string"), F.lit("]"))).otherwise("[bash]")
-    command = F.coalesce(F.nullif(tx.truncate(F.col("command"), COMMAND_CHARS), blank), F.lit("bash"))
+    command = F.coalesce(F.nullif(_limited(F.col("command"), command_chars), blank), F.lit("bash"))
     shell = F.concat_ws(
-        "\n", F.concat(prefix, F.lit(" "), command), F.nullif(tx.truncate(F.col("output"), RESULT_CHARS), blank)
+        "\n", F.concat(prefix, F.lit(" "), command), F.nullif(_limited(F.col("output"), result_chars), blank)
     )
     role = F.col("role")
     line = F.when(role == "user", text).when(role == "assistant", action).when(role == "toolResult", result).when(role == "bashExecution", shell)
@@ -124,12 +132,14 @@ def messages_to_steps(lines: DataFrame, key: Sequence[str] = ("session_id",), or
     return number_rows(steps, key, ["_turn"], "step", small=small).select(*key, "step", "observation", "action")
 
 
-def infer_goal(lines: DataFrame, key: Sequence[str] = ("session_id",), order: str = "ord") -> DataFrame:
-    """First non-empty user text of each session, shortened; a generic label otherwise."""
+def infer_goal(
+    lines: DataFrame, key: Sequence[str] = ("session_id",), order: str = "ord", limit: int | None = GOAL_CHARS
+) -> DataFrame:
+    """First non-empty user text of each session, a label of ``limit`` characters unless that is None; a generic one otherwise."""
     said = F.when((F.col("role") == "user") & (F.col("line") != ""), F.col("line"))
     first = F.min(F.when(said.isNotNull(), F.struct(F.col(order), said.alias("line"))))
     return lines.groupBy(*key).agg(
-        F.coalesce(tx.truncate(first["line"], GOAL_CHARS), F.lit(DEFAULT_GOAL)).alias("goal")
+        F.coalesce(_limited(first["line"], limit), F.lit(DEFAULT_GOAL)).alias("goal")
     )
 
 
@@ -286,25 +296,19 @@ def invalid_insert(mode: Column, goal: Column, steps: Column) -> Column:
 
 
 def invalid_trajectory(n_steps: int, n_queries: int) -> Column:
-    """First broken rule of a benchmark trajectory record, or null."""
+    """First broken rule of a benchmark trajectory record as ``field:size:found`` or ``field:null``; null if none."""
 
-    def wrong_size(name: str, wanted: int) -> Column:
-        found = F.when(F.col(name).isNull(), 0).otherwise(F.size(name))
-        message = F.concat(F.lit(f"{name} len "), found.cast("string"), F.lit(f" != {wanted}"))
-        return F.when(found != wanted, message)
+    def size_rule(name: str, wanted: int) -> Column:
+        found = F.coalesce(F.size(name), F.lit(0))
+        found = F.when(F.col(name).isNull(), 0).otherwise(found)
+        return F.when(found != wanted, F.concat(F.lit(f"{name}:size:"), found.cast("string")))
 
-    def gap(name: str, fields: Sequence[str], message: str) -> Column:
-        return F.when(
-            F.exists(name, lambda r: F.greatest(*[r[f].isNull() for f in fields])), message
-        )
+    def null_rule(name: str, fields: Sequence[str]) -> Column:
+        return F.when(F.exists(name, lambda r: F.greatest(*[r[f].isNull() for f in fields])), f"{name}:null")
 
-    return F.coalesce(
-        wrong_size("steps", n_steps),
-        wrong_size("semantic_facts", n_steps),
-        wrong_size("queries", n_queries),
-        gap("steps", ("observation", "action"), "step missing observation/action"),
-        gap("queries", ("question", "gold"), "query missing question/gold"),
-    )
+    sizes = {"steps": n_steps, "semantic_facts": n_steps, "queries": n_queries}
+    whole = {"steps": ("observation", "action"), "queries": ("question", "gold")}
+    return F.coalesce(*[size_rule(*r) for r in sizes.items()], *[null_rule(*r) for r in whole.items()])
 
 
 # --- documents and traces ---------------------------------------------------------------------
@@ -383,7 +387,7 @@ def context_window(text: Column, action: Column, around: int = CONTEXT_LINES) ->
 
 
 def text_key(text: Column) -> Column:
-    return F.sha2(F.left(text, F.lit(EMBED_CHARS)), 256)
+    return F.sha2(text, 256)
 
 
 Embedder = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
@@ -403,11 +407,12 @@ def embed_texts(
 
     Equal texts are computed once; texts in ``cache`` are not computed again unless ``refresh``.
     ``embedder`` maps batches of (text_hash, text) to (text_hash, embedding); the default is the
-    hash vector, which stays in the JVM. Texts are cut at the model's input limit first.
+    hash vector, which stays in the JVM. Whole texts are keyed and handed over: an embedder with an input limit cuts
+    them itself.
     """
     keyed = rows.withColumn("_hash", text_key(F.col(text)))
     wanted = keyed.where(F.col(text).isNotNull()).groupBy(F.col("_hash").alias("text_hash")).agg(
-        F.first(F.left(F.col(text), F.lit(EMBED_CHARS))).alias("text")
+        F.first(F.col(text)).alias("text")
     )
     known = None if cache is None else cache.where(F.col("model") == model)
     if known is not None and not refresh:

@@ -2,9 +2,10 @@
 
 A plain window puts a whole group in one task. That is right while every group is small, which is
 checked first (one count over the keys). With a larger group each group is cut into blocks of its
-leading order column (``order[0]`` must be a non-negative integer); a small per-block summary carries
+leading order column (``order[0]`` must be a non-negative integer or null); a small per-block summary carries
 totals or the last row from block to block, and the windows run inside (group, block). Groups of any
-size then spread over the cluster and the outcome is the same. Group keys must not be null.
+size then spread over the cluster and the outcome is the same. Missing keys form a group of their own on
+both routes.
 
 ``small`` hands on what is already known: keys refined from checked ones need no second count.
 """
@@ -12,6 +13,7 @@ size then spread over the cluster and the outcome is the same. Group keys must n
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,6 +33,14 @@ def _blocked(df: DataFrame, order: Sequence[str], span: int) -> DataFrame:
     return df.withColumn("_block", F.floor(F.col(order[0]) / F.lit(span)))
 
 
+def _carried(blocked: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join each row to its block's summary; missing keys and blocks match each other."""
+    names = [*keys, "_block"]
+    other = carry.select(*[F.col(c).alias(f"_of{i}") for i, c in enumerate(names)], *[c for c in carry.columns if c not in names])
+    same = [F.col(c).eqNullSafe(F.col(f"_of{i}")) for i, c in enumerate(names)]
+    return blocked.join(other, reduce(Column.__and__, same)).drop(*[f"_of{i}" for i in range(len(names))])
+
+
 def running_sum(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, out: str, *, span: int = SPAN, small: bool | None = None
 ) -> DataFrame:
@@ -51,7 +61,7 @@ def running_sum(
         Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     )
     return (
-        blocked.join(carry, [*keys, "_block"])
+        _carried(blocked, carry, keys)
         .withColumn(out, F.coalesce(F.sum("_value").over(inside), F.lit(0)) + F.col("_carry"))
         .drop("_block", "_value", "_carry")
     )
@@ -84,7 +94,7 @@ def previous_row(
     )
     inside = Window.partitionBy(*keys, "_block").orderBy(*order)
     return (
-        blocked.join(carry, [*keys, "_block"])
+        _carried(blocked, carry, keys)
         .withColumn(out, F.coalesce(F.lag("_row").over(inside), F.col("_carry")))
         .drop("_block", "_row", "_carry")
     )

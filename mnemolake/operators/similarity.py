@@ -3,7 +3,7 @@
 Spark partitions the nodes; inside a task one matrix product scores a block of nodes against the
 queries of the same graph and only each query's best rows leave the task. Two exact routes:
 
-* the query side is small (counted first, ``BROADCAST_QUERIES`` at most): queries are broadcast and
+* the query side is small (``BROADCAST_QUERIES`` rows and ``BROADCAST_BYTES`` at most, measured first): queries are broadcast and
   the node table is scanned where it lies, with no shuffle of vectors;
 * otherwise both sides are split into bounded blocks per graph and block pairs are co-grouped, so a
   graph with a third of all rows becomes many equal tasks.
@@ -17,6 +17,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from mnemolake.functions.value import ValueFunction
 
 BROADCAST_QUERIES = 8192
+BROADCAST_BYTES = 32 << 20
 QUERY_BLOCK = 4096
 NODE_BLOCK = 16384
 SCORE_DIGITS = 12  # scores closer than this are ties, whatever order the product summed in
@@ -41,6 +43,9 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]
     """Rows of a list column as a DOUBLE matrix with its norms."""
     column = _one_chunk(column)
     rows = len(column)
+    widths = np.unique(pc.list_value_length(column).to_numpy(zero_copy_only=False)) if rows else ()
+    if len(widths) > 1:
+        raise ValueError(f"vectors of unequal width: {sorted(widths.tolist())}")
     flat = np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64)
     matrix = flat.reshape(rows, -1) if rows else np.zeros((0, 1))
     return matrix, np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
@@ -142,8 +147,8 @@ def nearest(
         + [queries.schema[query_id], nodes.schema[node_id]]
         + [T.StructField("relevance", T.DoubleType()), T.StructField("value", T.DoubleType())]
     )
-    sample = queries.limit(broadcast_rows + 1).toArrow() if broadcast_rows else None
-    if sample is not None and sample.num_rows <= broadcast_rows:
+    sample = _small(queries, broadcast_rows) if broadcast_rows else None
+    if sample is not None:
         pairs = _scan(sample, nodes, by, query_id, node_id, out, value, k, floor, later_only)
     else:
         pairs = _blocks(queries, nodes, by, query_id, node_id, out, value, k, floor, later_only)
@@ -153,16 +158,21 @@ def nearest(
     return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def _small(queries: DataFrame, rows: int) -> pa.Table | None:
+    """The query side if it has at most ``rows`` rows and ``BROADCAST_BYTES`` of vectors; measured before it is fetched."""
+    width = F.size("_vector").cast("bigint") * 8
+    n, size = queries.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return queries.toArrow() if n <= rows and size <= BROADCAST_BYTES else None
+
+
 def _keys(table: pa.Table | pa.RecordBatch, by: list[str]) -> dict[tuple, np.ndarray]:
     """Row positions per key tuple."""
     coded = [_one_chunk(table.column(c)).dictionary_encode(null_encoding="encode") for c in by]
     codes = np.stack([c.indices.to_numpy(zero_copy_only=False) for c in coded], axis=1)
-    unique, inverse = np.unique(codes, axis=0, return_inverse=True)
-    inverse = inverse.reshape(-1)
-    return {
-        tuple(c.dictionary[int(i)].as_py() for c, i in zip(coded, row)): np.nonzero(inverse == n)[0]
-        for n, row in enumerate(unique)
-    }
+    unique, inverse, sizes = np.unique(codes, axis=0, return_inverse=True, return_counts=True)
+    # one sort brings the rows of every key together
+    runs = np.split(np.argsort(inverse.reshape(-1), kind="stable"), np.cumsum(sizes)[:-1])
+    return {tuple(c.dictionary[int(i)].as_py() for c, i in zip(coded, row)): rows for row, rows in zip(unique, runs)}
 
 
 def _emit(schema: pa.Schema, key: tuple, query_ids: np.ndarray, found: tuple) -> pa.RecordBatch:

@@ -129,11 +129,17 @@ def cited_by(spark, d) -> DataFrame:
     return build.cited_by(build.evidence_links(facts, episodes), episodes).select("episodic_id", "semantic_id")
 
 
-@query("procedure_links", "SELECT conv_id AS src_id, conv_id * 1000000000 + turn AS dst_id FROM conversations")
+@query("procedure_links", """
+SELECT DISTINCT conv_id AS src_id, 'insert' AS dst_type, conv_id AS dst_id, count(*) OVER (PARTITION BY conv_id) AS n_episodes FROM conversations""")
 def procedure_links(spark, d) -> DataFrame:
+    """One link per procedure, and how many episodes it opens into."""
     episodes, _ = _chat(spark, d)
     procedures = episodes.select("graph_id", "insert_id", "trajectory_num", F.col("insert_id").alias("procedural_id")).distinct()
-    return build.procedure_links(procedures, episodes).select("src_id", "dst_id")
+    links = build.procedure_links(procedures, episodes)
+    members = episodes.select("graph_id", "insert_id", "trajectory_num", F.lit("episodic").alias("dst_type"), F.col("episodic_id").alias("dst_id"))
+    opened = build.expand_links(links, members, procedures.select("graph_id", F.col("procedural_id").alias("src_id"), "trajectory_num"))
+    n = opened.groupBy("graph_id", "src_id").agg(F.count(F.lit(1)).alias("n_episodes"))
+    return links.join(n, ["graph_id", "src_id"]).select("src_id", "dst_type", "dst_id", "n_episodes")
 
 
 @query("subgoal_upsert", """
@@ -239,11 +245,21 @@ _PAIRS = """pairs AS (
 _MERGE_AT = 0.2
 
 
-@query("consolidation_pairs", with_bindings("""
+@query("consolidation_pairs", with_bindings("SELECT graph_id, id_a, id_b, round(score, 6) AS score, barred FROM pairs WHERE round(score, 12) >= 0.2", _PAIRS))
+def consolidation_pairs(spark, d) -> DataFrame:
+    """All pairs at the threshold."""
+    facts = b.facts(spark, d)
+    active = facts.where("is_active")
+    rows = consolidate.share_evidence(consolidate.all_pairs(active, active, threshold=_MERGE_AT), facts)
+    return rows.select("graph_id", "id_a", "id_b", F.round("score", 6).alias("score"), "barred")
+
+
+@query("consolidation_best_32", with_bindings("""
 SELECT graph_id, id_a, id_b, round(score, 6) AS score, barred, place::INTEGER AS place FROM (
   SELECT *, row_number() OVER (PARTITION BY id_a ORDER BY round(score, 12) DESC, id_b) AS place FROM pairs WHERE round(score, 12) >= 0.2)
 WHERE place <= 32""", _PAIRS))
-def consolidation_pairs(spark, d) -> DataFrame:
+def consolidation_best_32(spark, d) -> DataFrame:
+    """The 32 best partners of each fact, the list one fold works on."""
     facts = b.facts(spark, d)
     lists = consolidate.candidate_lists(facts.where("is_active"), facts.where("is_active"), threshold=_MERGE_AT)
     rows = consolidate.share_evidence(lists, facts)

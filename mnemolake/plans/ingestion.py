@@ -97,7 +97,7 @@ def message_flattening(spark, d) -> DataFrame:
         F.lit(None).cast("string").alias("output"), F.lit(None).cast("int").alias("exitCode"),
     )
     raw = raw.withColumn("role", F.when(F.col("role") == "user", "toolResult").otherwise(F.col("role")))
-    rows = ingest.flatten_messages(raw)
+    rows = ingest.flatten_messages(raw, argument_chars=ingest.ARGUMENT_CHARS, result_chars=ingest.RESULT_CHARS, command_chars=ingest.COMMAND_CHARS)
     return rows.select("session_id", "ord", F.when(F.col("role") == "toolResult", "user").otherwise(F.col("role")).alias("role"), "part", "line")
 
 
@@ -169,7 +169,7 @@ def insert_validation(spark, d) -> DataFrame:
 
 
 @query("trajectory_validation", """
-SELECT doc_id, CASE WHEN len(parts) <> 5 THEN 'steps len ' || len(parts) || ' != 5' WHEN list_contains(parts, '') THEN 'step missing observation/action' END AS error
+SELECT doc_id, CASE WHEN len(parts) <> 5 THEN 'steps:size:' || len(parts) WHEN list_contains(parts, '') THEN 'steps:null' END AS error
 FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)""")
 def trajectory_validation(spark, d) -> DataFrame:
     """Documents checked as benchmark records of five steps, a blank line being a missing action."""
@@ -196,7 +196,7 @@ def hash_embedding_query(spark, d) -> DataFrame:
 
 
 @query("embedding_cache", """
-SELECT sha256(left(text, 8192)) AS text_hash, count(*) AS n_docs FROM documents GROUP BY 1""")
+SELECT sha256(text) AS text_hash, count(*) AS n_docs FROM documents GROUP BY 1""")
 def embedding_cache(spark, d) -> DataFrame:
     """Documents embedded once per distinct text, those of one language taken from a stored cache."""
     rows = b.table(spark, d, "documents")

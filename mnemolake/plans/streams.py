@@ -15,6 +15,10 @@ from mnemolake.sources.tables import MemoryStore
 from mnemolake.streaming import jobs
 
 
+#: How late an event may come: the whole span of the supplied month.
+LATE = "31 days"
+
+
 class StreamReader:
     """Stands in for a session where a binding reads a table, returning a stream instead."""
 
@@ -45,30 +49,26 @@ def stream_steps(spark, d) -> DataFrame:
     return drain(jobs.stream_steps(b.lines(StreamReader(spark), d)))
 
 
-_CLOSED = "window_start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM {t})"
-
-
-@query("stream_audit_window", with_bindings(f"""
-SELECT * REPLACE (strftime(window_start, '%Y-%m-%d') AS window_start) FROM (SELECT date_trunc('day', ts) AS window_start, endpoint, mode, count(*) AS n_recalls, sum(n_messages)::BIGINT AS n_messages FROM audit GROUP BY ALL)
-WHERE {_CLOSED.format(t='audit')}"""))
+@query("stream_audit_window", with_bindings("""
+SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS window_start, endpoint, mode, count(*) AS n_recalls, sum(n_messages)::BIGINT AS n_messages FROM audit GROUP BY ALL"""))
 def stream_audit_window(spark, d) -> DataFrame:
-    """Daily recall counts, closed days only."""
-    rows = drain(jobs.audit_windows(b.audit(StreamReader(spark), d)))
+    """Daily recall counts, days that are still open included."""
+    windows = jobs.audit_windows(b.audit(StreamReader(spark), d), late=LATE)
+    rows = jobs.latest_windows(windows, ["window_start", "endpoint", "mode"], run_folder(spark))
     return rows.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
 
 
-@query("stream_usage_window", with_bindings(f"""
-SELECT * REPLACE (strftime(window_start, '%Y-%m-%d') AS window_start) FROM (SELECT date_trunc('day', ts) AS window_start, letter, rounds::INTEGER AS rounds, scope, sum(input_tokens)::BIGINT AS tokens_in,
-                      sum(output_tokens)::BIGINT AS tokens_out, round(sum(usd), 6) AS usd FROM priced GROUP BY ALL)
-WHERE {_CLOSED.format(t='priced')}"""))
+@query("stream_usage_window", with_bindings("""
+SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS window_start, letter, rounds::INTEGER AS rounds, scope, sum(input_tokens)::BIGINT AS tokens_in,
+       sum(output_tokens)::BIGINT AS tokens_out, round(sum(usd), 6) AS usd FROM priced GROUP BY ALL"""))
 def stream_usage_window(spark, d) -> DataFrame:
-    """Daily tokens and dollars per system and scope, closed days only."""
-    rows = drain(jobs.usage_windows(b.usage(StreamReader(spark), d), b.prices(spark, d)))
+    """Daily tokens and dollars per system and scope, days that are still open included."""
+    windows = jobs.usage_windows(b.usage(StreamReader(spark), d), b.prices(spark, d), late=LATE)
+    rows = jobs.latest_windows(windows, ["window_start", "letter", "rounds", "scope"], run_folder(spark))
     return rows.withColumn("usd", F.round("usd", 6)).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
 
 
-@query("stream_insert", "SELECT lang AS graph_id, count(*) AS n_facts FROM documents GROUP BY lang")
-def stream_insert(spark, d) -> DataFrame:
+def _inserted(spark, d) -> MemoryStore:
     """Documents arriving as a stream, inserted batch by batch into a fresh store."""
     folder = run_folder(spark)
     store = MemoryStore(spark, f"{folder}/store")
@@ -90,4 +90,22 @@ def stream_insert(spark, d) -> DataFrame:
 
     source = StreamReader(spark).parquet(f"{d}/documents.parquet")
     jobs.stream_inserts(source, insert, f"{folder}/state").awaitTermination()
-    return store.load("semantic").groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_facts"))
+    return store
+
+
+_STORED = """stored AS (
+  SELECT lang AS graph_id, doc_id, text, source, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS semantic_id FROM documents),
+stored_tags AS (
+  SELECT graph_id, source AS tag, row_number() OVER (PARTITION BY graph_id ORDER BY min(semantic_id)) - 1 AS tag_id, min(semantic_id) AS time FROM stored GROUP BY graph_id, source)"""
+
+
+@query("stream_insert", f"""
+WITH {_STORED} SELECT graph_id, semantic_id, sha256(text) AS text_hash, tag, t.tag_id, semantic_id AS time,
+  3::BIGINT AS n_edges FROM stored s JOIN stored_tags t USING (graph_id) WHERE t.tag = s.source""")
+def stream_insert(spark, d) -> DataFrame:
+    """Ids, tags, clock and edges of every fact of a streamed insert."""
+    store = _inserted(spark, d)
+    n = store.load("edges").where("src_type = 'semantic'").groupBy("graph_id", F.col("src_id").alias("semantic_id")).agg(F.count(F.lit(1)).alias("n_edges"))
+    return store.load("semantic").join(n, ["graph_id", "semantic_id"]).select(
+        "graph_id", "semantic_id", F.sha2("text", 256).alias("text_hash"), F.get("tags", F.lit(0)).alias("tag"), F.get("tag_ids", F.lit(0)).alias("tag_id"), "time", "n_edges"
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 EPISODIC = (
     "graph_id STRING, episodic_id BIGINT, observation STRING, action STRING, time STRING, "
-    "session_id STRING, subgoal STRING, state STRING, reward STRING"
+    "session_id STRING, subgoal STRING, state STRING, reward STRING, insert_id BIGINT, trajectory_num BIGINT"
 )
 SEMANTIC = (
     "graph_id STRING, semantic_id BIGINT, text STRING, embedding ARRAY<FLOAT>, tags ARRAY<STRING>, tag_ids ARRAY<BIGINT>, "
@@ -18,7 +18,7 @@ SUBGOAL = (
 )
 PROCEDURAL = (
     "graph_id STRING, procedural_id BIGINT, text STRING, embedding ARRAY<FLOAT>, time BIGINT, "
-    "return_value DOUBLE, session_id STRING"
+    "return_value DOUBLE, session_id STRING, subgoal STRING, subgoal_id BIGINT, insert_id BIGINT, trajectory_num BIGINT"
 )
 EDGES = (
     "graph_id STRING, src_type STRING, src_id BIGINT, kind STRING, dst_type STRING, dst_id BIGINT"

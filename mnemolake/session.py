@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -15,6 +16,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -36,18 +38,47 @@ def local_session(cores: int | None = None, app: str = "mnemolake", memory: str
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only when it names none."""
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Executors on other machines cannot see a temporary folder of this one, so only a local session that names
+    none gets one.
+    """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        require_local(context.master)
+        folder = tempfile.mkdtemp(prefix="mnemolake-ckpt-")
     if context.getCheckpointDir() is None:
-        folder = folder or tempfile.mkdtemp(prefix="mnemolake-ckpt-")
         context.setCheckpointDir(folder)
     return folder
 
 
+def require_local(master: str) -> None:
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
+
+
 def run_folder(spark: SparkSession) -> str:
-    """A fresh sub-folder of the shared folder for one run's files."""
-    return f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+    """A fresh sub-folder of the shared folder for one run's files; it lasts as long as the application."""
+    root = f"{shared_folder(spark)}/runs-{spark.sparkContext.applicationId}"
+    if root not in _roots:
+        _roots[root] = spark
+        atexit.register(remove_run_files, spark)
+    return f"{root}/run-{uuid.uuid4().hex}"
+
+
+_roots: dict[str, SparkSession] = {}
+
+
+def remove_run_files(spark: SparkSession) -> None:
+    """Delete the files of this application's runs; results that still read them must be written first."""
+    context = spark.sparkContext
+    if context._jsc is None or context._jsc.sc().isStopped():
+        return
+    root = f"{shared_folder(spark)}/runs-{context.applicationId}"
+    path = context._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    _roots.pop(root, None)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -39,14 +39,16 @@ class MemoryStore:
     def load_all(self, graph_id: str | None = None) -> dict[str, DataFrame]:
         return {name: self.load(name, graph_id) for name in schema.TABLES}
 
-    def begin_batch(self, batch_id: int) -> dict[str, DataFrame]:
-        """The tables as they stood when this batch first began.
+    def begin_batch(self, batch_id: int, stream: str = "default") -> dict[str, DataFrame]:
+        """The tables as they stood when this batch of this stream first began.
 
         The last id of every graph is written down before anything else, so a batch tried again numbers
-        its rows as before and ``append`` finds them stored already.
+        its rows as before and ``append`` finds them stored already. Each stream (and each new checkpoint of
+        one, as it counts its batches from 0 again) needs a name of its own.
         """
-        path = f"{self.root}/batches/{batch_id}"
-        if not self._exists(f"batches/{batch_id}/_SUCCESS"):
+        name = f"batches/{stream}/{batch_id}"
+        path = f"{self.root}/{name}"
+        if not self._exists(f"{name}/_SUCCESS"):
             last = None
             for name in schema.NODE_TABLES:
                 ids = self.load(name).groupBy("graph_id").agg(F.max(schema.ID_COLUMN[name]).alias("last_id")).withColumn("node_type", F.lit(name))
@@ -69,12 +71,21 @@ class MemoryStore:
         )
 
     def append(self, table: str, rows: DataFrame) -> None:
-        """Add rows whose key is not stored yet, so a retried batch adds nothing twice."""
+        """Add rows that are not stored yet, so a retried batch adds nothing twice.
+
+        A stored row with the same key and other content is no retry: that is refused, never dropped.
+        """
         shaped = self._shaped(table, rows).dropDuplicates(KEY[table])
         if self._exists(table):
-            stored = self.load(table).select(*KEY[table])
             graphs = shaped.select("graph_id").distinct()
-            shaped = shaped.join(stored.join(graphs, "graph_id", "left_semi"), KEY[table], "left_anti")
+            content = lambda df: F.xxhash64(*[df[c] for c in self.load(table).columns])
+            stored = self.load(table).join(graphs, "graph_id", "left_semi")
+            stored = stored.select(*KEY[table], content(stored).alias("_stored"))
+            marked = shaped.withColumn("_content", content(shaped)).join(stored, KEY[table], "left")
+            clash = marked.where("_stored is not null and _stored <> _content").select(*KEY[table]).first()
+            if clash is not None:
+                raise ValueError(f"{table}: {clash.asDict()} is stored with other content")
+            shaped = marked.where("_stored is null").drop("_stored", "_content")
         self._balanced(shaped).write.mode("append").partitionBy("graph_id").parquet(self.path(table))
 
     @staticmethod
@@ -142,6 +153,16 @@ class MemoryStore:
             self.append(name, settled[name])
         self.upsert("subgoal", settled["subgoal"])
 
+    def save_consolidation(self, run: dict[str, DataFrame]) -> None:
+        """Write the output of ``consolidate.consolidate``: changed facts, merged facts and all their edges."""
+        state = ["graph_id", "semantic_id", "is_active", "credibility"]
+        stored = self.load("semantic").select("graph_id", "semantic_id", F.col("is_active").alias("_active"), F.col("credibility").alias("_credibility"))
+        changed = run["facts"].select(*state).join(stored, ["graph_id", "semantic_id"]).where("is_active <> _active or credibility <> _credibility")
+        settled = {name: checkpointed(df) for name, df in (("changed", changed.select(*state)), ("merged", run["merged"]), ("edges", run["edges"]))}
+        self.patch("semantic", settled["changed"])
+        self.append("semantic", settled["merged"])
+        self.append("edges", settled["edges"])
+
 
 def block_of(node_id: str, size: int):
     """Block number of an id in the numbered block-file layout."""

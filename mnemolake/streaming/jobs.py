@@ -16,34 +16,42 @@ from mnemolake.operators.cost import with_cost
 STEP = "session_id string, step long, observation string, action string"
 
 
-PENDING = "observation string, step long, last_ord long"
+#: Pending observation, finished steps, next ``ord`` to take, and messages that came before their turn.
+PENDING = "observation string, step long, next_ord long, early array<struct<ord:long,part:string,line:string>>"
 
 
 def _pair_turns(idle_ms: int | None) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
-    """State per session: pending observation, step counter, last message seen.
+    """State per session. A message is taken when all before it were; earlier arrivals wait in the state.
 
-    Messages of a trigger are taken in ``ord`` order; one at or below the last ``ord`` seen is a repeat
-    and is dropped. A session idle past ``idle_ms`` forgets its unanswered tail.
+    ``ord`` numbers a session's messages from 0 without gaps; a number seen before is a repeat. A session idle past
+    ``idle_ms`` takes what waits, in order, gaps or not, and forgets its unanswered tail.
     """
 
     def pair(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pending, step, last = state.get if state.exists else (None, 0, -1)
+        pending, step, following, early = state.get if state.exists else (None, 0, 0, [])
+        waiting = {int(m[0]): (m[1], m[2]) for m in early or []}
+        timed_out = state.hasTimedOut
+        if not timed_out:
+            for batch in rows:
+                for o, part, line in zip(batch["ord"].tolist(), batch["part"].tolist(), batch["line"].tolist()):
+                    if o >= following:
+                        waiting.setdefault(int(o), (part, line))
         out = []
-        if state.hasTimedOut:
-            state.update((None, step, last))
-        else:
-            for row in pd.concat(list(rows)).sort_values("ord").itertuples():
-                if row.ord <= last:
-                    continue
-                last = int(row.ord)
-                if row.part == "observation":
-                    pending = row.line if pending is None else f"{pending}\n{row.line}"
-                elif pending is not None:
-                    out.append((key[0], step, pending, row.line))
-                    pending, step = None, step + 1
-            state.update((pending, step, last))
-            if idle_ms is not None:
-                state.setTimeoutDuration(idle_ms)
+        while waiting:
+            if following not in waiting:
+                if not timed_out:
+                    break
+                following = min(waiting)
+            part, line = waiting.pop(following)
+            following += 1
+            if part == "observation":
+                pending = line if pending is None else f"{pending}\n{line}"
+            elif part == "action" and pending is not None:
+                out.append((key[0], step, pending, line))
+                pending, step = None, step + 1
+        state.update((None if timed_out else pending, step, following, [(o, *m) for o, m in sorted(waiting.items())]))
+        if idle_ms is not None and not timed_out:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["session_id", "step", "observation", "action"])
 
     return pair
@@ -52,10 +60,11 @@ def _pair_turns(idle_ms: int | None) -> Callable[[tuple, Iterator[pd.DataFrame],
 def stream_steps(lines: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """Streaming ``messages_to_steps``: flattened message lines in, finished steps out.
 
+    ``lines`` has one row per message, silent ones (no ``part``) included, and messages may arrive in any order.
     ``idle_ms`` needs a continuously running trigger: a run-until-empty trigger would wait for ever.
     """
     timeout = GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    rows = lines.where(F.col("part").isNotNull()).select("session_id", F.col("ord").cast("bigint").alias("ord"), "part", "line")
+    rows = lines.select("session_id", F.col("ord").cast("bigint").alias("ord"), "part", "line")
     return rows.groupBy("session_id").applyInPandasWithState(
         _pair_turns(idle_ms), STEP, PENDING, "append", timeout
     )
@@ -66,8 +75,9 @@ def stream_inserts(
 ) -> StreamingQuery:
     """Run the batch insert on every micro-batch.
 
-    ``insert(rows, batch_id)`` should build on ``MemoryStore.begin_batch(batch_id)``: a batch tried again then
-    gives its rows the ids it gave them before, and adds nothing twice.
+    ``insert(rows, batch_id)`` should build on ``MemoryStore.begin_batch(batch_id, stream)``, with a ``stream`` name
+    that goes with ``checkpoint``: a batch tried again then gives its rows the ids it gave them before, and adds
+    nothing twice.
     """
     writer = source.writeStream.foreachBatch(insert).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
@@ -96,3 +106,21 @@ def usage_windows(usage: DataFrame, prices: DataFrame, size: str = "1 day", late
         .agg(F.sum("input_tokens").alias("tokens_in"), F.sum("output_tokens").alias("tokens_out"), F.sum("usd").alias("usd"))
         .select(F.col("window.start").alias("window_start"), "letter", "rounds", "scope", "tokens_in", "tokens_out", "usd")
     )
+
+
+def latest_windows(stream: DataFrame, keys: list[str], folder: str) -> DataFrame:
+    """Run a windowed aggregate over everything available; the last state of every window, open ones included.
+
+    Each micro-batch writes the windows it changed to a folder of its own, over what a failed try left there.
+    """
+
+    def write(rows: DataFrame, batch_id: int) -> None:
+        rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{folder}/out/{batch_id}")
+
+    running = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    running.awaitTermination()
+    spark = stream.sparkSession
+    values = [c for c in stream.columns if c not in keys]
+    written = spark.read.schema(f"{stream.select(*keys, *values).schema.simpleString()[7:-1].replace(':', ' ')}, batch_id int").parquet(f"{folder}/out/*")
+    last = written.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("_last"))
+    return last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in values])

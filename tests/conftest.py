@@ -10,4 +10,4 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from mnemolake.session import local_session
 
-    return local_session(4, app="tests", memory="6g")
+    return local_session(int(os.environ.get("TEST_CPUS", "4")), app="tests", memory="6g")

@@ -160,7 +160,9 @@ def test_consolidation_run(spark):
     merged = out["merged"].first()
     assert (merged.semantic_id, merged.text, sorted(merged.tags), sorted(merged.episodic_ids), merged.time) == (5, "a b", ["t", "u"], [5, 6], 5)
     assert {r.semantic_id: r.is_active for r in out["facts"].collect()} == {0: False, 1: False, 2: False, 3: False, 4: True}
-    assert {(r.src_id, r.dst_id) for r in out["edges"].collect()} == {(5, 0), (5, 1)}
+    links = {(r.kind, r.dst_type, r.src_id, r.dst_id) for r in out["edges"].collect()}
+    assert {x for x in links if x[0] == "derived_from"} == {("derived_from", "semantic", 5, 0), ("derived_from", "semantic", 5, 1)}
+    assert {x[3] for x in links if x[0] == "tagged"} == {1} and {x[3] for x in links if x[0] == "evidenced_by"} == {5, 6}
 
 
 def test_many_copies_equal_the_sequential_scan(spark):

@@ -31,9 +31,9 @@ def test_tool_turns_bash_and_errors(spark):
     ]
     steps = ingest.messages_to_steps(_flat(spark, rows)).orderBy("step").collect()
     assert [(s.step, s.observation) for s in steps] == [
-        (0, "first\nsecond"), (1, "[ERROR from grep] " + "y" * 499 + "…\n[bash exit=2] ls\nout\n[bash] bash"),
+        (0, "first\nsecond"), (1, "[ERROR from grep] " + "y" * 600 + "\n[bash exit=2] ls\nout\n[bash] bash"),
     ]
-    assert steps[0].action == "look\n[grep(q=" + "x" * 79 + "…, n=3)]" and steps[1].action == "done"
+    assert steps[0].action == "look\n[grep(q=" + "x" * 90 + ", n=3)]" and steps[1].action == "done"
 
 
 def _pair(messages):
@@ -135,7 +135,7 @@ def test_validation(spark):
     good = ([("o", "a")], ["f"], [("q", "g")])
     rows = [good, ([], ["f"], [("q", "g")]), ([("o", None)], ["f"], [("q", "g")]), (None, ["f"], [("q", "g")]), ([("o", "a")], ["f"], [(None, "g")])]
     got = [r.e for r in spark.createDataFrame(rows, ddl).select(ingest.invalid_trajectory(1, 1).alias("e")).collect()]
-    assert got == [None, "steps len 0 != 1", "step missing observation/action", "steps len 0 != 1", "query missing question/gold"]
+    assert got == [None, "steps:size:0", "steps:null", "steps:size:0", "queries:null"]
 
 
 def test_embedding_cache(spark):
