@@ -3,8 +3,8 @@
 Texts are folded first: look-alike letters of other scripts become Latin ones, accents go, digits and signs that
 stand for letters become those letters, everything else between words becomes one space. The lexicon is learned
 from labelled documents: whole words, and beginnings of words, that stand in toxic documents far more often than in
-others, each with its log odds as weight. A word next to a lexicon word that makes it harmless forms an exception
-phrase, which cancels the match. One automaton finds entries and exceptions in one pass over a text of any length.
+others, each with its log odds as weight. A lexicon word and a neighbour that stand together in clean documents alone
+form an exception phrase: it cancels the match, in learning the odds as well as in scoring. One automaton finds entries and exceptions in one pass over a text of any length.
 The score is a logistic function of the weight found in all and per word.
 
 Learning takes at most ``LEARN_ROWS`` labelled documents, those of lowest hash; scoring reads every whole text.
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,6 +38,10 @@ ENTRIES = 4_000
 EXCEPTIONS = 1_000
 SUPPORT = 5
 MIN_ODDS = 2.0
+#: How many times more documents a beginning must reach than the longer entries it stands for.
+BROADER = 1.25
+LEANING = 0.7
+EXCEPTION_SUPPORT = 8
 SHORTEST, LONGEST = 4, 9
 CUT = 0.3
 
@@ -81,7 +86,7 @@ def _grams(word: str) -> Iterator[str]:
 
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gram, toxic documents, clean documents) of one task; grams of clean documents are counted by ``_clean_counts``."""
+    """(gram, n): documents of one task that hold each gram."""
     bad: Counter[str] = Counter()
     for batch in slices(batches):
         for text in batch.column("text").to_pylist():
@@ -98,12 +103,12 @@ def _automaton(entries: dict[str, object]) -> ahocorasick.Automaton:
     return found
 
 
-def _matched(batches: Iterator[pa.RecordBatch], grams: list[str]) -> Iterator[pa.RecordBatch]:
-    """(gram, n): documents of one task that hold each known gram."""
-    automaton, n = _automaton(dict(zip(grams, range(len(grams)), strict=True))), np.zeros(len(grams), np.int64)
+def _matched(batches: Iterator[pa.RecordBatch], grams: list[str], phrases: list[str]) -> Iterator[pa.RecordBatch]:
+    """(gram, n): documents of one task that hold each known gram outside the phrases."""
+    matcher, n = _automaton({g: (len(g), k) for k, g in enumerate(grams)} | {p: (len(p), None) for p in phrases}), np.zeros(len(grams), np.int64)
     for batch in slices(batches):
         for text in batch.column("text").to_pylist():
-            n[list({k for _, k in automaton.iter(folded(text))})] += 1
+            n[list({k for _, k in unspared(folded(text), matcher)})] += 1
     seen = np.flatnonzero(n)
     yield pa.RecordBatch.from_arrays([pa.array([grams[i] for i in seen], pa.string()), pa.array(n[seen])], ["gram", "n"])
 
@@ -122,23 +127,40 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
+def unspared(flat: str, matcher: ahocorasick.Automaton) -> list[tuple[int, object]]:
+    """(start, value) of each match in a folded text that no exception phrase (value None) covers."""
+    if not len(matcher):
+        return []
+    hits: list[tuple[int, object]] = []
+    spared: list[tuple[int, int]] = []
+    for end, (size, value) in matcher.iter(flat):
+        if value is None:
+            spared.append((end - size + 1, end))
+        else:
+            hits.append((end - size + 1, value))
+    if not spared:
+        return hits
+    # phrases as disjoint stretches: one look-up per match, however many phrases a text holds
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted(spared):
+        if starts and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return [h for h in hits if not (i := bisect_right(starts, h[0])) or h[0] >= ends[i - 1]]
+
+
 def weigh(text: str, matcher: ahocorasick.Automaton) -> tuple[float, int, int]:
     """(weight found, matches, words): each word counts its heaviest entry, unless an exception phrase covers it."""
     flat = folded(text)
     words = flat.count(" ") - 1 if len(flat) > 2 else 0
-    hits: dict[int, float] = {}
-    spared: list[tuple[int, int]] = []
-    if len(matcher):
-        for end, (size, weight) in matcher.iter(flat):
-            start = end - size + 1
-            if weight is None:
-                spared.append((start, end))
-            elif weight > hits.get(start, 0.0):
-                hits[start] = weight
-    for a, b in spared:
-        for s in [s for s in hits if a <= s < b]:
-            del hits[s]
-    return sum(hits.values()), len(hits), words
+    best: dict[int, float] = {}
+    for start, weight in unspared(flat, matcher):
+        if weight > best.get(start, 0.0):
+            best[start] = weight
+    return sum(best.values()), len(best), words
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -168,7 +190,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     return float(beta[0]), *(float(b / s) for b, s in zip(beta[1:], scale, strict=True))
 
 
-def _phrases(batches: Iterator[pa.RecordBatch], entries: dict[str, float]) -> Iterator[pa.RecordBatch]:
+def _phrases(batches: Iterator[pa.RecordBatch], entries: list[str]) -> Iterator[pa.RecordBatch]:
     """(phrase, toxic, n): documents of each kind that hold a lexicon word together with a neighbour."""
     automaton, n = _automaton({g: len(g) for g in entries}), Counter()
     for batch in slices(batches):
@@ -186,6 +208,16 @@ def _phrases(batches: Iterator[pa.RecordBatch], entries: dict[str, float]) -> It
     yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in n], pa.string()), pa.array([t for _, t in n], pa.int32()), pa.array(list(n.values()), pa.int64())], ["phrase", "toxic", "n"])
 
 
+def _holders(sample: DataFrame, toxic: int, grams: list[str], phrases: list[str]) -> dict[str, int]:
+    """Learning documents of one kind that hold each gram outside the phrases."""
+    counts = sample.where(F.col("toxic") == toxic).select("text").mapInArrow(lambda b: _matched(b, grams, phrases), "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return {r["gram"]: r["n"] for r in counts.collect()}
+
+
+def _odds(bad: dict[str, int], good: dict[str, int], n_bad: int, n_good: int) -> dict[str, float]:
+    return {g: math.log((b + 0.5) / (n_bad + 1) / ((good.get(g, 0) + 0.5) / (n_good + 1))) for g, b in bad.items()}
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """The lexicon, its exception phrases and the three numbers of the score."""
     sample = labelled(docs, labels).withColumn("toxic", (F.col("toxic") > 0).cast("int")).persist()
@@ -199,18 +231,26 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
         bad = texts.mapInArrow(_gram_counts, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("bad")).where(F.col("bad") >= SUPPORT)
         bad = {r["gram"]: r["bad"] for r in bad.orderBy(F.desc("bad"), "gram").limit(25 * ENTRIES).collect()}
         grams = list(bad)
-        good = sample.where("toxic = 0").select("text").mapInArrow(lambda b: _matched(b, grams), "gram string, n long").groupBy("gram").agg(F.sum("n").alias("good")).collect()
-        good = {r["gram"]: r["good"] for r in good}
-        odds = {g: math.log((b + 0.5) / (n_bad + 1) / ((good.get(g, 0) + 0.5) / (n_good + 1))) for g, b in bad.items()}
-        kept = sorted((g for g in odds if odds[g] > MIN_ODDS), key=lambda g: (-odds[g] * math.sqrt(bad[g]), g))[:ENTRIES]
-        # a longer entry says nothing new where a kept shorter one begins it and weighs as much
+        # words that lean to toxic documents at all, then the phrases that make them harmless, then their odds outside those
+        lean = _odds(bad, _holders(sample, 0, list(bad), []), n_bad, n_good)
+        leaning = sorted((g for g in lean if lean[g] > LEANING), key=lambda g: (-lean[g] * math.sqrt(bad[g]), g))[:ENTRIES]
+        near = sample.select("text", "toxic").mapInArrow(lambda b: _phrases(b, leaning), "phrase string, toxic int, n long").groupBy("phrase", "toxic").agg(F.sum("n").alias("n"))
+        wide = near.groupBy("phrase").agg(F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("good"), F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"))
+        likely = wide.where((F.col("good") >= EXCEPTION_SUPPORT) & (F.col("good") * n_bad > F.col("bad") * n_good * 20)).orderBy(F.desc("good"), "phrase").limit(EXCEPTIONS)
+        phrases = [r["phrase"] for r in likely.collect()]
+        bad = _holders(sample, 1, leaning, phrases)
+        odds = _odds(bad, _holders(sample, 0, leaning, phrases), n_bad, n_good)
+        kept = sorted((g for g in odds if odds[g] > MIN_ODDS and bad[g] >= SUPPORT), key=lambda g: (-odds[g] * math.sqrt(bad[g]), g))
+        # a beginning is an entry only where it reaches clearly more documents than any one longer entry it begins
+        reach: dict[str, int] = {}
+        for g in kept:
+            for k in range(SHORTEST + 1, len(g)):
+                reach[g[:k]] = max(reach.get(g[:k], 0), bad[g])
+        kept = [g for g in kept if bad[g] > BROADER * reach.get(g, 0)]
+        # and a longer entry says nothing new where a kept beginning weighs as much
         chosen = set(kept)
         entries = {g: odds[g] for g in kept if not any(g[:k] in chosen and odds[g[:k]] >= odds[g] - 0.1 for k in range(SHORTEST + 1, len(g)))}
-        phrases: dict[str, list[int]] = {}
-        near = sample.select("text", "toxic").mapInArrow(lambda b: _phrases(b, entries), "phrase string, toxic int, n long").groupBy("phrase", "toxic").agg(F.sum("n").alias("n"))
-        wide = near.groupBy("phrase").agg(F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("good"), F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"))
-        for r in wide.where("good >= 5 and good > 20 * bad").orderBy(F.desc("good"), "phrase").limit(EXCEPTIONS).collect():
-            phrases[r["phrase"]] = [r["good"], r["bad"]]
+        phrases = [p for p in phrases if any(e in p for e in entries)]
         plain = Model(entries, tuple(phrases), (0.0, 0.0, 0.0))
         seen = sample.select(F.lit(0).cast("bigint").alias("doc_id"), "text", "toxic").mapInArrow(lambda b: _weighed(b, plain, ["toxic"]), "doc_id long, weight double, matches int, words long, score double, toxic int").select("weight", "words", "toxic").toPandas()
         x = np.column_stack([np.log1p(seen["weight"]), seen["weight"] / (seen["words"] + 20)])
