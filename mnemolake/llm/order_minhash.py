@@ -11,9 +11,9 @@ n2, the similarity is m / (n1 + n2 - m), a Jaccard similarity that counts only k
 That bounds how far aligned places can lie apart, so the band loses nothing.
 
 Equal word sequences are folded before buckets are formed. In a bucket every text is first compared with one
-leader, another one in each bucket; linked texts become one class. Pairs of a bucket that then still stand in
-different classes, and could reach the threshold by length, are compared too, so the classes are those of all
-candidate pairs, while a group of copies costs one comparison per text and bucket.
+leader, another one in each bucket; linked texts become one class. Buckets that then still hold several classes are
+compared within, block by block, and give back only the links that join classes. So the classes are those of all
+candidate pairs, whatever the size of a bucket, and no pair of texts ever becomes a row.
 
 Defined results: texts without any word are classes of their own; texts of fewer than five words have one k-mer,
 the whole text; a missing text is an empty one; missing or repeated doc_ids and repeated rows are rows of their
@@ -39,7 +39,11 @@ SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 16
 PICK = 3
-ROUNDS = 2
+#: One pair of blocks holds at most twice this many texts and labelled k-mers (a single longer text is a block).
+BLOCK_TEXTS = 256
+BLOCK_KMERS = 1_000_000
+#: Columns of one product.
+TABLE = 4096
 WORDS_HELD = 500_000
 _words = re.compile(r"\w+")
 _mixers = np.random.default_rng(20).integers(1, 2**63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -147,6 +151,101 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "words_a", "words_b").mapInArrow(_verified, "a long, b long, similarity double")
 
 
+def shared_kmers(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many labelled k-mers each text of ``a`` has in common with each of ``b``, by products of narrow 0/1 tables."""
+    kmers, column = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    row = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])
+    first = row < len(a)
+    both = np.bincount(column[first], minlength=len(kmers)).astype(bool) & np.bincount(column[~first], minlength=len(kmers)).astype(bool)
+    place = np.cumsum(both) - 1
+    keep = both[column]
+    row, column = row[keep], place[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(a), len(b)), np.float32)
+    for lo in range(0, int(both.sum()), TABLE):
+        s, e = np.searchsorted(column, (lo, lo + TABLE))
+        table = np.zeros((len(a) + len(b), TABLE), np.float32)
+        table[row[s:e], column[s:e] - lo] = 1
+        out += table[: len(a)] @ table[len(a) :].T
+    return out.astype(np.int64)
+
+
+def block_links(members: list[tuple[int, int, int, bytes]], crossing: bool) -> Iterator[tuple[int, int, float]]:
+    """Links that join classes of one pair of blocks: (row, row, similarity), fewer than there are texts.
+
+    ``members``: (side, row, label, words). Only texts of different classes are aligned, and a class that was
+    joined on the way counts as one, so copies of copies add no links.
+    """
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    kmers = [labelled(np.frombuffer(m[3], np.uint32)) for m in members]
+    left = [i for i, m in enumerate(members) if m[0] == 0]
+    right = [i for i, m in enumerate(members) if m[0] == 1] if crossing else left
+    if not left or not right:
+        return
+    common = shared_kmers([kmers[i] for i in left], [kmers[i] for i in right])
+    n = np.array([len(k) for k in kmers])
+    total = n[left][:, None] + n[right][None, :] - common
+    # a share of common k-mers below the threshold cannot reach it in order either
+    near = common >= SIMILARITY * total - 1e-9
+    for x, y in zip(*np.nonzero(near if crossing else np.triu(near, 1)), strict=True):
+        i, j = left[x], right[y]
+        p, q = find(members[i][2]), find(members[j][2])
+        if p == q:
+            continue
+        m = aligned(kmers[i], kmers[j])
+        value = m / (len(kmers[i]) + len(kmers[j]) - m)
+        if value >= SIMILARITY - 1e-12:
+            parent[p] = q
+            yield members[i][1], members[j][1], value
+
+
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by (band, i, j): one pair of blocks after the other."""
+    at, members, found = None, [], []
+
+    def closed() -> None:
+        if at is not None and len({m[2] for m in members}) > 1:
+            found.extend(block_links(members, at[1] != at[2]))
+
+    for batch in batches:
+        for band, i, j, *member in zip(*(batch.column(c).to_pylist() for c in ("band", "i", "j", "side", "row", "label", "words")), strict=True):
+            if (band, i, j) != at:
+                closed()
+                at, members = (band, i, j), []
+            members.append(tuple(member))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["a", "b", "similarity"])
+            found = []
+    closed()
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["a", "b", "similarity"])
+
+
+def rest_links(member: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between texts of one bucket that star comparisons left in different classes.
+
+    A bucket is cut into blocks of bounded size, and each pair of blocks is one step of a task: the k-mers its texts
+    have in common are counted by small matrix products, pairs that can reach the threshold are aligned, and only
+    links that join two classes leave the step. No pair of texts is ever a row.
+    """
+    named = member.join(labels, "row")
+    sizes = named.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("kmers")).where("low <> high")
+    blocks = F.ceil(F.greatest(F.col("m") / BLOCK_TEXTS, F.col("kmers") / BLOCK_KMERS)).cast("int")
+    mine = named.join(sizes.select("band", blocks.alias("blocks")), "band").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    spread = mine.select("band", "row", "label", "block", other)
+    spread = spread.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "row", "label")
+    carried = spread.join(texts.select("row", "words"), "row").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    return carried.select("band", "i", "j", "side", "row", "label", "words").mapInArrow(_block_links, "a long, b long, similarity double")
+
+
 def _labels(links: DataFrame, rows: DataFrame) -> DataFrame:
     """(row, label): the least row of each connected class."""
     found = connected_components(links.select(F.lit("").alias("graph_id"), "a", "b")).select(F.col("id").alias("row"), "component")
@@ -163,40 +262,20 @@ def row_classes(rows: DataFrame, key: str) -> DataFrame:
     read = rows.select(F.col(key).alias("row"), rows["doc_id"].cast("bigint").alias("doc_id"), text_of(rows).alias("text"))
     prints = saved(read.mapInArrow(_fingerprints, "row long, doc_id long, content string, n long, bands array<long>, words binary"), "prints")
     folded = saved(prints.where("content is not null").groupBy("content").agg(F.min("row").alias("leader")), "folded")
-    leaders = prints.join(folded.select(F.col("leader").alias("row")), "row", "left_semi")
-    texts = leaders.select("row", "n", "words")
-    member = leaders.select("row", "n", F.explode("bands").alias("band"))
+    leaders = folded.select(F.col("leader").alias("row"))
+    texts = prints.select("row", "words")
+    member = prints.select("row", "n", "bands").join(leaders, "row", "left_semi").select("row", "n", F.explode("bands").alias("band"))
     shared = member.groupBy("band").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("band")
     member = saved(member.join(shared, "band"), "buckets")
-    linked = F.col("least.n") >= F.col("most.n") * SIMILARITY
-    links = None
-    labels = None
-    for turn in range(ROUNDS):
-        # the leader of a bucket differs from bucket to bucket and from turn to turn, and stands for each of its classes
-        place = F.struct(F.xxhash64("row", "band", F.lit(turn)).alias("draw"), "row", "n")
-        named = member.withColumn("label", F.lit(0)) if labels is None else member.join(labels, "row")
-        first = named.groupBy("band").agg(F.min(place).alias("leader"), F.min("label").alias("low"), F.max("label").alias("high"))
-        if labels is not None:
-            first = first.where("low <> high")
-        toward = named.join(first, "band").where("row <> leader.row").select(
-            F.least(F.struct("n", "row"), F.struct("leader.n", "leader.row")).alias("least"), F.greatest(F.struct("n", "row"), F.struct("leader.n", "leader.row")).alias("most"), "label", "leader"
-        )
-        if labels is not None:
-            mark = labels.select(F.col("row").alias("leader_row"), F.col("label").alias("leader_label"))
-            toward = toward.join(mark, F.col("leader.row") == F.col("leader_row")).where("label <> leader_label")
-        pairs = toward.where(linked).select(F.col("least.row").alias("a"), F.col("most.row").alias("b")).distinct()
-        got = saved(verified(pairs, texts), f"links{turn}")
-        links = got if links is None else links.unionByName(got)
-        labels = saved(_labels(links, leaders.select("row")), f"labels{turn}")
-    # what is left in a bucket: texts of different classes, each pair once, by place in the bucket's list
-    named = member.join(labels, "row")
-    open_bands = named.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
-    left = saved(named.join(open_bands, "band", "left_semi"), "left")
-    other = left.select("band", F.col("row").alias("row2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
-    apart = (F.col("label") < F.col("label2")) & (F.least("n", "n2") >= F.greatest("n", "n2") * SIMILARITY)
-    rest = left.join(other, "band").where(apart).select(F.least("row", "row2").alias("a"), F.greatest("row", "row2").alias("b")).distinct()
-    links = links.unionByName(saved(verified(rest, texts), "links_rest"))
-    labels = _labels(links, leaders.select("row"))
+    # one leader stands for each bucket, another one in each
+    leader = member.groupBy("band").agg(F.min(F.struct(F.xxhash64("row", "band").alias("draw"), "row", "n")).alias("leader"))
+    toward = member.join(leader, "band").where("row <> leader.row")
+    least, most = (f(F.struct("n", "row"), F.struct("leader.n", "leader.row")) for f in (F.least, F.greatest))
+    toward = toward.select(least.alias("least"), most.alias("most")).where(F.col("least.n") >= F.col("most.n") * SIMILARITY)
+    stars = saved(verified(toward.select(F.col("least.row").alias("a"), F.col("most.row").alias("b")).distinct(), texts), "stars")
+    labels = saved(_labels(stars, leaders), "labels")
+    links = stars.unionByName(saved(rest_links(member, labels, texts), "rest"))
+    labels = _labels(links, leaders)
     named = prints.select("row", "doc_id", "content").join(folded, "content", "left").join(labels.select(F.col("row").alias("leader"), "label"), "leader", "left")
     named = saved(named.select("row", "doc_id", F.coalesce("label", "row").alias("class_row")), "named")
     last = F.lit(2**63 - 1)
