@@ -20,7 +20,9 @@ SETTINGS = {
 }
 
 
-def local_session(cores: int | None = None, app: str = "mnemolake", memory: str = "12g") -> SparkSession:
+def local_session(
+    cores: int | None = None, app: str = "mnemolake", memory: str = "12g", settings: dict[str, str] | None = None
+) -> SparkSession:
     """A single-machine session for tests and benchmarks."""
     cores = cores or os.cpu_count() or 4
     builder = (
@@ -30,7 +32,7 @@ def local_session(cores: int | None = None, app: str = "mnemolake", memory: str
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.ui.enabled", "false")
     )
-    for key, value in SETTINGS.items():
+    for key, value in (SETTINGS | (settings or {})).items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
