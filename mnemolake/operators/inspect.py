@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemolake.functions import text as tx
+from mnemolake.operators.ordered import number_rows
 from mnemolake.schema import DEFAULT_CREDIBILITY, ID_COLUMN, NODE_TABLES
 
 # Label lengths, export limit, order in which types get spare room.
@@ -32,8 +33,10 @@ def _checked(node_type: str) -> str:
 
 
 def browse(nodes: DataFrame, node_type: str, offset: int = 0, limit: int = 50) -> DataFrame:
-    """One page of a graph's nodes in insertion order."""
-    return nodes.orderBy(_checked(node_type)).offset(offset).limit(limit)
+    """One page of each graph's nodes in insertion order, with their ``place`` and the graph's ``total``."""
+    placed = number_rows(nodes, ["graph_id"], [_checked(node_type)], "place")
+    totals = nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("total"))
+    return placed.where((F.col("place") >= offset) & (F.col("place") < offset + limit)).join(totals, "graph_id")
 
 
 def search(nodes: DataFrame, node_type: str, needle: str, limit: int = 50, only_active: bool = False) -> DataFrame:
@@ -50,9 +53,9 @@ def search(nodes: DataFrame, node_type: str, needle: str, limit: int = 50, only_
 
 
 def node_detail(nodes: DataFrame, node_type: str, edges: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The wanted nodes with their one-hop neighbours per kind and direction.
+    """The wanted nodes, one row per one-hop neighbour (kind, direction, type, id); one without any if there is none.
 
-    ``edges`` must have its group links opened for the wanted nodes (see ``build.expand_links``).
+    A hub's neighbours stay rows. ``edges`` must have its group links opened for the wanted nodes (see ``build.expand_links``).
     """
     node_id = _checked(node_type)
     key = ["graph_id", node_id]
@@ -63,10 +66,7 @@ def node_detail(nodes: DataFrame, node_type: str, edges: DataFrame, wanted: Data
     back = edges.where(F.col("dst_type") == node_type).join(asked.withColumnRenamed(node_id, "dst_id"), ["graph_id", "dst_id"], "left_semi").select(
         "graph_id", F.col("dst_id").alias(node_id), "kind", F.lit("in").alias("direction"), F.col("src_type").alias("type"), F.col("src_id").alias("id")
     )
-    around = out.unionByName(back).groupBy(*key).agg(
-        F.sort_array(F.collect_list(F.struct("kind", "direction", "type", "id"))).alias("neighbours")
-    )
-    return nodes.join(asked, key, "left_semi").join(around, key, "left")
+    return nodes.join(asked, key, "left_semi").join(out.unionByName(back), key, "left")
 
 
 def degrees(nodes: DataFrame, node_type: str, edges: DataFrame, insert_episodes: DataFrame | None = None) -> DataFrame:

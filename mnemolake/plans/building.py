@@ -153,17 +153,17 @@ def subgoal_upsert(spark, d) -> DataFrame:
 
 @query("resolve_subgoals", """
 SELECT lang AS graph_id, doc_id AS procedural_id,
-       CASE doc_id % 3 WHEN 0 THEN 'id' WHEN 1 THEN 'text' ELSE 'create' END AS resolved_by,
-       CASE doc_id % 3 WHEN 0 THEN substr(source, 4)::BIGINT WHEN 1 THEN substr(source, 4)::BIGINT END AS subgoal_id
+       CASE doc_id % 4 WHEN 0 THEN 'id' WHEN 1 THEN 'text' WHEN 2 THEN 'create' ELSE 'similar' END AS resolved_by,
+       CASE WHEN doc_id % 4 <> 2 THEN substr(source, 4)::BIGINT END AS subgoal_id
 FROM documents""")
 def resolve_subgoals(spark, d) -> DataFrame:
-    """Procedures naming their subgoal by id, by text, or by a wording nothing is close to."""
-    kind = F.col("procedural_id") % 3
+    """Procedures naming their subgoal by id, by text, by a wording nothing is close to, or by another one with the same vector."""
+    kind = F.col("procedural_id") % 4
     rows = b.procedures(spark, d, vectors=False)
-    label = F.when(kind == 2, F.concat(F.lit("about "), "subgoal")).otherwise(F.col("subgoal"))
+    label = F.when(kind >= 2, F.concat(F.lit("about "), "subgoal")).otherwise(F.col("subgoal"))
     asked = rows.select(
         "graph_id", "procedural_id", label.alias("subgoal"), F.when(kind == 0, F.col("subgoal_id")).alias("stated_subgoal_id"),
-        hash_embedding(label, b.DIM).alias("subgoal_embedding"),
+        hash_embedding(F.when(kind == 3, F.col("subgoal")).otherwise(label), b.DIM).alias("subgoal_embedding"),
     )
     return build.resolve_subgoals(asked, b.subgoals(spark, d)).select("graph_id", "procedural_id", "resolved_by", "subgoal_id")
 

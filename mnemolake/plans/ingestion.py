@@ -104,6 +104,13 @@ def message_flattening(spark, d) -> DataFrame:
 # --- trajectories ---
 
 
+@query("structured_defaults", with_bindings("SELECT session_id, turn, CASE WHEN turn % 2 = 1 THEN turn::VARCHAR ELSE '7' END AS time FROM turns"))
+def structured_defaults(spark, d) -> DataFrame:
+    """Every other turn comes without a time."""
+    steps = b.turns(spark, d).withColumn("time", F.when(F.col("turn") % 2 == 1, F.col("turn").cast("string")).otherwise(F.when(F.col("turn") % 4 == 0, "")))
+    return ingest.structured_defaults(steps, F.lit(7)).select("session_id", "turn", "time")
+
+
 @query("observation_shift", with_bindings("""
 SELECT session_id, turn, coalesce(lag(text) OVER (PARTITION BY session_id ORDER BY turn), text) AS observation FROM turns"""))
 def observation_shift(spark, d) -> DataFrame:

@@ -30,9 +30,12 @@ def search_episodes(spark, d) -> DataFrame:
     return inspect.search(b.episodes(spark, d), "episodic", "the", limit=20).select("graph_id", "episodic_id", "total")
 
 
-@query("browse_page", with_bindings("SELECT semantic_id, text FROM docs WHERE graph_id = 'en' ORDER BY semantic_id LIMIT 50 OFFSET 100"))
+@query("browse_page", with_bindings("""
+SELECT * FROM (SELECT graph_id, semantic_id, text, row_number() OVER (PARTITION BY graph_id ORDER BY semantic_id) - 1 AS place, count(*) OVER (PARTITION BY graph_id) AS total FROM docs)
+WHERE place >= 20 AND place < 70"""))
 def browse_page(spark, d) -> DataFrame:
-    return inspect.browse(b.docs(spark, d).where("graph_id = 'en'"), "semantic", offset=100, limit=50).select("semantic_id", "text")
+    """The same page of every graph."""
+    return inspect.browse(b.docs(spark, d), "semantic", offset=20, limit=50).select("graph_id", "semantic_id", "text", "place", "total")
 
 
 def _edges(spark, d) -> DataFrame:
@@ -49,8 +52,7 @@ WITH near AS (
   UNION ALL SELECT graph_id, semantic_id, 'evidenced_by', 'episodic', episode FROM facts
   UNION ALL SELECT a.graph_id, a.semantic_id, 'related', 'semantic', o.semantic_id FROM facts a
     JOIN facts o ON o.graph_id = a.graph_id AND o.insert_id = a.insert_id AND o.semantic_id <> a.semantic_id)
-SELECT n.graph_id, n.semantic_id, string_agg(kind || ':' || type || ':' || id, ' ' ORDER BY kind, type, id) AS neighbours
-FROM near n JOIN facts f ON f.graph_id = n.graph_id AND f.semantic_id = n.semantic_id WHERE NOT f.is_active GROUP BY n.graph_id, n.semantic_id"""))
+SELECT n.graph_id, n.semantic_id, kind, type, id FROM near n JOIN facts f ON f.graph_id = n.graph_id AND f.semantic_id = n.semantic_id WHERE NOT f.is_active"""))
 def node_detail(spark, d) -> DataFrame:
     """Neighbours of all inactive facts, siblings opened."""
     facts = b.facts(spark, d)
@@ -59,9 +61,7 @@ def node_detail(spark, d) -> DataFrame:
     edges = build.expand_links(_edges(spark, d), members, wanted.withColumnRenamed("semantic_id", "src_id"))
     edges = edges.where(F.col("src_type") == "semantic")
     rows = inspect.node_detail(facts, "semantic", edges, wanted)
-    out = F.filter("neighbours", lambda n: n["direction"] == "out")
-    label = F.transform(out, lambda n: F.concat_ws(":", n["kind"], n["type"], n["id"].cast("string")))
-    return rows.select("graph_id", "semantic_id", F.array_join(label, " ").alias("neighbours"))
+    return rows.where("direction = 'out'").select("graph_id", "semantic_id", "kind", "type", "id")
 
 
 @query("node_degrees", with_bindings("""

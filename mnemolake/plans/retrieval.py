@@ -333,13 +333,13 @@ chunks AS (
 
 
 _PASSAGE_PAIRS = f"""passages AS (
-  SELECT doc_id * 10000000 + chunk AS passage_id, {b.sql_hash('chunk_text')} AS embedding FROM chunks WHERE chunk_text <> ''),
+  SELECT doc_id * 10000000 + chunk AS passage_id, chunk_text, {b.sql_hash('chunk_text')} AS embedding FROM chunks WHERE chunk_text <> ''),
 passage_pairs AS (
-  SELECT q.query_id, p.passage_id, list_cosine_similarity(q.embedding, p.embedding) AS relevance FROM queries q, passages p)"""
+  SELECT q.query_id, p.passage_id, p.chunk_text, list_cosine_similarity(q.embedding, p.embedding) AS relevance FROM queries q, passages p)"""
 
 
 @query("dense_passages", with_bindings("""
-SELECT query_id, passage_id, rank::INTEGER AS rank, round(relevance, 6) AS relevance FROM (
+SELECT query_id, passage_id, rank::INTEGER AS rank, round(relevance, 6) AS relevance, '[' || rank || '] (sim) ' || chunk_text AS line FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(relevance, 12) DESC, passage_id) AS rank FROM passage_pairs)
 WHERE rank <= 5""", _CHUNKS, _PASSAGE_PAIRS))
 def dense_passages(spark, d) -> DataFrame:
@@ -350,8 +350,31 @@ def dense_passages(spark, d) -> DataFrame:
         F.col("chunk_text").alias("text"), hash_embedding(F.col("chunk_text"), b.DIM).alias("embedding"),
     )
     asked = b.queries(spark, d).withColumn("graph_id", F.lit("corpus"))
-    found = nearest(asked, passages, k=5, node_id="passage_id")
-    return found.select("query_id", "passage_id", "rank", *_six("relevance"))
+    found = retrieve.dense_passages(asked, passages, k=5)
+    line = F.regexp_replace("line", r"^(\[\d+\]) \(sim=-?\d\.\d{4}\)", "$1 (sim)")
+    return found.select("query_id", "passage_id", "rank", *_six("relevance"), line.alias("line"))
+
+
+@query("plan_source", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'override' WHEN 1 THEN 'llm' WHEN 2 THEN source ELSE 'default' END AS source FROM documents")
+def plan_source(spark, d) -> DataFrame:
+    """Documents as plans handed in, parsed, stated or left out."""
+    kind, text = F.col("doc_id") % 4, F.col("text")
+    found = retrieve.plan_source(F.when(kind == 0, text), F.when(kind == 1, text), F.when(kind == 2, F.col("source")))
+    return b.table(spark, d, "documents").select("doc_id", found.alias("source"))
+
+
+@query("labelled_blocks", """
+SELECT doc_id // 5 AS query_id, string_agg('[graph:' || lang || ' | ' || CASE WHEN doc_id % 7 = 0 THEN 'error' ELSE source END || ']' || chr(10) ||
+  CASE WHEN doc_id % 7 = 0 THEN 'no ' || lang ELSE text END, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id % 5) AS text
+FROM documents GROUP BY doc_id // 5""")
+def labelled_blocks(spark, d) -> DataFrame:
+    """Documents as the answers of five graphs to one query."""
+    failed = F.col("doc_id") % 7 == 0
+    answers = b.table(spark, d, "documents").select(
+        F.floor(F.col("doc_id") / 5).alias("query_id"), (F.col("doc_id") % 5).alias("target_pos"), F.col("lang").alias("graph_id"), F.col("source").alias("mode"),
+        F.when(failed, F.concat(F.lit("no "), F.col("lang"))).alias("error"), "text",
+    )
+    return retrieve.labelled_blocks(answers)
 
 
 @query("turn_retrieval", with_bindings(f"""
