@@ -236,13 +236,7 @@ def resolve_merges(
                 .withColumn("deactivate_b", F.coalesce("deactivate_later", yes))
             )
         lists = checkpointed(lists)
-        first = F.dense_rank().over(Window.partitionBy("graph_id", "component").orderBy("id_a"))
-        turn = (
-            _independent(lists, fold_size)
-            .withColumn("_turn", first)
-            .where(F.col("_turn") <= fold_size)
-            .drop("_turn")
-        )
+        turn = _first_scanners(_independent(lists, fold_size), fold_size)
         events = checkpointed(turn.groupBy("graph_id", "component").applyInPandas(_folder(value.k, max_merges), MERGE_ROW))
         scanned = events.where("event = 'scanned'").select("graph_id", "id_a")
         waiting = checkpointed(
@@ -286,6 +280,22 @@ def _independent(lists: DataFrame, fold_size: int) -> DataFrame:
     return whole.unionByName(large.join(groups.select("graph_id", F.col("id").alias("id_a"), "component"), ["graph_id", "id_a"]))
 
 
+def _first_scanners(lists: DataFrame, fold_size: int) -> DataFrame:
+    """The list rows of each component's first scanners, about ``fold_size`` of them.
+
+    Scanners are counted by ranges of ``fold_size`` ids; whole ranges are taken while they fit, the first one always.
+    So no component is ever sorted, however large.
+    """
+    part = ["graph_id", "component"]
+    span = F.floor(F.col("id_a") / F.lit(fold_size))
+    sizes = lists.select(*part, "id_a").distinct().groupBy(*part, span.alias("_span")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*part).orderBy("_span").rowsBetween(Window.unboundedPreceding, 0))
+    place = F.row_number().over(Window.partitionBy(*part).orderBy("_span"))
+    last = sizes.select(*part, "_span", upto.alias("_upto"), place.alias("_place")).where((F.col("_upto") <= fold_size) | (F.col("_place") == 1))
+    last = last.groupBy(*part).agg(F.max("_span").alias("_last"))
+    return lists.join(last, part).where(span <= F.col("_last")).drop("_last")
+
+
 def consolidate(
     facts: DataFrame,
     clock: DataFrame,

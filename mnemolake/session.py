@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -65,13 +66,18 @@ def run_folder(spark: SparkSession) -> str:
     root = f"{shared_folder(spark)}/runs-{spark.sparkContext.applicationId}"
     if root not in _roots:
         _roots[root] = spark
-        atexit.register(remove_run_files, spark)
+        atexit.register(_remove_at_exit, spark)
     return f"{root}/run-{uuid.uuid4().hex}"
 
 
 _roots: dict[str, SparkSession] = {}
 
 
+def _remove_at_exit(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone already
+        remove_run_files(spark)
+
+
 def remove_run_files(spark: SparkSession) -> None:
     """Delete the files of this application's runs; results that still read them must be written first."""
     context = spark.sparkContext
