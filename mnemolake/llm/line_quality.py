@@ -20,8 +20,8 @@ from mnemolake.llm.common import SPACES, WORD, keyed, let, saved, text_of
 MIN_WORDS = 50
 REPEAT_SHARE = 50
 #: A line goes when more than this many, and more than this share, of its host's documents hold it.
-MIN_DOCUMENTS = 20
-HOST_SHARE = 0.02
+MIN_DOCUMENTS = 50
+HOST_SHARE = 0.05
 #: A document is depleted when less than this share of its words stands outside such lines.
 LEFT_SHARE = 0.5
 SYMBOLS = r"[#*$%&|<>]"

@@ -156,7 +156,7 @@ all_lines as (select doc_id, host, unnest(string_split(text, chr(10))) as line f
 wordy as (select *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as words, trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '[^\p{L}\p{N}]+', ' ', 'g')) as norm from all_lines where regexp_matches(line, '[^\x20\x09-\x0D]')),
 dups as (select doc_id, count(*) - count(distinct line) as n_dup_lines from wordy group by doc_id),
 hosts as (select host, count(*) as documents from docs group by host),
-common as (select l.host, norm from wordy l join hosts h on l.host is not distinct from h.host where norm <> '' group by l.host, norm, documents having count(distinct doc_id) > greatest(20, documents * 0.02)),
+common as (select l.host, norm from wordy l join hosts h on l.host is not distinct from h.host where norm <> '' group by l.host, norm, documents having count(distinct doc_id) > greatest(50, documents * 0.05)),
 removed as (select doc_id, sum(words) as removed_words from wordy l join common c on l.host is not distinct from c.host and l.norm = c.norm group by doc_id),
 base as (
     select d.doc_id, host, cast(len(w) as bigint) as n_words, cast(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) as bigint) as word_chars,
