@@ -3,7 +3,7 @@
 White space never takes part in a token of this tokenizer, and a run of letters or of punctuation is always
 split off by its pattern. A chunk between white space that holds only such runs is cut into them; any other
 chunk (digits, apostrophes, special-token marks, further scripts) is encoded as it stands. A worker keeps the
-pieces it has met, up to ``MEMORY`` of them.
+pieces it has met, up to ``MEMORY`` of them; beyond, those met most often stay.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-MEMORY = 500_000
+MEMORY = 200_000
 SPACE, LETTER, MARK, OTHER = 0, 1, 2, 3
 
 _kind = np.full(256, OTHER, np.uint8)
@@ -49,8 +49,29 @@ class Encoder:
         self.slot: dict[bytes, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.used = 0
-        self.start = np.zeros(1 << 14, np.int64)
-        self.size = np.zeros(1 << 14, np.int64)
+        self.start, self.size, self.hits = (np.zeros(1 << 14, np.int32) for _ in range(3))
+
+    def _trim(self) -> None:
+        """Keep the pieces met in several slices, half the memory at most; their counts fade."""
+        n = len(self.slot)
+        keep = np.flatnonzero(self.hits[:n] > 1)
+        if len(keep) > MEMORY // 2:
+            keep = np.sort(keep[np.argpartition(-self.hits[keep], MEMORY // 2)[: MEMORY // 2]])
+        pieces, sizes = list(self.slot), self.size[keep]
+        ends = np.cumsum(sizes)
+        flat = self.flat[np.repeat(self.start[keep] - ends + sizes, sizes) + np.arange(sizes.sum())]
+        hits = self.hits[keep] // 2
+        self._forget()
+        self._grow(len(flat), len(keep))
+        self.flat[: len(flat)], self.used = flat, len(flat)
+        self.size[: len(keep)], self.start[: len(keep)], self.hits[: len(keep)] = sizes, ends - sizes, hits
+        self.slot = {pieces[k]: i for i, k in enumerate(keep.tolist())}
+
+    def _grow(self, ids: int, slots: int) -> None:
+        while ids > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while slots > len(self.start):
+            self.start, self.size, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.hits))
 
     def _remember(self, pieces: list[bytes], odd: list[bool]) -> None:
         whole = [p.decode("utf-8") for p, o in zip(pieces, odd, strict=True) if o]
@@ -63,10 +84,7 @@ class Encoder:
         first, n = len(self.slot), len(lists)
         sizes = np.fromiter(map(len, lists), np.int64, n)
         total = int(sizes.sum())
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while first + n > len(self.start):
-            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        self._grow(self.used + total, first + n)
         self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(lists), np.uint32, total)
         self.size[first : first + n] = sizes
         self.start[first : first + n] = self.used + np.cumsum(sizes) - sizes
@@ -109,7 +127,7 @@ class Encoder:
         is_odd = np.zeros(len(listed), bool)
         is_odd[which] = in_odd[begins]
         if len(self.slot) > MEMORY:
-            self._forget()
+            self._trim()
         known = list(map(self.slot.get, listed))
         if None in known:
             new = [i for i, k in enumerate(known) if k is None]
@@ -117,8 +135,10 @@ class Encoder:
             self._remember([listed[i] for i in new], is_odd[new].tolist())
             for i, k in enumerate(new, first):
                 known[k] = i
-        slots = np.array(known, np.int64)[which]
-        sizes = self.size[slots]
+        known = np.array(known, np.int64)
+        self.hits[known] += 1
+        slots = known[which]
+        sizes = self.size[slots].astype(np.int64)
         ends = np.cumsum(sizes)
         ids = self.flat[np.repeat(self.start[slots] - ends + sizes, sizes) + np.arange(ends[-1])]
         upto = np.concatenate([[0], ends])[np.searchsorted(begins, bounds)]
