@@ -14,7 +14,9 @@ from mnemolake.session import run_folder
 #: Fixed by the data contract: characters between words, and the pattern of a word.
 SPACES = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+#: Texts go to Python in batches of this many bytes, so that very long ones do not add up in a worker.
+BATCH_BYTES = 4 << 20
 
 
 def text_of(docs: DataFrame) -> Column:
@@ -22,6 +24,11 @@ def text_of(docs: DataFrame) -> Column:
     return F.coalesce(docs["text"].cast("string"), F.lit(""))
 
 
+def small_batches(docs: DataFrame) -> None:
+    """Bound the batches in which this session hands rows to Python."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, and lost executors cost no rework."""
     path = f"{run_folder(df.sparkSession)}/{name}"

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from mnemolake.llm.common import fresh, keyed, saved, slices, text_of
+from mnemolake.llm.common import fresh, keyed, saved, slices, small_batches, text_of
 
 MIN_WORDS = 40
 RARE = 8
@@ -143,6 +143,7 @@ def _aligned(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.R
 
 def deletions(rows: DataFrame, key: str, *, min_words: int = MIN_WORDS, rare: int = RARE) -> DataFrame:
     """(row, cut): positions of the lines to delete from each document that has any."""
+    small_batches(rows)
     place = F.struct(F.coalesce(rows["doc_id"].cast("bigint"), F.lit(2**63 - 1)).alias("o"), F.col(key).alias("row"))
     read = rows.select(F.col(key).alias("row"), place.alias("place"), text_of(rows).alias("text"))
     table = saved(read.mapInArrow(_table, "row long, place struct<o:long,row:long>, at array<int>, hashes array<long>, words array<int>"), "lines")
@@ -187,7 +188,8 @@ def shortened(docs: DataFrame, **options) -> tuple[DataFrame, str, str]:
     rows, key = keyed(docs)
     new, cut = fresh(rows, "new_text"), fresh(rows, "cut")
     cuts = saved(deletions(rows, key, **options), "cuts").toDF(key, cut)
-    return rows.join(cuts, key, "left").withColumn(new, _shortened("text", cut)), new, cut
+    # not deterministic for the planner: a filter on the result must not compute it a second time
+    return rows.join(cuts, key, "left").withColumn(new, _shortened.asNondeterministic()("text", cut)), new, cut
 
 
 def line_deduplicated(docs: DataFrame, **options) -> DataFrame:

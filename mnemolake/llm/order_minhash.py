@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemolake.llm.common import keyed, saved, slices, text_of
+from mnemolake.llm.common import keyed, saved, slices, small_batches, text_of
 from mnemolake.operators.components import connected_components
 
 SHINGLE = 5
@@ -259,6 +259,7 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def row_classes(rows: DataFrame, key: str) -> DataFrame:
+    small_batches(rows)
     read = rows.select(F.col(key).alias("row"), rows["doc_id"].cast("bigint").alias("doc_id"), text_of(rows).alias("text"))
     prints = saved(read.mapInArrow(_fingerprints, "row long, doc_id long, content string, n long, bands array<long>, words binary"), "prints")
     folded = saved(prints.where("content is not null").groupBy("content").agg(F.min("row").alias("leader")), "folded")

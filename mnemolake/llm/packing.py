@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemolake.llm.common import saved, slices, text_of
+from mnemolake.llm.common import saved, slices, small_batches, text_of
 from mnemolake.llm.subwords import encoder
 
 #: Largest number of (task, length) rows that are broadcast: 24 bytes each.
@@ -64,6 +64,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) ->
     """The pieces of all documents, each with its number ``seq`` among the pieces of its length in its task; written once."""
     rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_of(docs).alias("text"))
     kind = id_type(tokenizer, end_id)
+    small_batches(docs)
     return saved(rows.mapInArrow(lambda batches: _pieces(batches, tokenizer, end_id, capacity, kind), PIECES), "pieces")
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemolake.llm.common import saved, slices
+from mnemolake.llm.common import saved, slices, small_batches
 from mnemolake.llm.subwords import encoder
 
 KEY = ("source", "lang", "version")
@@ -42,6 +42,7 @@ def _counted(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
 
 def counted(docs: DataFrame, tokenizer: str, version: str) -> DataFrame:
     """(doc_id, source, lang, version, tokens): the number of ids of each whole text."""
+    small_batches(docs)
     rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["source"].cast("string").alias("source"), docs["lang"].cast("string").alias("lang"), F.lit(version).alias("version"), docs["text"].cast("string").alias("text"))
     return rows.mapInArrow(lambda b: _counted(b, tokenizer), "doc_id long, source string, lang string, version string, tokens long")
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mnemolake.llm.common import saved, slices, text_of
+from mnemolake.llm.common import saved, slices, small_batches, text_of
 from mnemolake.llm.subwords import encoder
 
 BLOCK_TOKENS = 1 << 20
@@ -127,6 +127,7 @@ def write_token_files(docs: DataFrame, path: str, *, tokenizer: str, end_id: int
     Texts are encoded once. Counting, ranking and coding work on the stored ids; what reaches the driver is the
     rank table, one entry per id of the vocabulary.
     """
+    small_batches(docs)
     raw = saved(tokenized(docs, tokenizer, end_id), "ids")
     counts = raw.select("wide", "ids").mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     table = counts.toPandas().sort_values(["n", "id"], ascending=[False, True])

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemolake.llm.common import slices, text_of
+from mnemolake.llm.common import slices, small_batches, text_of
 
 #: Bounds of the learned model: labelled documents read, entries and exceptions kept, support an entry needs.
 LEARN_ROWS = 12_000
@@ -220,6 +220,7 @@ def _odds(bad: dict[str, int], good: dict[str, int], n_bad: int, n_good: int) ->
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """The lexicon, its exception phrases and the three numbers of the score."""
+    small_batches(docs)
     sample = labelled(docs, labels).withColumn("toxic", (F.col("toxic") > 0).cast("int")).persist()
     try:
         size = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -270,6 +271,7 @@ def _weighed(batches: Iterator[pa.RecordBatch], model: Model, more: list[str]) -
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, weight, matches, words, score) of every whole text."""
+    small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # ``ENTRIES`` and ``EXCEPTIONS`` short strings at most
     rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_of(docs).alias("text"))
     return rows.mapInArrow(lambda b: _weighed(b, shared.value, []), "doc_id long, weight double, matches int, words long, score double")
@@ -277,6 +279,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 def accepted(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
     """``docs`` without the rows that score ``cut`` or more, all columns as they were."""
+    small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
