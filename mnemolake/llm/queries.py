@@ -140,9 +140,12 @@ def token_totals(spark: SparkSession, folder: str) -> DataFrame:
     totals.commit("load", first)
     gone = marks.where("toxic = 1").select("doc_id", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("lang"), F.lit(version).alias("version"), F.lit(0).alias("tokens"))
     totals.commit("toxic", change(gone, "delete", 1))
-    poor = docs.join(marks.where("quality = 0 and toxic = 0").select("doc_id"), "doc_id", "left_semi")
-    poor = poor.withColumn("text", F.array_join(F.array_distinct(F.split("text", "\n", -1)), "\n"))
-    totals.commit("quality", change(token_counts.counted(poor, tokenizer(), version), "revise", 2))
+    # counts are joined, never texts: only documents with a repeated line are counted a second time
+    lines = F.split("text", "\n", -1)
+    repeated = docs.where(F.size(lines) > F.size(F.array_distinct(lines))).withColumn("text", F.array_join(F.array_distinct(lines), "\n"))
+    again = token_counts.counted(repeated, tokenizer(), version).select("doc_id", F.col("tokens").alias("fewer"))
+    poor = first.join(marks.where("quality = 0 and toxic = 0").select("doc_id"), "doc_id", "left_semi").join(again, "doc_id", "left")
+    totals.commit("quality", change(poor.withColumn("tokens", F.coalesce("fewer", "tokens")), "revise", 2))
     return totals.totals()
 
 
