@@ -60,9 +60,10 @@ def branches(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     while not state.where("up is not null").isEmpty() and 1 << len(levels) <= size:
         levels.append(state.where("up is not null").select("tree", "node", "up"))
         far = state.select("tree", F.col("node").alias("up"), F.col("up").alias("further"), F.col("depth").alias("depth2"), F.col("total").alias("total2"))
-        stepped = state.join(far, ["tree", "up"], "left")
+        # messages that have reached their root take no further part
+        stepped = state.where("up is not null").join(far, ["tree", "up"], "left")
         state = saved(
-            stepped.select("tree", "node", F.col("further").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total")),
+            state.where("up is null").unionByName(stepped.select("tree", "node", F.col("further").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"))),
             f"pointers{len(levels)}",
         )
     return levels, state.where("up is null").join(leaves, ["tree", "node"])
