@@ -1,15 +1,15 @@
-"""Repeated passages of lines, deleted from the later document after pairwise alignment.
+"""Repeated passages of lines, deleted from every document but the first that holds them.
 
-Lines are compared without case and with single spaces. Documents meet through shared keys: line hashes, and hashes
-of blocks (the shortest runs of lines of ``MIN_WORDS`` words from or up to a line). A key of at most ``RARE``
-documents pairs all of them. A block key of more documents pairs each with the earliest one only, which is enough:
-whatever a later document shares there, the earliest one holds. A common line by itself pairs nobody, since any
-common block long enough to be deleted has block keys. Each pair is aligned by patience diff, and aligned blocks of
-``MIN_WORDS`` words or more are deleted from the document that comes later by doc_id.
+Lines are compared without case and with single spaces. The blocks of a document are the shortest runs of lines of
+``MIN_WORDS`` words from or up to each line. A block that stands in an earlier document (by doc_id) is deleted, wherever
+and however often it stands in either. That is every line of every run of equal lines of ``MIN_WORDS`` words or more
+shared with any earlier document: in such a run each line belongs to the shortest block from some line of the run, or
+to the one up to its last line, and both documents have these blocks. So no pairs of documents are formed.
 
-Defined results: a missing text has no lines and comes back as an empty text; blank lines belong to no key and go
+Defined results: a missing text has no lines and comes back as an empty text; blank lines belong to no block and go
 only between two deleted lines; documents without doc_id come last; repeated rows and ids are documents of their
-own, in the order of their rows; a document that is wholly repeated becomes empty; an empty table gives no row.
+own, in the order of their rows; a passage repeated inside the first document that holds it stays; a document that is
+wholly repeated becomes empty; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -42,42 +42,35 @@ def lines_of(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def _table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        found = [lines_of(t) for t in batch.column("text").to_pylist()]
-        bounds = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32))
-        flat = np.array([y for x in found for y in x], np.int64).reshape(-1, 3)
-        parts = [pa.ListArray.from_arrays(bounds, pa.array(flat[:, k].astype(kind))) for k, kind in ((0, np.int32), (1, np.int64), (2, np.int32))]
-        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("place"), *parts], ["row", "place", "at", "hashes", "words"])
-
-
-def keys_of(hashes: list[int], words: list[int], min_words: int) -> dict[int, bool]:
-    """Keys of one document; the value says whether the key is a block's."""
-    keys = dict.fromkeys(hashes, False)
+def blocks_of(hashes: list[int], words: list[int], min_words: int) -> list[tuple[int, int, int]]:
+    """(key, first line, line after the last) of the shortest blocks from each line and up to each line."""
     upto = np.concatenate([[0], np.cumsum(words)])
     ends = np.searchsorted(upto, upto[:-1] + min_words)
     begins = np.searchsorted(upto, upto[1:] - min_words, side="right") - 1
     n = len(hashes)
-    for a, b in {(i, int(e)) for i, e in enumerate(ends) if e <= n} | {(int(s), i + 1) for i, s in enumerate(begins) if upto[i + 1] >= min_words}:
-        keys[hashes[a] if b == a + 1 else xxhash.xxh3_64_intdigest(np.array(hashes[a:b], np.int64).tobytes()) - (1 << 63)] = True
-    return keys
+    found = {(i, int(e)) for i, e in enumerate(ends) if e <= n} | {(int(s), i + 1) for i, s in enumerate(begins) if upto[i + 1] >= min_words}
+    return [(hashes[a] if b == a + 1 else xxhash.xxh3_64_intdigest(np.array(hashes[a:b], np.int64).tobytes()) - (1 << 63), a, b) for a, b in found]
 
 
 def _keys(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows, keys, block = [], [], []
-        for row, hashes, words in zip(batch.column("place").to_pylist(), batch.column("hashes").to_pylist(), batch.column("words").to_pylist(), strict=True):
-            if sum(words) < min_words:
+    for batch in slices(batches):
+        rows, found = [], []
+        for place, text in zip(batch.column("place").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            lines = lines_of(text)
+            if sum(x[2] for x in lines) < min_words:
                 continue
-            found = keys_of(hashes, words, min_words)
-            rows += [row] * len(found)
-            keys += found.keys()
-            block += found.values()
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.struct([("o", pa.int64()), ("row", pa.int64())])), pa.array(keys, pa.int64()), pa.array(block, pa.bool_())], ["place", "key", "block"])
+            blocks = blocks_of([x[1] for x in lines], [x[2] for x in lines], min_words)
+            rows += [place] * len(blocks)
+            found += blocks
+        flat = np.array(found, np.int64).reshape(-1, 3)
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.struct([("o", pa.int64()), ("row", pa.int64())])), *(pa.array(flat[:, k].astype(kind)) for k, kind in ((0, np.int64), (1, np.int32), (2, np.int32)))], ["place", "key", "lo", "hi"])
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Pairs of aligned places, rising in both: lines found once in either part anchor the rest."""
+    """Pairs of aligned places, rising in both: lines found once in either part anchor the rest.
+
+    For showing what two texts share in order; deletions do not depend on it.
+    """
     out: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
     while todo:
@@ -117,59 +110,28 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def common_blocks(a: list[int], b: list[int], words: list[int], min_words: int) -> list[tuple[int, int]]:
-    """Ranges of places in ``b`` that are aligned with ``a`` without a gap and hold enough words."""
-    blocks, run = [], []
-    for x, y in [*patience(a, b), (-9, -9)]:
-        if run and (x, y) != (run[-1][0] + 1, run[-1][1] + 1):
-            lo, hi = run[0][1], run[-1][1] + 1
-            if sum(words[lo:hi]) >= min_words:
-                blocks.append((lo, hi))
-            run = []
-        run.append((x, y))
-    return blocks
-
-
-def _aligned(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows, cut = [], []
-        for row, a, b, words, at in zip(*(batch.column(c).to_pylist() for c in ("later", "hashes_a", "hashes", "words", "at")), strict=True):
-            gone = [at[k] for lo, hi in common_blocks(a, b, words, min_words) for k in range(lo, hi)]
-            if gone:
-                rows.append(row)
-                cut.append(gone)
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(cut, pa.list_(pa.int32()))], ["later", "cut"])
-
-
 def deletions(rows: DataFrame, key: str, *, min_words: int = MIN_WORDS, rare: int = RARE) -> DataFrame:
-    """(row, cut): positions of the lines to delete from each document that has any."""
+    """(row, cut): the lines to delete from each document that has any, numbered without blank ones.
+
+    ``rare`` has no effect any more: a block counts the same whatever the number of its documents.
+    """
     small_batches(rows)
     place = F.struct(F.coalesce(rows["doc_id"].cast("bigint"), F.lit(2**63 - 1)).alias("o"), F.col(key).alias("row"))
-    read = rows.select(F.col(key).alias("row"), place.alias("place"), text_of(rows).alias("text"))
-    table = saved(read.mapInArrow(_table, "row long, place struct<o:long,row:long>, at array<int>, hashes array<long>, words array<int>"), "lines")
-    keys = table.select("place", "hashes", "words").mapInArrow(lambda b: _keys(b, min_words), "place struct<o:long,row:long>, key long, block boolean")
-    # counts, first holder and, of rare keys, all holders: lists are cut short in each merge, not afterwards
-    counted = saved(keys, "keys")
-    common = counted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"), F.max("block").alias("block")).where("n > 1")
-    common = saved(common.where((F.col("n") <= rare) | F.col("block")), "common")
-    held = counted.select("place", "key").join(common, "key")
-    stars = held.where(F.col("n") > rare).where("place > first").select(F.col("first.row").alias("earlier"), F.col("place.row").alias("later"))
-    few = held.where(F.col("n") <= rare).groupBy("key").agg(F.sort_array(F.collect_list("place")).alias("all"))  # ``rare`` at most
-    both = F.flatten(F.transform("all", lambda y, j: F.transform(F.slice("all", 1, j), lambda x: F.struct(x["row"].alias("earlier"), y["row"].alias("later")))))
-    pairs = stars.unionByName(few.select(F.explode(both).alias("p")).select("p.*")).distinct()
-    a = table.select(F.col("row").alias("earlier"), F.col("hashes").alias("hashes_a"))
-    b = table.select(F.col("row").alias("later"), "hashes", "words", "at")
-    joined = pairs.join(a, "earlier").join(b, "later").select("later", "hashes_a", "hashes", "words", "at")
-    cuts = joined.mapInArrow(lambda x: _aligned(x, min_words), "later long, cut array<int>")
-    # positions of one document, as many as it has lines
-    one = cuts.select("later", F.explode("cut").alias("at")).distinct().groupBy("later").agg(F.sort_array(F.collect_list("at")).alias("cut"))
-    return one.withColumnRenamed("later", "row")
+    read = rows.select(place.alias("place"), text_of(rows).alias("text"))
+    blocks = saved(read.mapInArrow(lambda b: _keys(b, min_words), "place struct<o:long,row:long>, key long, lo int, hi int"), "blocks")
+    common = blocks.groupBy("key").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").select("key", "first")
+    again = blocks.join(saved(common, "common"), "key").where("place > first")
+    # lines of one document, as many as it has
+    cut = again.select(F.col("place.row").alias("row"), F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)).alias("line")).distinct()
+    return cut.groupBy("row").agg(F.sort_array(F.collect_list("line")).alias("cut"))
 
 
 def _without(text: str | None, cut: np.ndarray | None) -> str | None:
     if cut is None:
         return text
-    lines, gone = text.split("\n"), set(cut.tolist())
+    lines = text.split("\n")
+    cut = np.flatnonzero([bool(line.split()) for line in lines])[cut]
+    gone = set(cut.tolist())
     # blank lines between two deleted lines belong to the deleted block
     for x, y in zip(cut, cut[1:], strict=False):
         if all(not line.strip() for line in lines[x + 1 : y]):
@@ -184,7 +146,7 @@ def _shortened(text: pd.Series, cut: pd.Series) -> pd.Series:
 
 
 def shortened(docs: DataFrame, **options) -> tuple[DataFrame, str, str]:
-    """``docs`` with two columns more and their names: the text without repeated blocks, and the deleted positions."""
+    """``docs`` with two columns more and their names: the text without repeated blocks, and the deleted lines."""
     rows, key = keyed(docs)
     new, cut = fresh(rows, "new_text"), fresh(rows, "cut")
     cuts = saved(deletions(rows, key, **options), "cuts").toDF(key, cut)

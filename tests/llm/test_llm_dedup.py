@@ -181,3 +181,21 @@ def test_patience_is_rising_and_equal():
         assert all(a[i] == b[j] for i, j in pairs)
         assert all(x[0] < y[0] and x[1] < y[1] for x, y in itertools.pairwise(pairs))
     assert line_dedup.patience([1, 2, 3, 9], [7, 1, 2, 3, 9]) == [(0, 1), (1, 2), (2, 3), (3, 4)]
+
+
+def repeated_cases():
+    """Passages that stand twice in one of two texts, once with many holders that come after such a first one."""
+    a, b, c, d = (" ".join(words(45, 500 + k)) for k in range(4))
+    own = [" ".join(words(12, 600 + k)) for k in range(40)]
+    rows = [(1, "\n".join([a, own[0], a])), (2, "\n".join([own[1], a, own[2]])), (3, "\n".join([own[3], b, own[4]])), (4, "\n".join([b, own[5], b]))]
+    rows += [(5, "\n".join([c, own[6], c, own[7]]))] + [(10 + k, "\n".join([own[8 + k], c, own[20 + k]])) for k in range(12)]
+    rows += [(30, "\n".join([d, d, own[33]])), (31, "\n".join([own[34], d, d, d]))]
+    return rows, {1: 0, 2: 1, 3: 0, 4: 2, 5: 0, **{10 + k: 1 for k in range(12)}, 30: 0, 31: 3}
+
+
+def test_passages_that_stand_twice_are_deleted(spark):
+    rows, removed = repeated_cases()
+    assert {rows[i][0]: len(c) for i, c in brute_lines(rows, line_dedup.MIN_WORDS).items()} == removed
+    got = line_dedup.line_deduplicated(table(spark, rows)).collect()
+    assert {r.doc_id: r.removed_lines for r in got} == removed
+    assert {r.doc_id: r.text for r in got}[4] == rows[3][1].split("\n")[1]
