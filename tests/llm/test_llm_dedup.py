@@ -199,3 +199,16 @@ def test_passages_that_stand_twice_are_deleted(spark):
     got = line_dedup.line_deduplicated(table(spark, rows)).collect()
     assert {r.doc_id: r.removed_lines for r in got} == removed
     assert {r.doc_id: r.text for r in got}[4] == rows[3][1].split("\n")[1]
+
+
+def test_passages_in_another_order_are_deleted(spark):
+    a, b, c = (" ".join(words(45, 700 + k)) for k in range(3))
+    own = [" ".join(words(12, 720 + k)) for k in range(40)]
+    rows = [(1, "\n".join([a, own[0], b])), (2, "\n".join([b, own[1], a])), (3, "\n".join([own[2], c, a, b]))]
+    # frequent ones, drawn in varying order
+    rows += [(10 + k, "\n".join([own[3 + k], *random.Random(k).sample([a, b, c], 3)])) for k in range(12)]
+    removed = {1: 0, 2: 2, 3: 2, **{10 + k: 3 for k in range(12)}}
+    assert {rows[i][0]: len(x) for i, x in brute_lines(rows, line_dedup.MIN_WORDS).items()} == removed
+    got = line_dedup.line_deduplicated(table(spark, rows)).collect()
+    assert {r.doc_id: r.removed_lines for r in got} == removed
+    assert {r.doc_id: r.text for r in got}[2] == own[1]
