@@ -1,19 +1,24 @@
-"""Repeated passages of lines, deleted from every document but the first that holds them.
-
-Lines are compared without case and with single spaces. The blocks of a document are the shortest runs of lines of
-``MIN_WORDS`` words from or up to each line. A block that stands in an earlier document (by doc_id) is deleted, wherever
-and however often it stands in either. That is every line of every run of equal lines of ``MIN_WORDS`` words or more
-shared with any earlier document: in such a run each line belongs to the shortest block from some line of the run, or
-to the one up to its last line, and both documents have these blocks. So no pairs of documents are formed.
-
-Defined results: a missing text has no lines and comes back as an empty text; blank lines belong to no block and go
-only between two deleted lines; documents without doc_id come last; repeated rows and ids are documents of their
-own, in the order of their rows; a passage repeated inside the first document that holds it stays; a document that is
-wholly repeated becomes empty; an empty table gives no row.
+"""Repeated passages, deleted from every document but the first that holds them.
+
+Words are compared without case, however spaced and broken into lines. Every word of every run of ``MIN_WORDS`` words or
+more that also stands in an earlier document (by doc_id) is deleted, wherever and however often the run stands in
+either: whole lines, parts of longer lines, in any order. Such a run is made of windows of ``MIN_WORDS`` words that the
+earlier document holds, so windows are looked up and no pairs of documents are formed.
+
+Most windows occur once. To leave them out, each window names its least part of half as many words (its anchor); equal
+windows have equal anchors, and neighbours mostly share theirs. Windows whose anchor stands in one document only
+cannot occur elsewhere. If all stretches of windows with one anchor are the same words, they are looked up as one;
+only the windows of the others, at the ends of shared runs, are looked up one by one.
+
+Defined results: a missing text has no words and comes back as an empty text; a line of which no word is left goes,
+one that loses some keeps the rest; blank lines go only between two deleted lines; documents without doc_id come
+last; repeated rows and ids are documents of their own, in the order of their rows; a passage repeated inside the
+first document that holds it stays; a document that is wholly repeated becomes empty; an empty table gives no row.
 """
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -22,18 +27,33 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from mnemolake.llm.common import fresh, keyed, saved, slices, small_batches, text_of
 
 MIN_WORDS = 40
 RARE = 8
+WORDS_HELD = 500_000
+PLACE = "place struct<o:long,row:long>"
+_word = re.compile(r"\S+")
+_odd = 0x9E3779B97F4A7C15
+_powers: dict[int, np.ndarray] = {}
+
+
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) > WORDS_HELD:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
+_held = _Hashes()
 
 
 def lines_of(text: str) -> list[tuple[int, int, int]]:
-    """(position, hash, words) of each line with a word."""
+    """(position, hash, words) of each line with a word: what two texts share in whole lines."""
     out = []
     for i, line in enumerate(text.split("\n")):
         words = line.lower().split()
@@ -42,28 +62,76 @@ def lines_of(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def blocks_of(hashes: list[int], words: list[int], min_words: int) -> list[tuple[int, int, int]]:
-    """(key, first line, line after the last) of the shortest blocks from each line and up to each line."""
-    upto = np.concatenate([[0], np.cumsum(words)])
-    ends = np.searchsorted(upto, upto[:-1] + min_words)
-    begins = np.searchsorted(upto, upto[1:] - min_words, side="right") - 1
-    n = len(hashes)
-    found = {(i, int(e)) for i, e in enumerate(ends) if e <= n} | {(int(s), i + 1) for i, s in enumerate(begins) if upto[i + 1] >= min_words}
-    return [(hashes[a] if b == a + 1 else xxhash.xxh3_64_intdigest(np.array(hashes[a:b], np.int64).tobytes()) - (1 << 63), a, b) for a, b in found]
+def word_hashes(text: str) -> np.ndarray:
+    return np.array([_held[w] for w in text.lower().split()], np.uint64)
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    if base not in _powers or len(_powers[base]) < n:
+        _powers[base] = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(2 * n, base, np.uint64))])
+    return _powers[base][:n]
+
+
+def ranges(words: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """One number for the words of each range."""
+    n = len(words)
+    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * _power(_odd, n), dtype=np.uint64)])
+    value = (upto[hi] - upto[lo]) * _power(pow(_odd, -1, 2**64), n + 1)[lo]
+    value = (value ^ (value >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    return value ^ (value >> np.uint64(29))
+
+
+def windows(words: np.ndarray, size: int) -> np.ndarray:
+    """One number for each run of ``size`` words, in text order."""
+    lo = np.arange(max(0, len(words) - size + 1))
+    return ranges(words, lo, lo + size)
+
 
+def anchors(words: np.ndarray, min_words: int) -> np.ndarray:
+    """For each run of ``min_words`` words, the least window of half as many words in it."""
+    part = (min_words + 1) // 2
+    least, size, wide = windows(words, part), 1, min_words - part + 1
+    if len(least) < wide:
+        return np.zeros(0, np.uint64)
+    while size < wide:
+        step = min(size, wide - size)
+        least, size = np.minimum(least[:-step], least[step:]), size + step
+    return least
 
-def _keys(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+
+def stretches(words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, number, first word, word after the last) of each stretch of windows with one anchor."""
+    anchor = anchors(words, min_words)
+    lo = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(anchor) else np.zeros(0, np.int64)
+    hi = np.append(lo[1:], len(anchor))[: len(lo)] + min_words - 1
+    return anchor[lo], ranges(words, lo, hi), lo, hi
+
+
+def _found(places: list[dict], values: list[tuple[np.ndarray, ...]], names: list[str]) -> pa.RecordBatch:
+    rows = [p for p, v in zip(places, values, strict=True) for _ in range(len(v[0]))]
+    flat = [pa.array(np.concatenate([np.zeros(0, np.uint64), *(v[k] for v in values)]).view(np.int64)) for k in range(len(names))]
+    return pa.RecordBatch.from_arrays([pa.array(rows, pa.struct([("o", pa.int64()), ("row", pa.int64())])), *flat], ["place", *names])
+
+
+def _stretches(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        values = []
+        for text in batch.column("text").to_pylist():
+            anchor, whole, _, _ = stretches(word_hashes(text), min_words)
+            whole, at = np.unique(whole, return_index=True)
+            values.append((anchor[at], whole))
+        yield _found(batch.column("place").to_pylist(), values, ["anchor", "key"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+    """Windows with one of the document's anchors that are given."""
     for batch in slices(batches):
-        rows, found = [], []
-        for place, text in zip(batch.column("place").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            lines = lines_of(text)
-            if sum(x[2] for x in lines) < min_words:
-                continue
-            blocks = blocks_of([x[1] for x in lines], [x[2] for x in lines], min_words)
-            rows += [place] * len(blocks)
-            found += blocks
-        flat = np.array(found, np.int64).reshape(-1, 3)
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.struct([("o", pa.int64()), ("row", pa.int64())])), *(pa.array(flat[:, k].astype(kind)) for k, kind in ((0, np.int64), (1, np.int32), (2, np.int32)))], ["place", "key", "lo", "hi"])
+        values = []
+        for text, given in zip(batch.column("text").to_pylist(), batch.column("anchors"), strict=True):
+            words = word_hashes(text)
+            meant = np.isin(anchors(words, min_words), given.values.to_numpy().view(np.uint64))
+            values.append((np.unique(windows(words, min_words)[meant]),))
+        yield _found(batch.column("place").to_pylist(), values, ["key"])
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -111,57 +179,88 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 
 def deletions(rows: DataFrame, key: str, *, min_words: int = MIN_WORDS, rare: int = RARE) -> DataFrame:
-    """(row, cut): the lines to delete from each document that has any, numbered without blank ones.
+    """(row, cut): stretches and windows of each document that an earlier one holds, for documents that have any.
 
-    ``rare`` has no effect any more: a block counts the same whatever the number of its documents.
+    ``rare`` has no effect any more: words count the same whatever the number of their documents.
     """
     small_batches(rows)
     place = F.struct(F.coalesce(rows["doc_id"].cast("bigint"), F.lit(2**63 - 1)).alias("o"), F.col(key).alias("row"))
     read = rows.select(place.alias("place"), text_of(rows).alias("text"))
-    blocks = saved(read.mapInArrow(lambda b: _keys(b, min_words), "place struct<o:long,row:long>, key long, lo int, hi int"), "blocks")
-    common = blocks.groupBy("key").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").select("key", "first")
-    again = blocks.join(saved(common, "common"), "key").where("place > first")
-    # lines of one document, as many as it has
-    cut = again.select(F.col("place.row").alias("row"), F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)).alias("line")).distinct()
-    return cut.groupBy("row").agg(F.sort_array(F.collect_list("line")).alias("cut"))
+    # keys are distinct within a document, so the rows of one key are its documents
+    found = saved(read.mapInArrow(lambda b: _stretches(b, min_words), f"{PLACE}, anchor long, key long"), "stretches")
+    shared = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"), (F.min("key") < F.max("key")).alias("mixed")).where("n > 1")
+    held = found.join(saved(shared.select("anchor", "first", "mixed"), "shared"), "anchor").where(F.col("mixed") | (F.col("place") > F.col("first")))
+    held = saved(held.select(F.col("place.row").alias("row"), "anchor", "key", "mixed"), "held")
+    # lists of one document, at most as long as its text
+    mine = held.where("mixed").groupBy(F.col("row").alias("of")).agg(F.collect_list("anchor").alias("anchors"))
+    again = read.join(mine, read["place"]["row"] == mine["of"]).select("place", "text", "anchors")
+    window = saved(again.mapInArrow(lambda b: _windows(b, min_words), f"{PLACE}, key long"), "windows")
+    common = saved(window.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first")).where("n > 1").select("key", "first"), "common")
+    single = window.join(common, "key").where("place > first").select(F.col("place.row").alias("row"), "key")
+    return held.where("not mixed").select("row", "key").unionByName(single).groupBy("row").agg(F.collect_list("key").alias("cut"))
 
 
-def _without(text: str | None, cut: np.ndarray | None) -> str | None:
+def without(text: str | None, cut: np.ndarray | None, min_words: int = MIN_WORDS) -> tuple[str | None, int]:
+    """The text without the stretches and windows ``cut``, and the number of lines that lost words."""
     if cut is None:
-        return text
-    lines = text.split("\n")
-    cut = np.flatnonzero([bool(line.split()) for line in lines])[cut]
-    gone = set(cut.tolist())
-    # blank lines between two deleted lines belong to the deleted block
-    for x, y in zip(cut, cut[1:], strict=False):
-        if all(not line.strip() for line in lines[x + 1 : y]):
-            gone.update(range(x + 1, y))
-    left = "\n".join(line for i, line in enumerate(lines) if i not in gone)
-    return left if left.strip() else ""
+        return text, 0
+    words, keys = word_hashes(text), np.asarray(cut, np.int64).view(np.uint64)
+    _, whole, lo, hi = stretches(words, min_words)
+    hit, one = np.isin(whole, keys), np.flatnonzero(np.isin(windows(words, min_words), keys))
+    step = np.zeros(len(words) + 1, np.int64)
+    np.add.at(step, np.concatenate([lo[hit], one]), 1)
+    np.add.at(step, np.concatenate([hi[hit], one + min_words]), -1)
+    gone = np.cumsum(step) > 0
+    out, blank, after_gone, lost, k = [], [], False, 0, 0
+    for line in text.split("\n"):
+        spans = [m.span() for m in _word.finditer(line)]
+        if not spans:
+            blank.append(line)
+            continue
+        drop, k = gone[k : k + len(spans)].tolist(), k + len(spans)
+        lost += any(drop)
+        # blank lines between two deleted lines belong to the deleted passage
+        out += [] if after_gone and all(drop) else blank
+        blank, after_gone = [], all(drop)
+        if not after_gone:
+            out.append(_rest(line, spans, drop) if any(drop) else line)
+    left = "\n".join(out + blank)
+    return left if left.strip() else "", lost
 
 
-@F.pandas_udf(StringType())
-def _shortened(text: pd.Series, cut: pd.Series) -> pd.Series:
-    return pd.Series([_without(t, c) for t, c in zip(text, cut, strict=True)], dtype=object)
+def _rest(line: str, spans: list[tuple[int, int]], drop: list[bool]) -> str:
+    """The kept words of a line with the spaces between them, and one space where others stood."""
+    starts = [i for i in range(len(spans)) if not drop[i] and (i == 0 or drop[i - 1])]
+    ends = [i for i in range(len(spans)) if not drop[i] and (i + 1 == len(spans) or drop[i + 1])]
+    return " ".join(line[spans[a][0] if a else 0 : spans[b][1] if b + 1 < len(spans) else len(line)] for a, b in zip(starts, ends, strict=True))
 
 
-def shortened(docs: DataFrame, **options) -> tuple[DataFrame, str, str]:
-    """``docs`` with two columns more and their names: the text without repeated blocks, and the deleted lines."""
+def _shortened(text: Column, cut: Column, min_words: int) -> Column:
+    @F.pandas_udf("text string, lines int")
+    def left(text: pd.Series, cut: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([without(t, c, min_words) for t, c in zip(text, cut, strict=True)], columns=["text", "lines"]).astype({"text": object})
+
+    # not deterministic for the planner: a filter on the result must not compute it a second time
+    return left.asNondeterministic()(text, cut)
+
+
+def shortened(docs: DataFrame, **options) -> tuple[DataFrame, str]:
+    """``docs`` with one column more and its name: the text without repeated passages, and the number of lines that lost words."""
     rows, key = keyed(docs)
-    new, cut = fresh(rows, "new_text"), fresh(rows, "cut")
+    new, cut = fresh(rows, "new"), fresh(rows, "cut")
     cuts = saved(deletions(rows, key, **options), "cuts").toDF(key, cut)
-    # not deterministic for the planner: a filter on the result must not compute it a second time
-    return rows.join(cuts, key, "left").withColumn(new, _shortened.asNondeterministic()("text", cut)), new, cut
+    left = _shortened(F.col("text"), F.col(cut), options.get("min_words", MIN_WORDS))
+    return rows.join(cuts, key, "left").withColumn(new, left), new
 
 
 def line_deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, text, removed_lines) of each row of ``docs``."""
-    rows, new, cut = shortened(docs, **options)
-    return rows.select("doc_id", F.coalesce(new, F.lit("")).alias("text"), F.coalesce(F.size(cut), F.lit(0)).alias("removed_lines"))
+    """(doc_id, text, removed_lines) of each row of ``docs``; lines that lost only some of their words count as well."""
+    rows, new = shortened(docs, **options)
+    return rows.select("doc_id", F.coalesce(F.col(new)["text"], F.lit("")).alias("text"), F.col(new)["lines"].alias("removed_lines"))
 
 
 def emptied(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with shortened texts and all other columns as they were; rows of which nothing is left go."""
-    rows, new, cut = shortened(docs, **options)
-    rows = rows.where(F.col(cut).isNull() | (F.col(new) != ""))
-    return rows.select(*[F.col(new).alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    rows, new = shortened(docs, **options)
+    rows = rows.where((F.col(new)["lines"] == 0) | (F.col(new)["text"] != ""))
+    return rows.select(*[F.col(new)["text"].alias(c) if c == "text" else F.col(c) for c in docs.columns])

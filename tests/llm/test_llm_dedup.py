@@ -212,3 +212,35 @@ def test_passages_in_another_order_are_deleted(spark):
     got = line_dedup.line_deduplicated(table(spark, rows)).collect()
     assert {r.doc_id: r.removed_lines for r in got} == removed
     assert {r.doc_id: r.text for r in got}[2] == own[1]
+
+
+def test_passages_inside_longer_lines_are_deleted(spark):
+    p, q, own = words(60, 800), words(100, 801), [words(12, 810 + k) for k in range(30)]
+    j = lambda *parts: " ".join(w for x in parts for w in x)
+    rows = [(1, j(own[0], p, own[1])), (2, j(own[2], p) + "\n\n" + j(own[3])), (3, j(own[4]) + "\n" + j(p[:30]) + "\n\n" + j(p[30:], own[5]))]
+    rows += [(4, j(q)), (5, "  " + j(own[6], q[:50], ["changed"], q[51:]) + "  "), (6, j(own[7], p[:39], own[8])), (7, j(own[9], p[5:45], own[10], p[:40]))]
+    # many holders, each beside other words
+    rows += [(20 + k, j(own[11 + k], p, own[12 + k][:6])) for k in range(12)]
+    got = {r.doc_id: (r.text, r.removed_lines) for r in line_dedup.line_deduplicated(table(spark, rows)).collect()}
+    assert got[1] == (rows[0][1], 0) and got[4] == (rows[3][1], 0) and got[6] == (rows[5][1], 0)
+    assert got[2] == (j(own[2]) + "\n\n" + j(own[3]), 1) and got[3] == (j(own[4]) + "\n\n" + j(own[5]), 2)
+    assert got[5] == ("  " + j(own[6]) + " changed", 1) and got[7] == (j(own[9], own[10]), 1)
+    assert all(got[20 + k] == (j(own[11 + k], own[12 + k][:6]), 1) for k in range(12))
+
+
+def test_windows_equal_brute_force():
+    """Random texts of few words: deleted words are those of every shared run that is long enough."""
+    rng = random.Random(5)
+    for _ in range(60):
+        size = rng.randrange(1, 9)
+        a, b = ([str(rng.randrange(3)) for _ in range(rng.randrange(0, 40))] for _ in range(2))
+        x, y = (line_dedup.word_hashes(" ".join(t)) for t in (a, b))
+        runs = {tuple(a[i : i + size]) for i in range(len(a) - size + 1)}
+        hit = [tuple(b[i : i + size]) in runs for i in range(len(b) - size + 1)]
+        assert np.isin(line_dedup.windows(y, size), line_dedup.windows(x, size)).tolist() == hit
+        # equal windows have equal anchors, one for each window
+        kept = np.isin(line_dedup.anchors(y, size), line_dedup.anchors(x, size)).tolist()
+        assert len(kept) == len(hit) and all(k for k, h in zip(kept, hit) if h)
+        left, _ = line_dedup.without(" ".join(b), np.unique(line_dedup.windows(x, size)).view(np.int64), size)
+        gone = {i + k for i, h in enumerate(hit) if h for k in range(size)}
+        assert left.split() == [w for i, w in enumerate(b) if i not in gone]
