@@ -65,12 +65,13 @@ def run_folder(spark: SparkSession) -> str:
     """A fresh sub-folder of the shared folder for one run's files; it lasts as long as the application."""
     root = f"{shared_folder(spark)}/runs-{spark.sparkContext.applicationId}"
     if root not in _roots:
-        _roots[root] = spark
+        _roots.add(root)
         atexit.register(_remove_at_exit, spark)
     return f"{root}/run-{uuid.uuid4().hex}"
 
 
-_roots: dict[str, SparkSession] = {}
+#: Names only: functions sent to executors carry this module, and a session cannot travel.
+_roots: set[str] = set()
 
 
 def _remove_at_exit(spark: SparkSession) -> None:
@@ -86,7 +87,7 @@ def remove_run_files(spark: SparkSession) -> None:
     root = f"{shared_folder(spark)}/runs-{context.applicationId}"
     path = context._jvm.org.apache.hadoop.fs.Path(root)
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-    _roots.pop(root, None)
+    _roots.discard(root)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
