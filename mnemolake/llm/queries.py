@@ -52,10 +52,11 @@ def token_files_digest(spark: SparkSession, folder: str) -> DataFrame:
     token_files.write_token_files(documents(spark, folder), path, tokenizer=tokenizer(), end_id=2)
     blocks, id_of = token_files.read_token_files(spark, path)
     shared = spark.sparkContext.broadcast(id_of)  # one number per id of the vocabulary
+    documents_of = token_files.documents_of
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(name, start, len(ids), zlib.crc32(ids.astype("<u4"))) for name, start, ids in token_files.documents_of([batch], shared.value)]
+            rows = [(name, start, len(ids), zlib.crc32(ids.astype("<u4"))) for name, start, ids in documents_of([batch], shared.value)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return blocks.mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
