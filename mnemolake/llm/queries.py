@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mnemolake.llm import chat, exact, line_dedup, line_quality, mixing, order_minhash, packing, token_counts, token_files, toxicity
+from mnemolake.llm import chat, exact, line_dedup, line_quality, mixing, order_minhash, packing, simhash, token_counts, token_files, toxicity
 from mnemolake.llm.common import saved
 from mnemolake.session import run_folder
 
@@ -183,3 +183,8 @@ def quality_verdicts(spark: SparkSession, folder: str) -> DataFrame:
 def mixed_sources(spark: SparkSession, folder: str) -> DataFrame:
     plan, _, _ = mixing.copies(documents(spark, folder))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
+@query("op11_simhash")
+def simhash_components(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.classes(documents(spark, folder)).select("doc_id", "fingerprint", "component_id")
