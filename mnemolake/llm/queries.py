@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mnemolake.llm import chat, exact, line_dedup, line_quality, mixing, order_minhash, packing, simhash, token_counts, token_files, toxicity
+from mnemolake.llm import chat, exact, line_dedup, line_quality, merkle, mixing, order_minhash, packing, simhash, token_counts, token_files, toxicity
 from mnemolake.llm.common import saved
 from mnemolake.session import run_folder
 
@@ -188,3 +188,38 @@ def mixed_sources(spark: SparkSession, folder: str) -> DataFrame:
 @query("op11_simhash")
 def simhash_components(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.classes(documents(spark, folder)).select("doc_id", "fingerprint", "component_id")
+
+
+def _manifest_sql(levels: int = 8, tops: int = 4) -> str:
+    """Levels one after the other, for up to 8^levels rows a language and 8^tops languages; a node alone stays as it is."""
+    said = lambda c, text=None: f"coalesce(octet_length(encode(cast({text or c} as varchar))) || ':' || cast({text or c} as varchar), '-')"
+    leaf = lambda text: "sha256(" + " || ".join(said(c, text if c == "text" else None) for c in merkle.FIELDS) + ")"
+    steps = "flatten(list_transform(string_split(cast(doc_id as varchar), ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    crc = f"xor(list_reduce(list_concat([4294967295], {steps}), lambda a, x: case when x >= 0 then xor(a, x) else xor(a >> 1, 3988292384 * (a & 1)) end), 4294967295)"
+    parts = [f"""rows as (select *, coalesce('+' || lang, '') as part, {leaf("text")} as leaf,
+        case when {crc} % 3 = 0 then {leaf(f"translate(text, '{merkle.UPPER}', '{merkle.LOWER}')")} end as altered from documents),
+    placed as (select *, row_number() over (partition by part order by doc_id) - 1 as place from rows),
+    t0 as (select part, place, leaf as h, count(*) over (partition by part) as n from placed)"""]
+
+    def grow(name: str, count: int) -> None:
+        for k in range(count):
+            parts.append(f"""{name}s{k} as (select a.part, a.place, a.n, coalesce(string_agg(b.h, '' order by b.place) filter (b.place < a.place), '') as bef,
+                coalesce(string_agg(b.h, '' order by b.place) filter (b.place > a.place), '') as aft from {name}{k} a join {name}{k} b on a.part = b.part and a.place // 8 = b.place // 8 group by a.part, a.place, a.n)""")
+            parts.append(f"""{name}{k + 1} as (select *, count(*) over (partition by part) as n from (select part, place // 8 as place, case when any_value(n) = 1 then any_value(h) else sha256(string_agg(h, '' order by place)) end as h
+                from {name}{k} group by part, place // 8))""")
+
+    grow("t", levels)
+    parts.append(f"tops as (select part as lang_part, h as subroot, row_number() over (order by part) - 1 as lang_place from t{levels})")
+    parts.append("u0 as (select '*' as part, lang_place as place, subroot as h, count(*) over () as n from tops)")
+    grow("u", tops)
+    parts.append("x0 as (select *, coalesce(altered, leaf) as node, '' as proof from placed join tops on part = lang_part)")
+    chain = [(f"ts{k}", f"x.part = s.part and x.place // {8**k} = s.place") for k in range(levels)] + [(f"us{k}", f"x.lang_place // {8**k} = s.place") for k in range(tops)]
+    for k, (table, where) in enumerate(chain):
+        parts.append(f"x{k + 1} as (select x.* exclude (node, proof), case when s.n = 1 then node else sha256(bef || node || aft) end as node, proof || bef || aft as proof from x{k} x join {table} s on {where})")
+    root = f"(select h from u{tops})"
+    return "with " + ",\n".join(parts) + f" select doc_id, leaf, subroot, {root} as root, sha256(proof) as proof_sha256, node as folded_root, node = {root} as verified from x{len(chain)}"
+
+
+@query("op12_merkle_manifest", _manifest_sql())
+def merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.manifest(documents(spark, folder))
