@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mnemolake.llm import chat, exact, line_dedup, line_quality, merkle, mixing, order_minhash, packing, simhash, token_counts, token_files, toxicity
+from mnemolake.llm import chat, divergence, exact, line_dedup, line_quality, merkle, mixing, order_minhash, packing, simhash, token_counts, token_files, toxicity
 from mnemolake.llm.common import saved
 from mnemolake.session import run_folder
 
@@ -223,3 +223,27 @@ def _manifest_sql(levels: int = 8, tops: int = 4) -> str:
 @query("op12_merkle_manifest", _manifest_sql())
 def merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.manifest(documents(spark, folder))
+
+
+_AUDIT_SQL = r"""
+with docs as (select doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text, row_number() over () as row from documents),
+found as (select row, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from docs),
+kept as (select lang, term, count(*) as total from found group by lang, term having count(distinct row) >= 3),
+counts as (select f.lang, f.source, f.term, count(*) as n from found f join kept k on f.lang = k.lang and f.term = k.term group by f.lang, f.source, f.term),
+langs as (select lang, count(*) as v, sum(total) as words from kept group by lang),
+groups as (select g.lang, g.source, coalesce(any_value(l.v), 0) as v, coalesce(sum(c.n), 0) as words
+    from (select distinct lang, source from docs) g left join langs l on g.lang = l.lang left join counts c on g.lang = c.lang and g.source = c.source group by g.lang, g.source),
+levels as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n, 1 + (1000000000::hugeint * (coalesce(c.n, 0) + 1)) // (g.words + g.v)::hugeint as p, 1 + (1000000000::hugeint * (k.total + 1)) // (l.words + g.v)::hugeint as q
+    from groups g join kept k on g.lang = k.lang join langs l on g.lang = l.lang left join counts c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+pair_sums as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value from levels a join levels b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by a.lang, a.source, b.source),
+pairs as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(s.value, 0) as value from groups a join groups b on a.lang = b.lang and a.source <> b.source
+    left join pair_sums s on s.lang = a.lang and s.source = a.source and s.item = b.source),
+terms as (select lang, source, 'term' as part, term as item, (p - q) * (p - q) // q as value from levels where n > 0 and p > q),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from (select * from pairs union all select * from terms))
+select lang, source, part, item, value::bigint as value, rank::int as rank from ranked where part = 'pair' or rank <= 200
+"""
+
+
+@query("op13_source_divergence", _AUDIT_SQL)
+def source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(documents(spark, folder))
