@@ -67,7 +67,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def block_count(n: int) -> int:
     """Blocks to cut fingerprints into, so that ``n`` random ones have fewer than two in a bucket."""
-    return next((b for b in (4, 5, 6) if n >> (64 * (b - NEAR) // b) == 0), 7)
+    return next((b for b in (5, 6) if n >> (64 * (b - NEAR) // b) == 0), 7)
 
 
 def masks(blocks: int) -> list[int]:
