@@ -115,3 +115,10 @@ SELECT graph_id, semantic_id AS src_id""", 1))
 def stored_evidence(spark, d) -> DataFrame:
     """All edges of the store after a consolidation run was written back."""
     return _consolidated_store(spark, d).load("edges").select("graph_id", "src_id", "kind", "dst_id")
+
+
+@query("stored_old_version", with_bindings("SELECT graph_id, semantic_id, is_active, text FROM facts"))
+def stored_old_version(spark, d) -> DataFrame:
+    """All facts as they stood before the consolidation, read from the store after it."""
+    store = _consolidated_store(spark, d)
+    return store.load("semantic", version=store.version() - 1).select("graph_id", "semantic_id", "is_active", "text")

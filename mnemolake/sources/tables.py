@@ -1,13 +1,19 @@
-"""Memory tables as partitioned Parquet: load, append, patch, create and drop graphs."""
+"""Memory tables as partitioned Parquet: load, append, patch, create and drop graphs, in atomic versions."""
 
 from __future__ import annotations
 
+import re
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemolake import schema
 from mnemolake.operators.inspect import graph_stats
 from mnemolake.session import checkpointed
+from mnemolake.sources.commits import CommitLog, State
 
 KEY = {name: ["graph_id", column] for name, column in schema.ID_COLUMN.items()} | {
     "edges": ["graph_id", "src_type", "src_id", "kind", "dst_type", "dst_id"]
@@ -15,29 +21,113 @@ KEY = {name: ["graph_id", column] for name, column in schema.ID_COLUMN.items()}
 
 
 class MemoryStore:
-    """A folder of tables, each partitioned by ``graph_id`` so one graph is one pruned directory."""
+    """A folder of tables, each partitioned by ``graph_id`` so one graph is one pruned directory.
+
+    Every change is a commit (``sources.commits``): readers see all of it or nothing, and earlier versions stay
+    readable until ``vacuum``. Methods called inside ``transaction`` become one commit.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.log = CommitLog(spark, self.root)
+        self._open: dict | None = None
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def _exists(self, table: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(table))
-        return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
+    def _hadoop(self, path: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return path, path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+
+    def _exists(self, name: str) -> bool:
+        path, system = self._hadoop(self.path(name))
+        return system.exists(path)
+
+    # --- versions ---
+
+    def version(self) -> int:
+        """The newest version; -1 before the first commit."""
+        return self.log.latest()
+
+    def _state(self, version: int | None = None) -> State:
+        return self._open["state"] if self._open and version is None else self.log.state(version)
+
+    @contextmanager
+    def transaction(self, batch: str | None = None) -> Iterator[None]:
+        """All changes made inside are one commit on the version that was newest at the start.
 
-    def load(self, table: str, graph_id: str | None = None) -> DataFrame:
-        """A table, or one graph of it; an unwritten table is empty."""
+        Reads inside see the changes made so far. Nothing is published if the block fails. ``batch`` is noted with
+        the commit: see ``committed``. Raises ``CommitConflict`` if another writer changed the same graphs meanwhile.
+        """
+        if self._open is not None:
+            yield
+            return
+        base = self.log.latest()
+        self._open = {"base": base, "state": self.log.state(base), "entries": []}
+        try:
+            yield
+            entry: dict = {"commit": uuid.uuid4().hex, "add": {}, "replace": {}, "patched": {}, "batch": batch}
+            parts = self._open["entries"]
+            if parts or batch:
+                # each write has a folder of its own; as one entry they come into force together
+                self.log.publish(base, entry | {"steps": parts, **_summary(parts)})
+        finally:
+            self._open = None
+
+    def committed(self, batch: str) -> bool:
+        """Whether a commit of this name is part of the store."""
+        return batch in self._state().batches
+
+    def _write(self, table: str, rows: DataFrame, *, replace: list[str] | None = None, patched: list[str] = ()) -> None:
+        """Stage ``rows`` in a folder of their own, and with it that earlier rows of the graphs ``replace`` go."""
+        commit = uuid.uuid4().hex
+        folder = f"{self.path(table)}/commit={commit}"
+        self._balanced(rows).write.partitionBy("graph_id").parquet(folder)
+        path, system = self._hadoop(folder)
+        graphs = sorted(n for n in (s.getPath().getName() for s in system.listStatus(path)) if n.startswith("graph_id="))
+        entry = {"commit": commit, "add": {table: graphs} if graphs else {}, "replace": {table: replace} if replace else {}, "patched": {table: list(patched)} if patched else {}}
+        self._open["state"].apply(entry)
+        self._open["entries"].append(entry)
+
+    def _folder_names(self, graph_ids: DataFrame) -> list[str]:
+        escape = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
+        return [escape("graph_id", r["graph_id"]) for r in graph_ids.select("graph_id").distinct().collect()]
+
+    def compact(self, table: str) -> None:
+        """Rewrite a table's live rows into one folder per graph."""
+        with self.transaction():
+            self._write(table, self.load(table), replace=sorted(self._state().graphs(table)))
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Delete folders that none of the ``keep`` newest versions reads; no writer may be at work. Returns how many."""
+        last = self.version()
+        held = {(t, c) for v in range(max(0, last - keep + 1), last + 1) for t, commits in self.log.state(v).live.items() for c in commits}
+        n = 0
+        for table in (*schema.TABLES, "graphs"):
+            path, system = self._hadoop(self.path(table))
+            for status in system.listStatus(path) if system.exists(path) else ():
+                name = status.getPath().getName()
+                if name.startswith("commit=") and (table, name[7:]) not in held:
+                    system.delete(status.getPath(), True)
+                    n += 1
+        return n
+
+    # --- rows ---
+
+    def load(self, table: str, graph_id: str | None = None, version: int | None = None) -> DataFrame:
+        """A table, or one graph of it, as of the newest version or an earlier one; an unwritten table is empty."""
         ddl = schema.GRAPHS if table == "graphs" else schema.TABLES[table]
-        if not self._exists(table):
+        paths = self._state(version).paths(table)
+        if not paths:
             return self.spark.createDataFrame([], ddl)
-        df = self.spark.read.schema(ddl).parquet(self.path(table))
+        base = self.path(table)
+        df = self.spark.read.schema(f"{ddl}, commit string").option("basePath", base).parquet(*[f"{base}/{p}" for p in paths])
+        df = df.select(*[f.split()[0] for f in _columns(ddl)])
         return df if graph_id is None else df.where(F.col("graph_id") == graph_id)
 
-    def load_all(self, graph_id: str | None = None) -> dict[str, DataFrame]:
-        return {name: self.load(name, graph_id) for name in schema.TABLES}
+    def load_all(self, graph_id: str | None = None, version: int | None = None) -> dict[str, DataFrame]:
+        return {name: self.load(name, graph_id, version) for name in schema.TABLES}
 
     def begin_batch(self, batch_id: int, stream: str = "default") -> dict[str, DataFrame]:
         """The tables as they stood when this batch of this stream first began.
@@ -73,20 +163,24 @@ class MemoryStore:
     def append(self, table: str, rows: DataFrame) -> None:
         """Add rows that are not stored yet, so a retried batch adds nothing twice.
 
-        A stored row with the same key and other content is no retry: that is refused, never dropped.
+        A stored row with the same key and other content is no retry: that is refused, never dropped. Columns that
+        were patched since do not count: a row is the same if it is what was inserted.
         """
         shaped = self._shaped(table, rows).dropDuplicates(KEY[table])
-        if self._exists(table):
-            graphs = shaped.select("graph_id").distinct()
-            content = lambda df: F.xxhash64(*[df[c] for c in self.load(table).columns])
-            stored = self.load(table).join(graphs, "graph_id", "left_semi")
-            stored = stored.select(*KEY[table], content(stored).alias("_stored"))
-            marked = shaped.withColumn("_content", content(shaped)).join(stored, KEY[table], "left")
-            clash = marked.where("_stored is not null and _stored <> _content").select(*KEY[table]).first()
-            if clash is not None:
-                raise ValueError(f"{table}: {clash.asDict()} is stored with other content")
-            shaped = marked.where("_stored is null").drop("_stored", "_content")
-        self._balanced(shaped).write.mode("append").partitionBy("graph_id").parquet(self.path(table))
+        with self.transaction():
+            state = self._state()
+            if state.paths(table):
+                graphs = shaped.select("graph_id").distinct()
+                fixed = [c for c in self.load(table).columns if c not in state.patched.get(table, ())]
+                content = lambda df: F.xxhash64(*[df[c] for c in fixed])
+                stored = self.load(table).join(graphs, "graph_id", "left_semi")
+                stored = stored.select(*KEY[table], content(stored).alias("_stored"))
+                marked = shaped.withColumn("_content", content(shaped)).join(stored, KEY[table], "left")
+                clash = marked.where("_stored is not null and _stored <> _content").select(*KEY[table]).first()
+                if clash is not None:
+                    raise ValueError(f"{table}: {clash.asDict()} is stored with other content")
+                shaped = marked.where("_stored is null").drop("_stored", "_content")
+            self._write(table, shaped)
 
     @staticmethod
     def _balanced(rows: DataFrame) -> DataFrame:
@@ -96,23 +190,24 @@ class MemoryStore:
     def patch(self, table: str, patch: DataFrame) -> None:
         """Change the supplied non-null fields of existing rows; only touched graphs are rewritten."""
         fields = [c for c in patch.columns if c not in KEY[table]]
-        current = self.load(table)
-        graphs = patch.select("graph_id").distinct()
-        touched = current.join(graphs, "graph_id", "left_semi")
-        change = patch.select(*KEY[table], *[F.col(c).alias(f"_{c}") for c in fields])
-        merged = touched.join(change, KEY[table], "left")
-        for c in fields:
-            merged = merged.withColumn(c, F.coalesce(f"_{c}", c))
-        # the result is read from the files it replaces: settle it first
-        settled = checkpointed(merged.select(*current.columns))
-        self._balanced(settled).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("graph_id").parquet(self.path(table))
+        with self.transaction():
+            graphs = patch.select("graph_id").distinct()
+            touched = sorted(set(self._folder_names(graphs)) & self._state().graphs(table))
+            if not touched:
+                return
+            current = self.load(table)
+            change = patch.select(*KEY[table], *[F.col(c).alias(f"_{c}") for c in fields])
+            merged = current.join(graphs, "graph_id", "left_semi").join(change, KEY[table], "left")
+            for c in fields:
+                merged = merged.withColumn(c, F.coalesce(f"_{c}", c))
+            self._write(table, merged.select(*current.columns), replace=touched, patched=fields)
 
     def upsert(self, table: str, rows: DataFrame) -> None:
         """Patch rows that exist, append the others."""
         shaped = checkpointed(self._shaped(table, rows))
-        if self._exists(table):
+        with self.transaction():
             self.patch(table, shaped.join(self.load(table).select(*KEY[table]), KEY[table], "left_semi"))
-        self.append(table, shaped)
+            self.append(table, shaped)
 
     def get(self, table: str, graph_id: str, node_id: int) -> DataFrame:
         """The row of one id (empty if absent)."""
@@ -121,10 +216,9 @@ class MemoryStore:
     # --- graphs ---
 
     def create_graph(self, graph_ids: DataFrame) -> None:
-        new = graph_ids.select("graph_id").distinct()
-        if self._exists("graphs"):
-            new = new.join(self.load("graphs"), "graph_id", "left_anti")
-        new.withColumn("created_at", F.current_timestamp()).write.mode("append").parquet(self.path("graphs"))
+        with self.transaction():
+            new = graph_ids.select("graph_id").distinct().join(self.load("graphs"), "graph_id", "left_anti")
+            self._write("graphs", new.withColumn("created_at", F.current_timestamp()))
 
     def graphs(self) -> DataFrame:
         return self.load("graphs").select("graph_id").distinct().orderBy("graph_id")
@@ -133,35 +227,58 @@ class MemoryStore:
         return not self.load("graphs").where(F.col("graph_id") == graph_id).isEmpty()
 
     def delete_graph(self, graph_id: str) -> None:
-        """Drop a graph's partitions from every table, the recall log included."""
-        conf = self.spark._jsparkSession.sessionState().newHadoopConf()
-        for table in schema.TABLES:
-            folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path(table)}/graph_id={graph_id}")
-            folder.getFileSystem(conf).delete(folder, True)
-        if self._exists("graphs"):
-            rest = checkpointed(self.load("graphs").where(F.col("graph_id") != graph_id))
-            rest.write.mode("overwrite").parquet(self.path("graphs"))
-
-    def save_insert(self, rows: dict[str, DataFrame]) -> None:
-        """Write the output of ``build.insert_batch``.
-
-        Each table is settled before anything is written, so ids and links come from one state.
+        """Drop a graph from every table, the recall log included; its files go with ``vacuum``."""
+        name = self._folder_names(self.spark.createDataFrame([(graph_id,)], "graph_id string"))
+        with self.transaction():
+            entry = {"commit": uuid.uuid4().hex, "add": {}, "replace": {t: name for t in (*schema.TABLES, "graphs")}, "patched": {}}
+            self._open["state"].apply(entry)
+            self._open["entries"].append(entry)
+
+    def save_insert(self, rows: dict[str, DataFrame], batch: str | None = None) -> None:
+        """Write the output of ``build.insert_batch`` as one commit.
+
+        Each table is settled before anything is written, so ids and links come from one state. A ``batch`` that is
+        committed already is left as it is.
         """
+        if batch is not None and self.committed(batch):
+            return
         settled = {name: checkpointed(df) for name, df in rows.items()}
-        self.create_graph(settled["semantic"].select("graph_id").unionByName(settled["episodic"].select("graph_id")))
-        for name in ("episodic", "semantic", "tag", "procedural", "edges"):
-            self.append(name, settled[name])
-        self.upsert("subgoal", settled["subgoal"])
+        with self.transaction(batch):
+            self.create_graph(settled["semantic"].select("graph_id").unionByName(settled["episodic"].select("graph_id")))
+            for name in ("episodic", "semantic", "tag", "procedural", "edges"):
+                self.append(name, settled[name])
+            self.upsert("subgoal", settled["subgoal"])
+
+    def save_consolidation(self, run: dict[str, DataFrame], batch: str | None = None) -> None:
+        """Write the output of ``consolidate.consolidate`` as one commit: changed facts, merged facts and all their edges.
 
-    def save_consolidation(self, run: dict[str, DataFrame]) -> None:
-        """Write the output of ``consolidate.consolidate``: changed facts, merged facts and all their edges."""
+        A ``batch`` that is committed already is left as it is.
+        """
+        if batch is not None and self.committed(batch):
+            return
         state = ["graph_id", "semantic_id", "is_active", "credibility"]
         stored = self.load("semantic").select("graph_id", "semantic_id", F.col("is_active").alias("_active"), F.col("credibility").alias("_credibility"))
         changed = run["facts"].select(*state).join(stored, ["graph_id", "semantic_id"]).where("is_active <> _active or credibility <> _credibility")
         settled = {name: checkpointed(df) for name, df in (("changed", changed.select(*state)), ("merged", run["merged"]), ("edges", run["edges"]))}
-        self.patch("semantic", settled["changed"])
-        self.append("semantic", settled["merged"])
-        self.append("edges", settled["edges"])
+        with self.transaction(batch):
+            self.patch("semantic", settled["changed"])
+            self.append("semantic", settled["merged"])
+            self.append("edges", settled["edges"])
+
+
+def _columns(ddl: str) -> list[str]:
+    """Column definitions of a flat DDL string."""
+    return [c.strip() for c in re.split(r",\s*(?![^<]*>)", ddl)]
+
+
+def _summary(steps: list[dict]) -> dict[str, dict[str, list[str]]]:
+    """What all steps of a commit touch, for the check against other writers."""
+    out: dict[str, dict[str, list[str]]] = {"add": {}, "replace": {}}
+    for part in out:
+        for step in steps:
+            for table, graphs in step[part].items():
+                out[part][table] = sorted({*out[part].get(table, []), *graphs})
+    return out
 
 
 def block_of(node_id: str, size: int):
