@@ -133,9 +133,9 @@ def messages_to_steps(lines: DataFrame, key: Sequence[str] = ("session_id",), or
 
 
 def infer_goal(
-    lines: DataFrame, key: Sequence[str] = ("session_id",), order: str = "ord", limit: int | None = GOAL_CHARS
+    lines: DataFrame, key: Sequence[str] = ("session_id",), order: str = "ord", limit: int | None = None
 ) -> DataFrame:
-    """First non-empty user text of each session, a label of ``limit`` characters unless that is None; a generic one otherwise."""
+    """First non-empty user text of each session, whole or cut to ``limit`` characters for display; a generic one if there is none."""
     said = F.when((F.col("role") == "user") & (F.col("line") != ""), F.col("line"))
     first = F.min(F.when(said.isNotNull(), F.struct(F.col(order), said.alias("line"))))
     return lines.groupBy(*key).agg(

@@ -57,7 +57,7 @@ SELECT session_id, coalesce(first(CASE WHEN length(text) <= 200 THEN text ELSE l
                             FILTER (role = 'user' AND text <> ''), 'Agent session') AS goal
 FROM turns GROUP BY session_id"""))
 def infer_goal(spark, d) -> DataFrame:
-    return ingest.infer_goal(b.lines(spark, d))
+    return ingest.infer_goal(b.lines(spark, d), limit=ingest.GOAL_CHARS)
 
 
 @query("dated_turns", """
