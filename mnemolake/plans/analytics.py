@@ -112,13 +112,13 @@ _NORMAL = (
 _ANSWERS = f"""answers AS (
   SELECT d.doc_id, d.lang, d.text AS pred, i.text AS gold FROM documents d
   JOIN benchmark i ON i.item_id = d.doc_id % (SELECT count(*) FROM benchmark)),
-normal AS (
+normal AS MATERIALIZED (
   SELECT doc_id, lang, {_NORMAL.format(c='pred')} AS p, {_NORMAL.format(c='gold')} AS g FROM answers),
-words AS (
-  SELECT doc_id, t, count(*) FILTER (side = 'p') AS p, count(*) FILTER (side = 'g') AS g FROM (
-    SELECT doc_id, 'p' AS side, unnest(string_split(p, ' ')) AS t FROM normal UNION ALL SELECT doc_id, 'g', unnest(string_split(g, ' ')) FROM normal)
-  WHERE t <> '' GROUP BY doc_id, t),
-overlap AS (SELECT doc_id, sum(least(p, g))::DOUBLE AS same, sum(p)::DOUBLE AS p, sum(g)::DOUBLE AS g FROM words GROUP BY doc_id),
+counted AS (
+  SELECT doc_id, list_histogram(pw) AS pc, list_histogram(gw) AS gc, len(pw) AS p, len(gw) AS g FROM (
+    SELECT doc_id, list_filter(string_split(p, ' '), lambda t: t <> '') AS pw, list_filter(string_split(g, ' '), lambda t: t <> '') AS gw FROM normal)),
+overlap AS (
+  SELECT doc_id, coalesce(list_sum(list_transform(map_keys(gc), lambda t: least(gc[t], coalesce(pc[t], 0)))), 0)::DOUBLE AS same, p::DOUBLE AS p, g::DOUBLE AS g FROM counted),
 scored AS (
   SELECT n.doc_id, n.lang, CASE WHEN n.p = n.g THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS em,
          CASE WHEN o.same > 0 THEN 2 * (o.same / o.p) * (o.same / o.g) / (o.same / o.p + o.same / o.g) ELSE 0.0::DOUBLE END AS f1
