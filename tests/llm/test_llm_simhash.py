@@ -63,7 +63,7 @@ def planted():
     return sorted(out)
 
 
-@pytest.mark.parametrize(("blocks", "block", "bucket"), [(4, 1024, 1 << 15), (5, 4, 1 << 15), (6, 1024, 1), (7, 3, 4)])
+@pytest.mark.parametrize(("blocks", "block", "bucket"), [(4, 4, 1 << 15), (5, 3, 4)])
 def test_links_for_each_cut_and_route(spark, blocks, block, bucket):
     prints = planted()
     rows = [(i, simhash._signed(p)) for i, p in enumerate(prints)]
