@@ -10,9 +10,11 @@ from mnemolake.functions.value import ValueFunction
 from mnemolake.functions.vector import hash_embedding
 from mnemolake.operators import evaluate, ingest, retrieve
 from mnemolake.operators.similarity import nearest
+from mnemolake.operators.vector_index import VectorIndex
 from mnemolake.plans import bindings as b
 from mnemolake.plans.bindings import with_bindings
 from mnemolake.plans.registry import query
+from mnemolake.session import run_folder
 
 # Scoring used by the registered queries: three tags per query tag, and a rule that reads every input.
 TAG_RULE = ValueFunction(k=3, threshold=0.05)
@@ -62,6 +64,44 @@ def vector_topk_filtered(spark, d) -> DataFrame:
     return found.select("graph_id", "query_id", "semantic_id", "rank", *_six("relevance"))
 
 
+def _index(spark, d) -> VectorIndex:
+    return VectorIndex.write(b.facts(spark, d).select("graph_id", "semantic_id", "embedding", "is_active"), f"{run_folder(spark)}/index")
+
+
+@query("vector_index_topk", with_bindings("""
+SELECT graph_id, query_id, semantic_id, round(relevance, 6) AS relevance, rank::INTEGER AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(relevance, 12) DESC, semantic_id) AS rank FROM pairs)
+WHERE rank <= 10""", _NEAR))
+def vector_index_topk(spark, d) -> DataFrame:
+    """Exact search through the index: best cells first, then those that can still hold a better one."""
+    found, _ = _index(spark, d).search(b.queries(spark, d), k=10)
+    return found.select("graph_id", "query_id", "semantic_id", "rank", *_six("relevance"))
+
+
+@query("vector_index_filtered", with_bindings("""
+SELECT graph_id, query_id, semantic_id, round(relevance, 6) AS relevance, rank::INTEGER AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(relevance, 12) DESC, semantic_id) AS rank
+  FROM pairs WHERE is_active)
+WHERE rank <= 5""", _NEAR))
+def vector_index_filtered(spark, d) -> DataFrame:
+    """The same with a condition on stored columns."""
+    found, _ = _index(spark, d).search(b.queries(spark, d), k=5, keep="is_active")
+    return found.select("graph_id", "query_id", "semantic_id", "rank", *_six("relevance"))
+
+
+@query("vector_index_probes")
+def vector_index_probes(spark, d) -> DataFrame:
+    """Approximate search for every vector whose id is divisible by 20, with the share of vectors that was read for it."""
+    vectors = b.table(spark, d, "embeddings").select(F.lit("g").alias("graph_id"), F.col("vec_id").alias("semantic_id"), "embedding")
+    index = VectorIndex.write(vectors, f"{run_folder(spark)}/index")
+    asked = vectors.where("semantic_id % 20 = 0").withColumnRenamed("semantic_id", "query_id")
+    found, cells = index.search(asked, k=10, exact=False)
+    n = index.cells.agg(F.sum("n").alias("all_rows"))
+    share = cells.groupBy("query_id").agg(F.sum("n").alias("scanned"))
+    share = share.withColumn("all_rows", F.lit(n.first()["all_rows"]))
+    return found.join(share, "query_id").select("query_id", "semantic_id", "rank", *_six("relevance"), F.round(F.col("scanned") / F.col("all_rows"), 6).alias("scanned_share"))
+
+
 # --- tags and facts ---
 
 _TAG_HITS = """tag_pairs AS (
