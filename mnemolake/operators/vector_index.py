@@ -7,7 +7,9 @@ search reads the cells it asks for.
 A search ranks the cells of a query's graph by the angle to their centres. The best ``probes`` are searched first, and
 a cell cannot hold a vector closer than the angle to its centre less its radius (triangle inequality on the sphere). The
 exact mode goes on with just the cells whose bound reaches the k-th value found so far, so results equal those
-of a full search. The approximate mode stops after the probes.
+of a full search. The approximate mode stops after the probes. How many probes that takes follows the data: unless a
+search says so, as many as find ``RECALL`` of the ten nearest neighbours of up to ``TRIED`` sampled rows among the sample. A
+sample's neighbours lie farther off than those among all rows, so this errs to the safe side.
 
 Rows without a vector are in no cell; zero vectors have a cell of their own, where every cosine is 0.
 """
@@ -28,7 +30,8 @@ from mnemolake.operators.similarity import _matrix, nearest
 FIT_ROWS = 1 << 16
 CELLS = 1024
 ROUNDS = 8
-PROBES = 8
+RECALL = 0.95
+TRIED = 512
 #: Queries that meet the cell list of their graph in one step.
 QUERY_BLOCK = 4096
 #: Slack for angles computed in floating point.
@@ -40,23 +43,43 @@ def _unit(matrix: np.ndarray, norms: np.ndarray) -> np.ndarray:
     return np.divide(matrix, norms[:, None], out=np.zeros_like(matrix), where=norms[:, None] > 0)
 
 
-def fit_centres(nodes: DataFrame, *, node_id: str = "semantic_id", vector: str = "embedding", cells: int | None = None, rows: int = FIT_ROWS) -> np.ndarray:
-    """Unit centres from at most ``rows`` vectors; about one per square root of their number unless ``cells`` says how many."""
+def fit(nodes: DataFrame, *, node_id: str = "semantic_id", vector: str = "embedding", cells: int | None = None, rows: int = FIT_ROWS) -> tuple[np.ndarray, int]:
+    """Unit centres from at most ``rows`` vectors, about two per square root of their number unless ``cells`` says how many, and the probes they need."""
     sample = nodes.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(node_id), node_id).limit(rows).select(F.col(vector).alias("v")).toArrow()
     matrix, norms = _matrix(sample["v"])
     units = _unit(matrix, norms)[norms > 0]
     if not len(units):
-        return np.zeros((0, matrix.shape[1]))
+        return np.zeros((0, matrix.shape[1])), 1
     wanted = min(len(units), cells or min(CELLS, max(1, int(np.sqrt(len(units)) * 2))))
     rng = np.random.default_rng(7)
     centres = units[rng.choice(len(units), wanted, replace=False)]
     for _ in range(ROUNDS):
-        own = np.concatenate([np.argmax(units[i : i + 4096] @ centres.T, axis=1) for i in range(0, len(units), 4096)])
+        own = _nearest_centre(units, centres)
         sums = np.zeros_like(centres)
         np.add.at(sums, own, units)
         size = np.linalg.norm(sums, axis=1)
         centres = np.where(size[:, None] > 0, sums / np.maximum(size, 1e-300)[:, None], centres)
-    return centres
+    return centres, _probes_needed(units, centres)
+
+
+def _nearest_centre(units: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.argmax(units[i : i + 4096] @ centres.T, axis=1) for i in range(0, len(units), 4096)])
+
+
+def _probes_needed(units: np.ndarray, centres: np.ndarray, k: int = 10) -> int:
+    """The fewest best cells that hold ``RECALL`` of the sampled rows' nearest neighbours, themselves aside."""
+    own, tried = _nearest_centre(units, centres), min(TRIED, len(units))
+    places = []
+    for i in range(tried):
+        cosines = units @ units[i]
+        cosines[i] = -2.0
+        near = np.argsort(-cosines)[: min(k, len(units) - 1)]
+        order = np.argsort(-(centres @ units[i]), kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        places.append(place[own[near]])
+    found = np.sort(np.concatenate(places))
+    return int(found[max(0, int(np.ceil(RECALL * len(found))) - 1)]) + 1 if len(found) else 1
 
 
 def build(nodes: DataFrame, centres: np.ndarray, *, vector: str = "embedding") -> DataFrame:
@@ -81,7 +104,7 @@ def build(nodes: DataFrame, centres: np.ndarray, *, vector: str = "embedding") -
 
 
 class VectorIndex:
-    """A stored index: ``vectors`` partitioned by cell, ``cells`` (graph_id, cell, n, radius) and ``centres``."""
+    """A stored index: ``vectors`` partitioned by cell, ``cells`` (graph_id, cell, n, radius), ``centres`` and the ``probes`` fitted."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -89,17 +112,19 @@ class VectorIndex:
         self.cells = spark.read.parquet(f"{self.path}/cells")
         rows = spark.read.parquet(f"{self.path}/centres").orderBy("cell").toArrow()  # CELLS rows at most
         self.centres = _matrix(rows["centre"])[0]
+        self.fitted_probes = spark.read.parquet(f"{self.path}/probes").first()["probes"]
 
     @classmethod
     def write(cls, nodes: DataFrame, path: str, *, node_id: str = "semantic_id", vector: str = "embedding", cells: int | None = None, rows: int = FIT_ROWS) -> VectorIndex:
         """Fit, assign and store ``nodes`` (graph_id, id, vector and whatever a search may filter by)."""
         spark = nodes.sparkSession
-        centres = fit_centres(nodes, node_id=node_id, vector=vector, cells=cells, rows=rows)
+        centres, probes = fit(nodes, node_id=node_id, vector=vector, cells=cells, rows=rows)
         # a cell with very many rows gets several files
         build(nodes, centres, vector=vector).hint("rebalance", "cell").sortWithinPartitions("cell", "graph_id").write.partitionBy("cell").parquet(f"{path}/vectors")
         stored = spark.read.parquet(f"{path}/vectors")
         stored.groupBy("graph_id", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).write.parquet(f"{path}/cells")
         spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, centre array<double>").write.parquet(f"{path}/centres")
+        spark.createDataFrame([(probes,)], "probes int").write.parquet(f"{path}/probes")
         return cls(spark, path)
 
     def probes(self, queries: DataFrame, *, most: int | None = None, skip: int = 0, query_id: str = "query_id", vector: str = "embedding") -> DataFrame:
@@ -148,12 +173,13 @@ class VectorIndex:
         found = nearest(asked, nodes, k=k, query_id=query_id, node_id=node_id, by=("graph_id", "cell"), query_vector="_asked", node_vector=vector, broadcast_rows=0)
         return found.select("graph_id", query_id, node_id, "relevance", "value")
 
-    def search(self, queries: DataFrame, *, k: int, probes: int = PROBES, exact: bool = True, node_id: str = "semantic_id", query_id: str = "query_id", vector: str = "embedding", keep: str | None = None, scratch: str | None = None) -> tuple[DataFrame, DataFrame]:
+    def search(self, queries: DataFrame, *, k: int, probes: int | None = None, exact: bool = True, node_id: str = "semantic_id", query_id: str = "query_id", vector: str = "embedding", keep: str | None = None, scratch: str | None = None) -> tuple[DataFrame, DataFrame]:
         """The k best nodes of each query (columns of ``similarity.nearest``), and (graph_id, query id, cell, n) of the cells searched.
 
         ``keep`` is a condition on stored columns that hits must meet. ``scratch`` is a folder for the first round's
         results, which the second reads twice (default: next to the index).
         """
+        probes = self.fitted_probes if probes is None else probes
         folder = scratch or f"{self.path}/search-{uuid.uuid4().hex}"
         asked = queries.where(F.col(vector).isNotNull()).select("graph_id", query_id, vector)
 

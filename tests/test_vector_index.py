@@ -55,4 +55,4 @@ def test_recall_of_probes(spark, tmp_path):
     full = {h[:2] + h[3:] for h in _hits(nearest(queries, nodes, k=10))}
     got = {h[:2] + h[3:] for h in _hits(found)}
     assert len(full & got) >= 0.9 * len(full)
-    assert cells.groupBy("graph_id", "query_id").count().agg(F.max("count")).first()[0] <= 8
+    assert cells.groupBy("graph_id", "query_id").count().agg(F.max("count")).first()[0] <= index.fitted_probes < 30
