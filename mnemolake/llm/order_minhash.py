@@ -4,7 +4,9 @@ A text is its lower-case words, and its k-mers are runs of five words, each labe
 so that all k-mers of a text differ. One sketch takes the ``PICK`` smallest labelled k-mers under one hash and
 keeps them in text order; two texts get the same sketch only if they share these k-mers in the same order, which
 makes sketches sensitive to edit similarity rather than to shared vocabulary. ``SKETCHES`` sketches per text give
-candidate buckets; at a similarity of 0.8 all of them differ for one pair in 90,000.
+candidate buckets; at a similarity of 0.8 all of them differ for one pair in 90,000. Sketches of texts of few k-mers agree
+less often, so those have exact buckets: sorted by value, the first k-mers of two texts that are more than a fifth of either
+share one at least if 0.8 of all are common. Texts below ``SHORT`` k-mers and all that can be similar to them have such buckets.
 
 Candidates are verified by aligning their labelled k-mers in order within a band: with m k-mers aligned, of n1 and
 n2, the similarity is m / (n1 + n2 - m), a Jaccard similarity that counts only k-mers in order. It must reach 0.8.
@@ -12,8 +14,8 @@ That bounds how far aligned places can lie apart, so the band loses nothing.
 
 Equal word sequences are folded before buckets are formed. In a bucket every text is first compared with one
 leader, another one in each bucket; linked texts become one class. Buckets that then still hold several classes are
-compared within, block by block, and give back only the links that join classes. So the classes are those of all
-candidate pairs, whatever the size of a bucket, and no pair of texts ever becomes a row.
+compared within, block by block, and give back only the links that join classes; the largest class of a bucket is
+compared with the others, not with itself. So the classes are those of all candidate pairs, whatever the size of a bucket, and no pair of texts ever becomes a row.
 
 Defined results: texts without any word are classes of their own; texts of fewer than five words have one k-mer,
 the whole text; a missing text is an empty one; missing or repeated doc_ids and repeated rows are rows of their
@@ -33,12 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemolake.llm.common import keyed, saved, slices, small_batches, text_of
-from mnemolake.operators.components import connected_components
+from mnemolake.llm.components import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 16
 PICK = 3
+#: Below this many k-mers sketches do not count; see the module's text.
+SHORT = 20
 #: One pair of blocks holds at most twice this many texts and labelled k-mers (a single longer text is a block).
 BLOCK_TEXTS = 256
 BLOCK_KMERS = 1_000_000
@@ -97,6 +101,17 @@ def sketches(kmers: np.ndarray) -> np.ndarray:
     return out
 
 
+def first_kmers(kmers: np.ndarray) -> np.ndarray:
+    """A bucket for each of the smallest k-mers, as many as make a common one certain at the threshold."""
+    n = len(kmers)
+    return _mix(np.sort(kmers)[: n - int(np.ceil(SIMILARITY * n - 1e-9)) + 1] * np.uint64(_power[3]) + np.uint64(1))
+
+
+def buckets(kmers: np.ndarray) -> np.ndarray:
+    exact = first_kmers(kmers) if len(kmers) <= SHORT / SIMILARITY else kmers[:0]
+    return exact if len(kmers) < SHORT else np.concatenate([exact, sketches(kmers)])
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = _Hashes()
     for batch in slices(batches):
@@ -106,7 +121,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             blob = words.tobytes()
             content.append(xxhash.xxh3_128_hexdigest(blob) if len(words) else None)
             count.append(max(1, len(words) - SHINGLE + 1) if len(words) else 0)
-            bands.append(sketches(labelled(words)).view(np.int64) if len(words) else np.zeros(0, np.int64))
+            bands.append(buckets(labelled(words)).view(np.int64) if len(words) else np.zeros(0, np.int64))
             blobs.append(blob)
         bounds = np.concatenate([[0], np.cumsum([len(b) for b in bands])]).astype(np.int32)
         columns = [batch.column("row"), batch.column("doc_id"), pa.array(content, pa.string()), pa.array(count, pa.int64()), pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64))), pa.array(blobs, pa.binary())]
@@ -236,11 +251,17 @@ def rest_links(member: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFr
     links that join two classes leave the step. No pair of texts is ever a row.
     """
     named = member.join(labels, "row")
-    sizes = named.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("kmers")).where("low <> high")
-    blocks = F.ceil(F.greatest(F.col("m") / BLOCK_TEXTS, F.col("kmers") / BLOCK_KMERS)).cast("int")
-    mine = named.join(sizes.select("band", blocks.alias("blocks")), "band").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    spread = mine.select("band", "row", "label", "block", other)
+    per_class = named.groupBy("band", "label").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("kmers"))
+    most = per_class.groupBy("band").agg(F.max(F.struct("m", "kmers", "label")).alias("top"), F.count(F.lit(1)).alias("classes"), F.sum("m").alias("m"), F.sum("kmers").alias("kmers")).where("classes > 1")
+    cut = lambda m, kmers: F.ceil(F.greatest(m / BLOCK_TEXTS, kmers / BLOCK_KMERS)).cast("int")
+    rest = cut(F.col("m") - F.col("top.m"), F.col("kmers") - F.col("top.kmers"))
+    sizes = most.select("band", F.col("top.label").alias("crowd"), rest.alias("few"), cut(F.col("top.m"), F.col("top.kmers")).alias("many"))
+    # blocks of the other classes come first, then those of the largest class, which meet only the former
+    inside = F.col("label") == F.col("crowd")
+    draw = F.xxhash64("row")
+    block = F.when(inside, F.col("few") + F.pmod(draw, F.col("many"))).otherwise(F.pmod(draw, F.col("few"))).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.when(inside, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1))
+    spread = named.join(sizes, "band").select("band", "row", "label", block.alias("block"), other.alias("other"))
     spread = spread.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "row", "label")
     carried = spread.join(texts.select("row", "words"), "row").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
     return carried.select("band", "i", "j", "side", "row", "label", "words").mapInArrow(_block_links, "a long, b long, similarity double")
@@ -248,7 +269,7 @@ def rest_links(member: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFr
 
 def _labels(links: DataFrame, rows: DataFrame) -> DataFrame:
     """(row, label): the least row of each connected class."""
-    found = connected_components(links.select(F.lit("").alias("graph_id"), "a", "b")).select(F.col("id").alias("row"), "component")
+    found = components(links.select("a", "b")).withColumnRenamed("label", "component")
     return rows.join(found, "row", "left").select("row", F.coalesce("component", "row").alias("label"))
 
 

@@ -108,3 +108,20 @@ def test_contraction_in_chunks_and_rounds(spark):
     assert want == {x: find(x) for a, b in pairs if a != b for x in (a, b)}
     assert {r.row: r.label for r in components(links, chunk=150).collect()} == want
     assert components(links.where(F.lit(False))).count() == 0
+
+
+def test_short_texts_share_an_exact_bucket():
+    from mnemolake.llm import order_minhash as om
+
+    rng = np.random.default_rng(4)
+    hits = 0
+    for _ in range(4000):
+        n = int(rng.integers(1, 20))
+        a = rng.integers(0, 2**63, n, dtype=np.uint64)
+        b = np.concatenate([a[rng.permutation(n)[: n - int(rng.integers(0, 3))]], rng.integers(0, 2**63, int(rng.integers(0, 5)), dtype=np.uint64)])
+        common = len(set(a.tolist()) & set(b.tolist()))
+        if common and common >= 0.8 * (n + len(b) - common):
+            hits += 1
+            assert set(om.buckets(a).tolist()) & set(om.buckets(b).tolist())
+    assert hits > 500
+    assert len(om.buckets(np.arange(1, 4, dtype=np.uint64))) == 1 and len(om.buckets(np.arange(1, 101, dtype=np.uint64))) == om.SKETCHES
