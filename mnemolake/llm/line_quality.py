@@ -1,12 +1,13 @@
 """Quality rules: lines that too many documents of a host share, and documents that are little else.
 
-Lines are normalised (lower case, digits as 0, runs of other characters as one space) and hashed. Each host's
-documents that hold a line are counted; lines above the host's limit are taken out, and a document is rejected when
-too little of it is left. Word counts of the document itself come first (too short, or mostly repeated three-word
+Lines are normalised (lower case, digits as 0, runs of other characters as one space) and hashed. Per host and line,
+the different texts that hold it are counted, texts being equal if their normalised lines are, so that a group of copies
+counts once. A line is taken out if ``MIN_TEXTS`` texts or more and more than ``HOST_PERCENT`` percent of the host's texts
+hold it, or if more than ``MANY_TEXTS`` do, whatever their share; a document is rejected when too little of it is left. Word counts of the document itself come first (too short, or mostly repeated three-word
 runs). All of it is column expressions.
 
-Defined results: a missing text has no word; rows without source form one host; a line counts once per document
-however often it stands there, and repeated rows count as documents of their own; lines without letters or digits
+Defined results: a missing text has no word; rows without source form one host; a line counts once per
+text however often it stands there; repeated rows are judged one by one and count as one text; lines without letters or digits
 are neither counted nor removed; an empty table gives no row. Further columns are ignored.
 """
 
@@ -19,9 +20,11 @@ from mnemolake.llm.common import SPACES, WORD, keyed, let, saved, text_of
 
 MIN_WORDS = 50
 REPEAT_SHARE = 50
-#: A line goes when more than this many, and more than this share, of its host's documents hold it.
-MIN_DOCUMENTS = 50
-HOST_SHARE = 0.05
+#: A line goes when this many different texts or more, and more than this percentage of its host's, hold it.
+MIN_TEXTS = 5
+HOST_PERCENT = 2
+#: It also goes when more different texts than this hold it.
+MANY_TEXTS = 100
 #: A document is depleted when less than this share of its words stands outside such lines.
 LEFT_SHARE = 0.5
 SYMBOLS = r"[#*$%&|<>]"
@@ -81,17 +84,18 @@ def document_measures(docs: DataFrame) -> DataFrame:
     )
 
 
-def judged(docs: DataFrame, *, min_documents: int = MIN_DOCUMENTS, host_share: float = HOST_SHARE, left_share: float = LEFT_SHARE) -> DataFrame:
+def judged(docs: DataFrame, *, min_texts: int = MIN_TEXTS, host_percent: int = HOST_PERCENT, many_texts: int = MANY_TEXTS, left_share: float = LEFT_SHARE) -> DataFrame:
     """Each document with its measures, ``removed_words`` in lines above the limit, and ``kept``."""
-    measured = saved(document_measures(docs), "measures")
-    hosts = measured.groupBy("host").agg(F.count(F.lit(1)).alias("documents"))
-    limit = F.greatest(F.lit(float(min_documents)), F.col("documents") * host_share)
+    measured = saved(document_measures(docs).withColumn("content", F.xxhash64("lines.hash")), "measures")
+    hosts = measured.groupBy("host", "content").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count(F.lit(1)).alias("texts"))
     # the same line of one document is one entry with its words added up
-    held = measured.select("row", "host", F.explode("lines").alias("line")).groupBy("row", "host", F.col("line.hash").alias("hash")).agg(F.sum("line.words").alias("words"))
-    per_line = held.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
-    common = per_line.where(F.col("n") > min_documents).withColumnRenamed("host", "of").join(hosts, F.col("of").eqNullSafe(F.col("host"))).where(F.col("n") > limit)
-    common = saved(common.select("of", "hash"), "common")
+    lines = measured.select("row", "host", "content", F.explode("lines").alias("line")).select("row", "host", "content", F.col("line.hash").alias("hash"), F.col("line.words").alias("words"))
+    held = lines.groupBy("row", "host", "hash").agg(F.sum("words").alias("words"))
+    per_line = lines.groupBy("host", "hash", "content").agg(F.lit(1).alias("one")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
+    n = F.col("n")
+    common = per_line.where(n >= min(min_texts, many_texts + 1)).withColumnRenamed("host", "of").join(hosts, F.col("of").eqNullSafe(F.col("host")))
+    common = saved(common.where(((n >= min_texts) & (n * 100 > F.col("texts") * host_percent)) | (n > many_texts)).select("of", "hash"), "common")
     removed = held.join(common, (held["hash"] == common["hash"]) & held["host"].eqNullSafe(common["of"])).groupBy("row").agg(F.sum("words").alias("removed_words"))
-    found = measured.drop("lines").join(removed, "row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("bigint")))
+    found = measured.drop("lines", "content").join(removed, "row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("bigint")))
     depleted = (F.col("n_words") - F.col("removed_words")) < F.col("n_words") * left_share
     return found.select(*[c for c in found.columns if c != "row"], (~F.col("base_failed") & ~depleted).alias("kept"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemolake.llm import chat, divergence, exact, line_dedup, line_quality, merkle, mixing, order_minhash, packing, simhash, token_counts, token_files, toxicity
-from mnemolake.llm.common import saved
+from mnemolake.llm.common import keyed, saved
 from mnemolake.session import run_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -131,8 +131,11 @@ def exact_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_token_counts")
 def token_totals(spark: SparkSession, folder: str) -> DataFrame:
     """All documents are inserted, the same batch comes twice, then toxic ones are deleted and poor ones counted anew without repeated lines."""
-    docs = documents(spark, folder)
+    # rows without an id and repeated ids are documents of their own
+    rows, key = keyed(documents(spark, folder))
+    docs = rows.select(F.col(key).alias("doc_id"), "source", "lang", "text")
     marks = spark.read.parquet(f"{folder}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    marks = rows.select(F.col(key).alias("row"), "doc_id").join(marks, "doc_id").select(F.col("row").alias("doc_id"), "toxic", "quality")
     version = TOKENIZER.split(".")[0]
     totals = token_counts.Rollup(spark, f"{run_folder(spark)}/token_counts")
     change = lambda rows, op, seq: rows.select(F.lit(seq).alias("seq"), F.lit(op).alias("op"), "doc_id", "source", "lang", "version", "tokens")
@@ -159,8 +162,10 @@ repeats as (select doc_id, count(distinct spot) as n_repeat_words from (select d
 all_lines as (select doc_id, host, unnest(string_split(text, chr(10))) as line from docs),
 wordy as (select *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as words, trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '[^\p{L}\p{N}]+', ' ', 'g')) as norm from all_lines where regexp_matches(line, '[^\x20\x09-\x0D]')),
 dups as (select doc_id, count(*) - count(distinct line) as n_dup_lines from wordy group by doc_id),
-hosts as (select host, count(*) as documents from docs group by host),
-common as (select l.host, norm from wordy l join hosts h on l.host is not distinct from h.host where norm <> '' group by l.host, norm, documents having count(distinct doc_id) > greatest(50, documents * 0.05)),
+contents as (select doc_id, host, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(regexp_replace(lower(x), '[0-9]', '0', 'g'), '[^\p{L}\p{N}]+', ' ', 'g'))), lambda x: x <> ''), chr(10)) as content from docs),
+hosts as (select host, count(distinct content) as texts from contents group by host),
+per_line as (select l.host, norm, count(distinct content) as n from wordy l join contents c on l.doc_id = c.doc_id where norm <> '' group by l.host, norm),
+common as (select l.host, norm from per_line l join hosts h on l.host is not distinct from h.host where (n >= 5 and n * 100 > texts * 2) or n > 100),
 removed as (select doc_id, sum(words) as removed_words from wordy l join common c on l.host is not distinct from c.host and l.norm = c.norm group by doc_id),
 base as (
     select d.doc_id, host, cast(len(w) as bigint) as n_words, cast(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) as bigint) as word_chars,

@@ -100,24 +100,26 @@ def test_held_out_quarter_is_never_learned_from(spark):
 # --- line quality ---
 
 
-def brute_quality(rows, min_documents, host_share):
+def brute_quality(rows, min_texts=5, host_percent=2, many_texts=100):
     def norm(line):
         return re.sub(r"[\W_]+", " ", re.sub(r"\d", "0", line.lower())).strip()
 
     texts = [t or "" for _, t, _ in rows]
     lines = [[x for x in t.split("\n") if WORD.search(x)] for t in texts]
-    held = {}
+    held, size = {}, {}
     for (_, _, host), ls in zip(rows, lines):
-        for n in {norm(x) for x in ls} - {""}:
-            held[host, n] = held.get((host, n), 0) + 1
-    size = {h: sum(r[2] == h for r in rows) for h in {r[2] for r in rows}}
+        content = tuple(norm(x) for x in ls if norm(x))
+        size.setdefault(host, set()).add(content)
+        for n in content:
+            held.setdefault((host, n), set()).add(content)
+    above = {(h, n) for (h, n), c in held.items() if len(c) >= min_texts and 100 * len(c) > host_percent * len(size[h]) or len(c) > many_texts}
     out = []
     for (d, _, host), t, ls in zip(rows, texts, lines):
         w = WORD.findall(t)
         wins = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
         twice = {x for x in wins if wins.count(x) > 1} if len(wins) < 500 else {x for x in set(wins) if wins.count(x) > 1}
         repeat = len({i + k for i, x in enumerate(wins) if x in twice for k in range(3)})
-        removed = sum(len(WORD.findall(x)) for x in ls if norm(x) and held[host, norm(x)] > max(min_documents, host_share * size[host]))
+        removed = sum(len(WORD.findall(x)) for x in ls if (host, norm(x)) in above)
         failed = len(w) < 50 or 100 * repeat > 50 * len(w)
         out.append((d if d is not None else -1, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(ls) - len(set(ls)), repeat, failed, not failed and not len(w) - removed < len(w) * 0.5))
     return sorted(out)
@@ -131,9 +133,16 @@ def test_line_quality_equals_brute_force(spark):
         own = [" ".join(f"w{rng.randrange(3000)}" for _ in range(rng.choice([3, 20, 60]))) for _ in range(3)]
         rows.append((k, "\n".join([*own, footer.replace("2020", str(2000 + k)), *([menu] if k % 2 else [])]), "a" if k % 3 else None))
     rows += [(100, None, "a"), (101, "", "b"), (102, "\n \n", "b"), (103, "a b c " * 40, "b"), (104, "é # | <x> $5\n" * 30, "b"), (None, rows[0][1], None), (3, rows[3][1], "a"), (105, "---\n***\n" * 40, "b"), (106, " ".join(f"u{k}" for k in range(400)) + " u1 u2 u3", "b"), (107, "x y", "b")]
-    got = line_quality.judged(table(spark, rows), min_documents=5, host_share=0.02).collect()
-    assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) for r in got) == brute_quality(rows, 5, 0.02)
+    rows += [(200 + k, rows[1][1], "copies") for k in range(30)] + [(300 + k, "\n".join([footer, menu] + [f"own{k} " * 3] * (k % 2)), "few") for k in range(4)]
+    rows += [(1000 + k, f"{footer} {menu}\n" + "".join(f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + j)} " for j in range(26)), "wide") for k in range(130)]
+    rows += [(2000 + k, f"{menu} thirty\n" * (k < 3) + " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + j % 26)}{chr(97 + j // 26)}x" for j in range(60)), "wide") for k in range(250)]
+    rows.append((3000, f"{menu} {menu}x " * 3000, "wide"))
+    got = line_quality.judged(table(spark, rows)).collect()
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) for r in got) == brute_quality(rows)
     assert any(not r.kept and not r.base_failed for r in got)
+    by_id = {r.doc_id: r for r in got}
+    # copies count once, four texts are too few, a line of 130 texts goes, one of three in 380 stays
+    assert by_id[200].removed_words == 0 and by_id[300].removed_words == 0 and by_id[1000].removed_words > 40 and by_id[2000].removed_words == 0
     assert line_quality.judged(table(spark, [])).count() == 0
 
 

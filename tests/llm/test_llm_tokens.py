@@ -153,3 +153,23 @@ def test_counts_are_the_tokenizer_s(spark, tokenizer):
     got = token_counts.counted(table(spark, rows), PATH, "v").collect()
     assert sorted((r.doc_id is not None, r.doc_id or 0, r.tokens) for r in got) == sorted((d is not None, d or 0, len(tokenizer.encode(t or "", add_special_tokens=False).ids)) for d, t, _ in rows)
     assert token_counts.counted(table(spark, []), PATH, "v").count() == 0
+
+
+def test_query_counts_rows_without_id_and_repeated_ids(spark, tmp_path):
+    """Against a replay in plain Python: toxic rows go, poor ones lose repeated lines, every row counts."""
+    from tokenizers import Tokenizer
+
+    from mnemolake.llm import queries
+
+    rows = [(1, "a b\na b\nc", "x", "en"), (1, "other words here", "x", "en"), (None, "no name", "y", None), (None, "no name", "y", None), (2, "bad thing", "y", "en"), (3, None, None, "en"), (4, "keep\nkeep", "x", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, 0), (2, 1, 1), (9, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    enc, want = Tokenizer.from_file(PATH), {}
+    for doc_id, text, source, lang in rows:
+        if doc_id == 2:
+            continue
+        text = "\n".join(dict.fromkeys((text or "").split("\n"))) if doc_id == 1 else text or ""
+        n, tokens = want.get((source, lang), (0, 0))
+        want[source, lang] = n + 1, tokens + len(enc.encode(text, add_special_tokens=False).ids)
+    got = queries.QUERIES["op8_token_counts"](spark, str(tmp_path)).collect()
+    assert {(r.source, r.lang): (r.documents, r.tokens) for r in got} == want
