@@ -85,7 +85,8 @@ def test_dialogues(spark):
 
 def test_goal_and_minimum(spark):
     lines = _flat(spark, [("a", 0, {"role": "user", "content": ""}), ("a", 1, {"role": "user", "content": "g" * 250}), ("b", 0, {"role": "assistant", "content": "x"})])
-    goals = {r.session_id: r.goal for r in ingest.infer_goal(lines).collect()}
+    assert {r.session_id: r.goal for r in ingest.infer_goal(lines).collect()}["a"] == "g" * 250
+    goals = {r.session_id: r.goal for r in ingest.infer_goal(lines, limit=ingest.GOAL_CHARS).collect()}
     assert goals["b"] == "Agent session" and goals["a"] == "g" * 199 + "…"
     steps = spark.createDataFrame([("a", 0), ("a", 1), ("b", 0)], "session_id string, step long")
     assert {r.session_id for r in ingest.long_enough(steps).collect()} == {"a"}
