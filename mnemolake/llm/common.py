@@ -44,16 +44,20 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+def keyed(docs: DataFrame, ordered: bool = False) -> tuple[DataFrame, str]:
     """``docs`` with a column that names each row, never null and never twice, and that column's name.
 
     A doc_id that is already such a name is used as it is. If ids are missing or repeated, the table is
-    written once with numbered rows, so every later read sees the same numbers.
+    written once with numbered rows, so every later read sees the same numbers. ``ordered``: numbers rise with
+    doc_id, missing ones last, rows of one id in their order.
     """
     key = fresh(docs, "row_key")
     odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null")
     if docs.schema["doc_id"].dataType.typeName() in ("long", "integer") and odd.isEmpty():
         return docs.withColumn(key, F.col("doc_id").cast("bigint")), key
+    if ordered:
+        row = fresh(docs, "row_number")
+        docs = docs.withColumn(row, F.monotonically_increasing_id()).orderBy(F.col("doc_id").cast("bigint").asc_nulls_last(), row).drop(row)
     return saved(docs.withColumn(key, F.monotonically_increasing_id()), "numbered"), key
 
 

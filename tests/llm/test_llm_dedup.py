@@ -244,3 +244,61 @@ def test_windows_equal_brute_force():
         left, _ = line_dedup.without(" ".join(b), np.unique(line_dedup.windows(x, size)).view(np.int64), size)
         gone = {i + k for i, h in enumerate(hit) if h for k in range(size)}
         assert left.split() == [w for i, w in enumerate(b) if i not in gone]
+
+
+def test_alignment_finds_every_shared_window():
+    """Random texts of few words, repeated and reordered passages: blocks are exactly the words of shared windows."""
+    rng = random.Random(6)
+    for _ in range(300):
+        size, letters = rng.randrange(1, 9), rng.choice([2, 3, 50])
+        a, b = ([str(rng.randrange(letters)) for _ in range(rng.randrange(0, 60))] for _ in range(2))
+        cuts = [a[k : k + 12] for k in rng.choices(range(50), k=3)]
+        b = rng.choice([b, [w for c in rng.sample(cuts, 3) for w in c + b[:3]], cuts[0] * 3 + b])
+        runs = {tuple(a[i : i + size]) for i in range(len(a) - size + 1)}
+        want = {i + k for i in range(len(b) - size + 1) if tuple(b[i : i + size]) in runs for k in range(size)}
+        x, y = (line_dedup.Text(" ".join(t), size) for t in (a, b))
+        assert {k for lo, hi in line_dedup.common_blocks(x, y) for k in range(lo, hi)} == want
+        left, _ = line_dedup.without_blocks(" ".join(b), np.array(line_dedup.common_blocks(x, y), np.int64).reshape(-1, 2))
+        assert left.split() == [w for i, w in enumerate(b) if i not in want]
+
+
+def test_word_hashes_do_not_depend_on_pieces(monkeypatch):
+    text = "Ab c\x1dd  É\n\tab C d é  " * 50 + "x" * 300
+    one = line_dedup.word_hashes(text)
+    assert len(one) == len(text.split()) and (one[:4] == one[4:8]).all() and len(set(one.tolist())) == 5
+    monkeypatch.setattr(line_dedup, "SLICE_BYTES", 37)
+    assert (line_dedup.word_hashes(text) == one).all()
+    assert [w.tolist() for w in line_dedup._words([text, "", "ab", text])] == [[*one, one[0], *one], [0] * len(one) + [2] + [3] * len(one)]
+
+
+def brute_words(rows, size):
+    """Kept words of each text: those in no window of an earlier one."""
+    held, out = set(), []
+    for t in rows:
+        low = (t or "").lower().split()
+        runs = [tuple(low[i : i + size]) for i in range(len(low) - size + 1)]
+        gone = {i + k for i, r in enumerate(runs) if r in held for k in range(size)}
+        out.append([w for i, w in enumerate(low) if i not in gone])
+        held.update(runs)
+    return out
+
+
+def test_hot_passages_and_very_long_texts(spark, monkeypatch):
+    """One long text holds passages of many short ones, so that its partners come in several groups."""
+    monkeypatch.setattr(line_dedup, "GROUP_BYTES", 2000)
+    rng = random.Random(8)
+    p = [words(rng.randrange(41, 90), 900 + k) for k in range(30)]
+    rows = [" ".join(words(10, 2000 + k) + p[k % 30][: rng.randrange(30, 90)] + words(5, 3000 + k) + p[rng.randrange(3)]) for k in range(80)]
+    rows.insert(40, " ".join(w for k in range(2000) for w in p[rng.randrange(30)][: rng.randrange(20, 90)]))
+    got = line_dedup.line_deduplicated(table(spark, list(enumerate(rows)))).collect()
+    assert [r.text.split() for r in sorted(got, key=lambda r: r.doc_id)] == brute_words(rows, line_dedup.MIN_WORDS)
+
+
+def test_line_dedup_query_equals_brute_force(spark):
+    from mnemolake.llm.queries import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    got = {r.doc_id: r.text.lower().split() for r in QUERIES["op6_line_dedup"](spark, folder).collect()}
+    ids = sorted(docs)
+    assert got == dict(zip(ids, brute_words([docs[i] for i in ids], line_dedup.MIN_WORDS), strict=True))
