@@ -5,7 +5,7 @@ more that also stands in an earlier document (by doc_id) is deleted, wherever an
 either: whole lines, parts of longer lines, in any order.
 
 Lines of one text may be parts of lines of another, so texts are cut anew, by content: each window of ``MIN_WORDS`` words
-names its least part of half as many words (its anchor), and the windows in a row with one anchor are a line. Texts that
+names its least part of a quarter as many words (its anchor), and the windows in a row with one anchor are a line. Texts that
 share a window share its anchor. Pairs of documents come from shared anchors:
 
 * where all lines of an anchor are the same words, each later holder is paired with the first, which holds all of it;
@@ -133,8 +133,8 @@ def windows(words: np.ndarray, size: int) -> np.ndarray:
 
 
 def anchors(words: np.ndarray, min_words: int) -> np.ndarray:
-    """For each run of ``min_words`` words, the least window of half as many words in it."""
-    part = (min_words + 1) // 2
+    """For each run of ``min_words`` words, the least window of a quarter as many words in it."""
+    part = (min_words + 3) // 4
     least, size, wide = windows(words, part), 1, min_words - part + 1
     if len(least) < wide:
         return np.zeros(0, np.uint64)
@@ -229,11 +229,8 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 class Text:
     """The words of a text with what aligning it needs."""
 
-    def __init__(self, text: str, min_words: int):
-        self.size = min_words
-        self.words = word_hashes(text)
-        self.windows = windows(self.words, min_words)
-        self.anchors = anchors(self.words, min_words)
+    def __init__(self, words: np.ndarray, windows: np.ndarray, anchors: np.ndarray, size: int):
+        self.words, self.windows, self.anchors, self.size = words, windows, anchors, size
 
     @cached_property
     def order(self) -> np.ndarray:
@@ -259,6 +256,18 @@ class Text:
         return places[np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (np.diff(places) > 1)])]
 
 
+def parsed(texts: list[str], min_words: int) -> list[Text]:
+    """The texts, with their words hashed in one step."""
+    words, of = _words(texts)
+    every, least = windows(words, min_words), anchors(words, min_words)
+    ends = np.searchsorted(of, np.arange(len(texts)), "right").tolist()
+    out = []
+    for lo, hi in zip([0, *ends], ends, strict=False):
+        upto = max(lo, hi - min_words + 1)
+        out.append(Text(words[lo:hi], every[lo:upto], least[lo:upto], min_words))
+    return out
+
+
 def _alike(a: np.ndarray, b: np.ndarray) -> int:
     """How many words two sequences have in common at their start."""
     n, at, step = min(len(a), len(b)), 0, 64
@@ -278,6 +287,8 @@ def _block(earlier: Text, later: Text, x: int, y: int) -> tuple[int, int]:
 
 def common_blocks(earlier: Text, later: Text) -> list[tuple[int, int]]:
     """Blocks (first word, word after the last) of the later text that cover all windows the earlier one holds."""
+    if _alike(earlier.words, later.words) == len(later.words):  # nothing but the head of the earlier one
+        return [(0, len(later.words))] if len(later.windows) else []
     if len(earlier.windows) >= len(later.windows):
         known, there = earlier.places(later.windows)
         left = np.flatnonzero(known)
@@ -323,14 +334,13 @@ def _aligned(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.R
     group, held = None, None
     for batch in slices(batches):
         rows, spans = [], []
-        columns = (batch.column(c).to_pylist() for c in ("hub", "part", "other", "place", "text"))
-        for hub, part, other, place, text in zip(*columns, strict=True):
+        columns = (batch.column(c).to_pylist() for c in ("hub", "part", "other", "place"))
+        for hub, part, other, place, mine in zip(*columns, parsed(batch.column("text").to_pylist(), min_words), strict=True):
             if not other:
-                group, held = (hub, part), Text(text, min_words)
+                group, held = (hub, part), mine
                 continue
             if group != (hub, part):
                 raise ValueError("a group without its longer text")
-            mine = Text(text, min_words)
             blocks = common_blocks(held, mine) if place > hub else common_blocks(mine, held)
             rows += [max(place, hub)] * len(blocks)
             spans += [lo << 32 | hi for lo, hi in blocks]
@@ -349,7 +359,7 @@ def candidates(read: DataFrame, *, min_words: int = MIN_WORDS, rare: int = RARE)
     few = few.select(F.explode("holders").alias("later"), "holders").select("later", F.explode(F.filter("holders", lambda h: h < F.col("later"))).alias("earlier"))
     # lists of one document, at most as long as its text
     mine = held.where("not same and not rare").groupBy(F.col("place").alias("of")).agg(F.collect_set("anchor").alias("anchors"))
-    again = read.join(mine, read["place"] == mine["of"]).select("place", "text", "anchors")
+    again = read.join(mine.hint("merge"), read["place"] == mine["of"]).select("place", "text", "anchors")
     window = saved(again.mapInArrow(lambda b: _windows(b, min_words), "place long, key long"), "windows")
     common = window.groupBy("key").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").select("key", "first")
     single = window.join(saved(common, "common"), "key").where("place > first")
@@ -377,7 +387,8 @@ def deletions(rows: DataFrame, key: str, *, min_words: int = MIN_WORDS, rare: in
     part = F.pmod(F.xxhash64("place"), F.coalesce("parts", F.lit(1)))
     others = saved(sized.join(hubs, "hub", "left").select("hub", part.alias("part"), F.lit(True).alias("other"), "place"), "others")
     asked = others.unionByName(others.select("hub", "part").distinct().select("hub", "part", F.lit(False).alias("other"), F.col("hub").alias("place")))
-    texts = asked.join(read, "place").repartition("hub", "part").sortWithinPartitions("hub", "part", "other")
+    # a shuffled join at every size: the side of the pairs grows with the documents
+    texts = asked.hint("merge").join(read, "place").repartition("hub", "part").sortWithinPartitions("hub", "part", "other")
     blocks = texts.select("hub", "part", "other", "place", "text").mapInArrow(lambda b: _aligned(b, min_words), "row long, span long")
     return blocks.groupBy("row").agg(F.collect_set("span").alias("cut"))
 
@@ -435,7 +446,7 @@ def shortened(docs: DataFrame, **options) -> tuple[DataFrame, str]:
     rows, key = keyed(docs, ordered=True)
     new, cut = fresh(rows, "new"), fresh(rows, "cut")
     cuts = saved(deletions(rows, key, **options), "cuts").toDF(key, cut)
-    rows = rows.join(cuts, key, "left").withColumn(new, _shortened(F.col("text"), F.col(cut)))
+    rows = rows.join(cuts.hint("merge"), key, "left").withColumn(new, _shortened(F.col("text"), F.col(cut)))
     left = F.when(F.col(cut).isNull(), F.col("text")).otherwise(F.col(new)["text"])
     return rows.withColumn(new, F.struct(left.alias("text"), F.col(new)["lines"].alias("lines"))), new
 

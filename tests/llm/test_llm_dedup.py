@@ -256,7 +256,7 @@ def test_alignment_finds_every_shared_window():
         b = rng.choice([b, [w for c in rng.sample(cuts, 3) for w in c + b[:3]], cuts[0] * 3 + b])
         runs = {tuple(a[i : i + size]) for i in range(len(a) - size + 1)}
         want = {i + k for i in range(len(b) - size + 1) if tuple(b[i : i + size]) in runs for k in range(size)}
-        x, y = (line_dedup.Text(" ".join(t), size) for t in (a, b))
+        x, y = line_dedup.parsed([" ".join(a), " ".join(b)], size)
         assert {k for lo, hi in line_dedup.common_blocks(x, y) for k in range(lo, hi)} == want
         left, _ = line_dedup.without_blocks(" ".join(b), np.array(line_dedup.common_blocks(x, y), np.int64).reshape(-1, 2))
         assert left.split() == [w for i, w in enumerate(b) if i not in want]
