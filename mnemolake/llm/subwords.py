@@ -4,10 +4,14 @@ White space never takes part in a token of this tokenizer, and a run of letters
 split off by its pattern. A chunk between white space that holds only such runs is cut into them; any other
 chunk (digits, apostrophes, special-token marks, further scripts) is encoded as it stands. A worker keeps the
 pieces it has met, up to ``MEMORY`` of them; beyond, those met most often stay.
+
+This holds for the rules in ``KNOWN``, which the tokenizer file is compared with. Texts of a file with other rules are
+encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import sys
 import types
 from itertools import chain, pairwise
@@ -18,6 +22,22 @@ from tokenizers import Tokenizer
 
 MEMORY = 200_000
 SPACE, LETTER, MARK, OTHER = 0, 1, 2, 3
+#: The parts of a tokenizer file under which texts may be cut into pieces.
+KNOWN = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "truncation": None,
+    "padding": None,
+}
 
 _kind = np.full(256, OTHER, np.uint8)
 _kind[[0x20, *range(0x09, 0x0E)]] = SPACE
@@ -39,9 +59,18 @@ def _visible() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
+def divisible(path: str) -> bool:
+    """Whether texts may be cut into pieces: known rules, and marks of added tokens that all begin with ``<``."""
+    with open(path, encoding="utf-8") as file:
+        rules = json.load(file)
+    added = all(t["content"].startswith("<") and not (t["normalized"] or t["lstrip"] or t["rstrip"]) for t in rules.get("added_tokens") or [])
+    return added and rules["model"]["type"] == "BPE" and all(rules.get(k) == v for k, v in KNOWN.items())
+
+
 class Encoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        self.divisible = divisible(path)
         self.alphabet = _visible()
         self._forget()
 
@@ -93,6 +122,9 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and the number of ids of each text (null: none)."""
+        if not self.divisible:
+            whole = [e.ids for e in self.tokenizer.encode_batch(texts.fill_null("").to_pylist(), add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(whole), np.uint32), np.array([len(w) for w in whole], np.int64)
         texts = texts.fill_null("").cast(pa.large_string())
         bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         if not len(texts) or bounds[-1] == bounds[0]:

@@ -1,5 +1,6 @@
 """Token files, packing, token totals and the piecewise encoder, against the tokenizer itself."""
 
+import json
 import math
 import random
 import zlib
@@ -48,6 +49,25 @@ def test_pieces_encode_like_whole_texts(tokenizer):
     assert ids.tolist() == [i for w in want for i in w]
 
 
+@pytest.mark.parametrize("name, cut", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_files_with_other_rules_are_encoded_whole(name, cut):
+    path = PATH.replace("word_bpe_49k.json", name)
+    texts = ["Plain words, in a sentence.", None, "", "  Two  spaces\nand 2024 lines ", "It's <|endoftext|> here", *filter(None, ODD)]
+    coder = subwords.Encoder(path)
+    ids, sizes = coder.encode(pa.array(texts))
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert coder.divisible == cut and sizes.tolist() == [len(w) for w in want]
+    assert ids.tolist() == [i for w in want for i in w] and ids.dtype == np.uint32
+
+
+def test_rules_are_compared(tmp_path):
+    rules = json.loads(open(PATH, encoding="utf-8").read())
+    for name, value in [("normalizer", None), ("pre_tokenizer", {"type": "Whitespace"}), ("truncation", {"max_length": 8})]:
+        file = tmp_path / f"{name}.json"
+        file.write_text(json.dumps({**rules, name: value}))
+        assert not subwords.divisible(str(file))
+
+
 def test_ranks_survive_coding():
     rng = random.Random(3)
     for n in (0, 1, 3, 4, 5, 999):
