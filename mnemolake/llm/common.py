@@ -66,13 +66,13 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in pieces of bounded text size, so that very long texts do not pile up in one step."""
     for batch in batches:
         texts = batch.column(column)
         start, held = 0, 0
         for i, size in enumerate(pc.binary_length(texts).to_pylist()):
-            if held and held + (size or 0) > SLICE_BYTES:
+            if held and held + (size or 0) > most:
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += size or 0

@@ -43,12 +43,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemolake.llm.common import SLICE_BYTES, fresh, keyed, saved, slices, small_batches, text_of
+from mnemolake.llm.common import fresh, keyed, saved, slices, small_batches, text_of
 
 MIN_WORDS = 40
 RARE = 8
 #: A longer text is sent once per this many bytes of its partners, or once per its own size if that is more.
 GROUP_BYTES = 256 << 10
+#: Bytes hashed in one step: arrays of their words stay in the cache of a core.
+SLICE_BYTES = 128 << 10
 _word = re.compile(r"\S+")
 _odd = 0x9E3779B97F4A7C15
 _powers: dict[int, np.ndarray] = {}
@@ -69,19 +71,26 @@ def _mixed(value: np.ndarray) -> np.ndarray:
     return value ^ (value >> np.uint64(29))
 
 
-def _piece_hashes(data: bytes) -> np.ndarray:
+_space = np.zeros(256, bool)
+_space[[*range(9, 14), *range(28, 33)]] = True
+_letters = _mixed((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(_odd))
+_letters[_space] = 0
+
+
+def _piece_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """One number per word, and the byte at which it begins."""
     codes = np.frombuffer(data, np.uint8)
-    space = (codes == 32) | ((codes >= 9) & (codes <= 13)) | ((codes >= 28) & (codes <= 31))
-    begins = ~space
-    begins[1:] &= space[:-1]
-    begins = np.flatnonzero(begins)
+    space = _space[codes]
+    first = ~space
+    first[1:] &= space[:-1]
+    begins = np.flatnonzero(first)
     if not len(begins):
-        return np.zeros(0, np.uint64)
-    letters = _mixed((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(_odd))
-    values = np.where(space, np.uint64(0), letters[codes])[begins[0] :]
+        return np.zeros(0, np.uint64), begins
     sizes = np.diff(begins, append=len(codes))
-    place = np.arange(len(values)) - np.repeat(begins - begins[0], sizes)
-    return _mixed(np.add.reduceat(values * _power(_odd, int(sizes.max()))[place], begins - begins[0]))
+    place = np.arange(begins[0], len(codes)) - np.repeat(begins, sizes)
+    values = _letters[codes[begins[0] :]]
+    values *= _power(_odd, int(sizes.max()))[place]
+    return _mixed(np.add.reduceat(values, begins - begins[0])), begins
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -92,7 +101,7 @@ def word_hashes(text: str) -> np.ndarray:
     while at < len(data):  # a very long text in pieces that end before a word
         to = at + SLICE_BYTES
         to = len(data) if to >= len(data) else min((k for k in (data.find(c, to) for c in (b" ", b"\n")) if k >= 0), default=len(data))
-        out.append(_piece_hashes(data[at:to]))
+        out.append(_piece_hashes(data[at:to])[0])
         at = to
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
@@ -104,13 +113,9 @@ def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return np.concatenate(parts), np.repeat(np.arange(len(texts)), [len(p) for p in parts])
     lower = [t.lower() for t in texts]
     flat = [(t if t.isascii() else " ".join(t.split())).encode() for t in lower]
-    data = b"\n".join(flat)
-    codes = np.frombuffer(data, np.uint8)
-    space = (codes == 32) | ((codes >= 9) & (codes <= 13)) | ((codes >= 28) & (codes <= 31))
-    begins = ~space
-    begins[1:] &= space[:-1]
     ends = np.cumsum([len(f) + 1 for f in flat])
-    return _piece_hashes(data), np.searchsorted(ends, np.flatnonzero(begins), "right")
+    words, begins = _piece_hashes(b"\n".join(flat))
+    return words, np.searchsorted(ends, begins, "right")
 
 
 def _power(base: int, n: int) -> np.ndarray:
@@ -146,7 +151,7 @@ def anchors(words: np.ndarray, min_words: int) -> np.ndarray:
 
 def _lines(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
     """The different lines of each document: anchor and number of the words."""
-    for batch in slices(batches):
+    for batch in slices(batches, most=SLICE_BYTES):
         words, text = _words(batch.column("text").to_pylist())
         anchor = anchors(words, min_words)
         inside = np.flatnonzero(text[: len(anchor)] == text[min_words - 1 :]) if len(anchor) else np.zeros(0, np.int64)
@@ -165,7 +170,7 @@ def _lines(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Rec
 
 def _windows(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
     """The different windows with one of the document's anchors that are given."""
-    for batch in slices(batches):
+    for batch in slices(batches, most=SLICE_BYTES):
         words, text = _words(batch.column("text").to_pylist())
         anchor = anchors(words, min_words)
         inside = np.flatnonzero(text[: len(anchor)] == text[min_words - 1 :]) if len(anchor) else np.zeros(0, np.int64)
@@ -332,7 +337,7 @@ def _inside(places: np.ndarray, blocks: list[tuple[int, int]], size: int) -> np.
 def _aligned(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
     """Blocks to delete, as first word * 2^32 + word after the last; each group comes with its longer text first."""
     group, held = None, None
-    for batch in slices(batches):
+    for batch in slices(batches, most=SLICE_BYTES):
         rows, spans = [], []
         columns = (batch.column(c).to_pylist() for c in ("hub", "part", "other", "place"))
         for hub, part, other, place, mine in zip(*columns, parsed(batch.column("text").to_pylist(), min_words), strict=True):
