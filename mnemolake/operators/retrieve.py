@@ -9,6 +9,7 @@ all graphs run in one job; only rows a query keeps are shuffled.
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +23,9 @@ from mnemolake.operators.similarity import nearest
 from mnemolake.schema import MODES
 from mnemolake.session import checkpointed
 
+if TYPE_CHECKING:
+    from mnemolake.operators.vote_postings import VotePostings
+
 GQ = ["graph_id", "query_id"]
 
 # Direct neighbours considered, vote weights, hits that promote a session, hit pool.
@@ -165,16 +169,20 @@ def retrieve_semantic(
     clock: DataFrame | None = None,
     prune: bool = True,
     chosen: DataFrame | None = None,
+    postings: VotePostings | None = None,
 ) -> DataFrame:
     """Facts kept per query: candidates are tag-voted facts (inactive too) and the direct hits.
 
     When the value function ignores importance, a fact outside the k best of each chosen tag cannot
     win, so tags are searched with a running top-k and no candidate pairs are produced
     (``prune=False`` forces the general route; both give the same rows). ``chosen`` hands in the
-    result of ``choose_tags`` when several calls share it.
+    result of ``choose_tags`` when several calls share it. ``postings`` are stored lists of the same facts:
+    with a value of monotone components only those of their blocks are scored that can hold a winner.
     """
     if chosen is None:
         chosen = choose_tags(query_tags, tags, tag_value, clock)
+    if postings is not None:
+        return postings.search(queries, chosen, direct_facts(queries, facts), value, clock=clock)[0]
     facts = _aged(facts, value, clock)
     direct = direct_facts(queries, facts)
     if prune and value.importance is None:

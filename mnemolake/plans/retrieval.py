@@ -11,6 +11,7 @@ from mnemolake.functions.vector import hash_embedding
 from mnemolake.operators import evaluate, ingest, retrieve
 from mnemolake.operators.similarity import nearest
 from mnemolake.operators.vector_index import VectorIndex
+from mnemolake.operators.vote_postings import VotePostings
 from mnemolake.plans import bindings as b
 from mnemolake.plans.bindings import with_bindings
 from mnemolake.plans.registry import query
@@ -182,6 +183,30 @@ def semantic_retrieve_weighted(spark, d) -> DataFrame:
     return _semantic(spark, d, WEIGHTED_RULE, True)
 
 
+def _lists(spark, d) -> VotePostings:
+    return VotePostings.write(b.facts(spark, d), f"{run_folder(spark)}/lists")
+
+
+@query("semantic_retrieve_blocks", _semantic_sql("relevance + 0.001 * importance - 0.0001 * recency"))
+def semantic_retrieve_blocks(spark, d) -> DataFrame:
+    """The same rule over posting lists in blocks: only blocks that can hold a winner are scored."""
+    rows = retrieve.retrieve_semantic(
+        b.queries(spark, d), b.query_tags(spark, d), b.tags(spark, d), b.facts(spark, d), tag_value=TAG_RULE, value=WEIGHTED_RULE, postings=_lists(spark, d)
+    )
+    return rows.select("graph_id", "query_id", "semantic_id", "tag_votes", "rank", *_six("relevance", "importance", "value"))
+
+
+@query("vote_blocks", with_bindings("""
+SELECT graph_id, query_id, t.tag_id, count(*) AS listed FROM (SELECT DISTINCT graph_id, query_id, tag_id FROM tag_hits) h
+JOIN fact_tags t USING (graph_id, tag_id) GROUP BY graph_id, query_id, t.tag_id""", _TAG_HITS))
+def vote_blocks(spark, d) -> DataFrame:
+    """Facts in the lists of each query's chosen tags: the blocks hold every fact of a tag once."""
+    chosen = retrieve.choose_tags(b.query_tags(spark, d), b.tags(spark, d), TAG_RULE)
+    direct = retrieve.direct_facts(b.queries(spark, d), b.facts(spark, d))
+    _, blocks = _lists(spark, d).search(b.queries(spark, d), chosen, direct, WEIGHTED_RULE)
+    return blocks.groupBy("graph_id", "query_id", "tag_id").agg(F.sum("n").alias("listed"))
+
+
 @query("retrieve_trace", with_bindings("""
 SELECT graph_id, query_id, semantic_id, tag_votes, round(relevance, 6) AS relevance, round(importance, 6) AS importance,
        recency, credibility, is_active, rank::INTEGER AS rank, rank <= 10 AND round(relevance, 12) >= 0 AS selected FROM (
