@@ -63,17 +63,18 @@ def candidate_lists(
     threshold: float = MERGE_THRESHOLD,
     value: ValueFunction = SEMANTIC_EQUAL,
     list_size: int = LIST_SIZE,
+    search: Callable[..., DataFrame] = nearest,
 ) -> DataFrame:
     """Best later facts sharing a tag: (graph_id, id_a, id_b, score, place, full).
 
     ``full`` marks facts whose list may have been cut at ``list_size``: working lists of the fold, not an answer.
-    ``all_pairs`` has every pair.
+    ``all_pairs`` has every pair. ``search`` may be ``PivotJoin(candidates).nearest``, which gives the same rows.
     """
     copies, searched = (None, scanners)
     if value == SEMANTIC_EQUAL.with_limits(value.k, value.threshold) and 0 < threshold <= 1:
         copies, searched = _next_copies(scanners, candidates, list_size)
     nodes = _by_tag(candidates)
-    near = nearest(
+    near = search(
         _by_tag(searched).withColumnRenamed("semantic_id", "id_a"), nodes, k=list_size, query_id="id_a",
         by=("graph_id", "tag_id"), value=value, floor=threshold, later_only=True,
     )
@@ -92,10 +93,14 @@ def candidate_lists(
 
 
 def all_pairs(
-    scanners: DataFrame, candidates: DataFrame, *, threshold: float = MERGE_THRESHOLD, value: ValueFunction = SEMANTIC_EQUAL
+    scanners: DataFrame, candidates: DataFrame, *, threshold: float = MERGE_THRESHOLD, value: ValueFunction = SEMANTIC_EQUAL,
+    search: Callable[..., DataFrame] = nearest,
 ) -> DataFrame:
-    """Every later fact that shares a tag and reaches the threshold: (graph_id, id_a, id_b, score)."""
-    near = nearest(
+    """Every later fact that shares a tag and reaches the threshold: (graph_id, id_a, id_b, score).
+
+    ``search`` may be ``PivotJoin(candidates).nearest``: hot tags are then not compared with themselves pair by pair.
+    """
+    near = search(
         _by_tag(scanners).withColumnRenamed("semantic_id", "id_a"), _by_tag(candidates), k=None, query_id="id_a",
         by=("graph_id", "tag_id"), value=value, floor=threshold, later_only=True,
     )

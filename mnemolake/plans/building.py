@@ -9,6 +9,7 @@ from mnemolake.functions import parse, templates
 from mnemolake.functions import text as tx
 from mnemolake.functions.vector import hash_embedding
 from mnemolake.operators import build, consolidate, ingest
+from mnemolake.operators.pivot_join import PivotJoin
 from mnemolake.operators.retrieve import graph_clock
 from mnemolake.plans import bindings as b
 from mnemolake.plans.bindings import with_bindings
@@ -254,6 +255,14 @@ def consolidation_pairs(spark, d) -> DataFrame:
     return rows.select("graph_id", "id_a", "id_b", F.round("score", 6).alias("score"), "barred")
 
 
+@query("consolidation_pairs_pivots", with_bindings("SELECT graph_id, id_a, id_b, round(score, 6) AS score FROM pairs WHERE round(score, 12) >= 0.2", _PAIRS))
+def consolidation_pairs_pivots(spark, d) -> DataFrame:
+    """All pairs at the threshold, tags searched through pivots."""
+    active = b.facts(spark, d).where("is_active")
+    rows = consolidate.all_pairs(active, active, threshold=_MERGE_AT, search=PivotJoin(active, few=64).nearest)
+    return rows.select("graph_id", "id_a", "id_b", F.round("score", 6).alias("score"))
+
+
 @query("consolidation_best_32", with_bindings("""
 SELECT graph_id, id_a, id_b, round(score, 6) AS score, barred, place::INTEGER AS place FROM (
   SELECT *, row_number() OVER (PARTITION BY id_a ORDER BY round(score, 12) DESC, id_b) AS place FROM pairs WHERE round(score, 12) >= 0.2)
