@@ -143,6 +143,30 @@ def random_context(queries: DataFrame, facts: DataFrame, k: int, seed: int = 0)
     )
 
 
+def uniform_context(queries: DataFrame, facts: DataFrame, k: int, seed: int = 0) -> DataFrame:
+    """As ``random_context``, but every k facts of a graph, in every order, are equally likely.
+
+    Positions are drawn by Floyd's method: of the last k numbers j below n, each adds a number drawn from 0..j, or itself
+    when that one is taken. k draws per question, whatever the size of the graph; the order is that of a hash.
+    """
+    placed = number_rows(facts.select("graph_id", "semantic_id"), ["graph_id"], ["semantic_id"], "_pos")
+    sizes = facts.groupBy("graph_id").agg(F.count(F.lit(1)).alias("_n"))
+    asked = queries.select("graph_id", "query_id").join(sizes, "graph_id")
+
+    def mark(salt: str, number: Column) -> Column:
+        return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("query_id").cast("string"), F.lit(salt), number.cast("string")))
+
+    def add(taken: Column, j: Column) -> Column:
+        drawn = F.conv(F.substring(mark("draw", j), 1, 12), 16, 10).cast("bigint") % (j + 1)
+        return F.array_append(taken, F.when(F.array_contains(taken, drawn), j).otherwise(drawn))
+
+    last = F.sequence(F.greatest(F.lit(0).cast("bigint"), F.col("_n") - k), F.col("_n") - 1)
+    taken = F.aggregate(last, F.array().cast("array<bigint>"), add) if k > 0 else F.array().cast("array<bigint>")
+    order = F.array_sort(F.transform(taken, lambda p: F.struct(mark("rank", p).alias("mark"), p.alias("pos"))))
+    picks = asked.select("graph_id", "query_id", F.posexplode(F.transform(order, lambda o: o["pos"])).alias("_j", "_pos"))
+    return picks.join(placed, ["graph_id", "_pos"]).select("graph_id", "query_id", (F.col("_j") + 1).alias("rank"), "semantic_id")
+
+
 PACK_STATE = "graph_id string, query_id long, passage_id long, pick int, total long, full boolean"
 
 

@@ -550,6 +550,23 @@ def random_context(spark, d) -> DataFrame:
     return evaluate.random_context(b.queries(spark, d), b.facts(spark, d), k=10)
 
 
+_DRAWS = """draws AS (
+  SELECT q.graph_id, q.query_id, unnest(list_reduce(
+    list_prepend([]::BIGINT[], [[j] FOR j IN range(greatest(n - 10, 0), n)]),
+    lambda taken, x: list_append(taken, CASE
+      WHEN list_contains(taken, ('0x' || substr(md5('0|' || query_id || '|draw|' || x[1]), 1, 12))::BIGINT % (x[1] + 1)) THEN x[1]
+      ELSE ('0x' || substr(md5('0|' || query_id || '|draw|' || x[1]), 1, 12))::BIGINT % (x[1] + 1) END))) AS pos
+  FROM queries q JOIN (SELECT graph_id, count(*) AS n FROM facts GROUP BY graph_id) USING (graph_id))"""
+
+
+@query("random_context_uniform", with_bindings("""
+SELECT d.graph_id, d.query_id, p.semantic_id,
+       row_number() OVER (PARTITION BY d.graph_id, d.query_id ORDER BY md5('0|' || d.query_id || '|rank|' || d.pos))::INTEGER AS rank
+FROM draws d JOIN placed p ON p.graph_id = d.graph_id AND p.pos = d.pos""", _ORDER, _DRAWS))
+def random_context_uniform(spark, d) -> DataFrame:
+    return evaluate.uniform_context(b.queries(spark, d), b.facts(spark, d), k=10)
+
+
 _PACK = """pack_sizes AS (SELECT graph_id, count(*) AS n FROM docs GROUP BY graph_id),
 pack_order AS (
   SELECT q.graph_id, q.query_id, n, ('0x' || substr(md5('0|' || query_id || '|start'), 1, 12))::BIGINT % n AS start,
