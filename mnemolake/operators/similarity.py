@@ -225,25 +225,35 @@ def _scan(sample, nodes, by, query_id, node_id, out, value, k, floor, later_only
     return nodes.mapInArrow(run, out)
 
 
-def _split(df: DataFrame, counts: DataFrame, by: list[str], row_id: str, own: str, other: str) -> DataFrame:
-    """Give each row its own block by hash and copy it to every block of the other side."""
+def _split(df: DataFrame, sizes: DataFrame, large: DataFrame, by: list[str], row_id: str, own: str, other: str) -> DataFrame:
+    """Give each row its own block by hash and copy it to every block of the other side; keys of one side only go.
+
+    Only keys of several blocks are joined for their numbers. They are few (rows / block size at most), so that table is
+    broadcast and never the rows, whose size Spark underestimates where a function makes them.
+    """
+    n_own, n_other = (F.coalesce(f"_{side}_blocks", F.lit(1).cast("bigint")) for side in (own, other))
     return (
-        df.join(counts, by).withColumn(f"_{own}_block", F.pmod(F.xxhash64(row_id), F.col(f"_{own}_blocks")))
-        .withColumn(f"_{other}_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"_{other}_blocks") - 1)))
+        df.join(sizes.select(*by), by, "left_semi").join(F.broadcast(large), by, "left")
+        .withColumn(f"_{own}_block", F.pmod(F.xxhash64(row_id), n_own))
+        .withColumn(f"_{other}_block", F.explode(F.sequence(F.lit(0).cast("bigint"), n_other - 1)))
         .drop("_query_blocks", "_node_blocks")
     )
 
 
 def _blocks(queries, nodes, by, query_id, node_id, out, value, k, floor, later_only) -> DataFrame:
     """Bounded (query block, node block) pairs per key, co-grouped."""
-
-    def blocks(df: DataFrame, size: int, name: str) -> DataFrame:
-        return df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(size)).alias(name))
-
-    counts = blocks(queries, QUERY_BLOCK, "_query_blocks").join(blocks(nodes, NODE_BLOCK, "_node_blocks"), by)
+    most = QUERY_BLOCK, NODE_BLOCK
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    rows = queries.select(*by, one.alias("_q"), none.alias("_n")).unionByName(nodes.select(*by, none.alias("_q"), one.alias("_n")))
+    sizes = (
+        rows.groupBy(*by)
+        .agg(F.ceil(F.sum("_q") / F.lit(most[0])).alias("_query_blocks"), F.ceil(F.sum("_n") / F.lit(most[1])).alias("_node_blocks"))
+        .where("_query_blocks > 0 and _node_blocks > 0")
+    )
+    large = sizes.where("_query_blocks > 1 or _node_blocks > 1")
     keys = [*by, "_query_block", "_node_block"]
-    left = _split(queries, counts, by, query_id, "query", "node").groupBy(*keys)
-    right = _split(nodes, counts, by, node_id, "node", "query").groupBy(*keys)
+    left = _split(queries, sizes, large, by, query_id, "query", "node").groupBy(*keys)
+    right = _split(nodes, sizes, large, by, node_id, "node", "query").groupBy(*keys)
     schema = to_arrow_schema(out)
 
     def run(key: tuple, query_rows: pa.Table, node_rows: pa.Table) -> pa.Table:

@@ -69,3 +69,20 @@ def test_unclustered_empty_and_refused(spark):
         joined.nearest(loose.withColumnRenamed("semantic_id", "query_id"), loose, k=1, floor=0.0)
     with pytest.raises(ValueError):
         joined.nearest(loose.withColumnRenamed("semantic_id", "query_id"), loose, k=1, floor=0.5, value=ValueFunction(importance=lambda v: v))
+
+
+def test_rows_made_by_a_function_are_never_broadcast(facts):
+    # Spark takes them for as small as their input, whatever number of copies the function makes
+    by = ["graph_id", "tag_id"]
+    rows = facts.select("graph_id", "semantic_id", "embedding", F.explode("tag_ids").alias("tag_id"))
+    found = PivotJoin(facts, few=100).nearest(rows.withColumnRenamed("semantic_id", "id_a"), rows, k=None, query_id="id_a", by=by, floor=0.8, later_only=True)
+    assert found.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1"
+    lines = found._jdf.queryExecution().sparkPlan().toString().split("\n")
+    for i, line in enumerate(lines):
+        if "Join" in line and "Build" in line:
+            depth = line.index("B" if line.lstrip(" :+-").startswith("B") else "S")
+            sides = [j for j in range(i + 1, len(lines)) if len(lines[j]) - len(lines[j].lstrip(" :+-")) == depth + 3]
+            ends = next((j for j in range(i + 1, len(lines)) if len(lines[j]) - len(lines[j].lstrip(" :+-")) <= depth), len(lines))
+            left, right = (j for j in sides if j < ends)
+            built = lines[left:right] if "BuildLeft" in line else lines[right:ends]
+            assert "_vector" not in built[0] and not any("MapInArrow" in x for x in built[:3]), (line, built[:3])
