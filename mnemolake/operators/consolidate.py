@@ -13,10 +13,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
-from itertools import groupby
-from operator import itemgetter
+from itertools import chain
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -175,32 +175,42 @@ def share_evidence(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     return pairs.join(side("a"), ["graph_id", "id_a"]).join(side("b"), ["graph_id", "id_b"]).withColumn("barred", barred).drop("_a", "_b")
 
 
-def _folder(k: int, max_merges: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _folder(k: int, max_merges: int) -> Callable[[tuple, pa.Table], pa.Table]:
     columns = [c.split()[0] for c in MERGE_ROW.split(", ")]
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        """Scan one component in id order; report merges and decided scanners; stop where a list runs dry."""
-        graph = rows["graph_id"].iloc[0]
-        ordered = rows.sort_values(["id_a", "place"])[["id_a", "id_b", "score", "full", "barred", "deactivate_a", "deactivate_b"]]
+    def fold(key: tuple, rows: pa.Table) -> pa.Table:
+        """Scan one component in id order; report merges and decided scanners; stop where a list runs dry.
+
+        The rows stay columns of numbers; Python values are made for one scanner's list at a time.
+        """
+        names = ("id_a", "id_b", "place", "score", "full", "barred", "deactivate_a", "deactivate_b")
+        ids, others, places, *rest = (rows[name].to_numpy() for name in names)
+        order = np.lexsort((places, ids))
+        starts = np.flatnonzero(np.diff(ids[order], prepend=ids.min() - 1)) if len(ids) else np.zeros(0, np.int64)
         gone: set[int] = set()
         out: list[tuple] = []
-        for a, options in groupby(ordered.itertuples(index=False, name=None), key=itemgetter(0)):
-            a, options = int(a), list(options)
+        for lo, hi in zip(starts, np.r_[starts[1:], len(ids)]):
+            own = order[lo:hi]
+            a = int(ids[own[0]])
             if a not in gone:
-                live = [o for o in options if o[1] not in gone][:k]
-                if len(live) < k and options[0][3]:
+                options = zip(others[own].tolist(), *(column[own].tolist() for column in rest))
+                first = next(options)
+                live = [o for o in chain([first], options) if o[0] not in gone][:k]
+                if len(live) < k and first[2]:
                     break
                 done = 0
-                for _, b, score, _, barred, drop_a, drop_b in live:
+                for b, score, _, barred, drop_a, drop_b in live:
                     if barred:
                         continue
-                    out.append((graph, "merge", a, int(b), done, score, bool(drop_a), bool(drop_b)))
-                    gone.update(([a] if drop_a else []) + ([int(b)] if drop_b else []))
+                    out.append(("merge", a, b, done, score, drop_a, drop_b))
+                    gone.update(([a] if drop_a else []) + ([b] if drop_b else []))
                     done += 1
                     if done >= max_merges:
                         break
-            out.append((graph, "scanned", a, None, 0, None, None, None))
-        return pd.DataFrame(out, columns=columns)
+            out.append(("scanned", a, None, 0, None, None, None))
+        types = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.bool_(), pa.bool_())
+        made = [pa.array([row[i] for row in out], kind) for i, kind in enumerate(types)]
+        return pa.table([pa.repeat(pa.scalar(key[0].as_py(), pa.string()), len(out)), *made], columns)
 
     return fold
 
@@ -242,7 +252,7 @@ def resolve_merges(
             )
         lists = checkpointed(lists)
         turn = _first_scanners(_independent(lists, fold_size), fold_size)
-        events = checkpointed(turn.groupBy("graph_id", "component").applyInPandas(_folder(value.k, max_merges), MERGE_ROW))
+        events = checkpointed(turn.groupBy("graph_id", "component").applyInArrow(_folder(value.k, max_merges), MERGE_ROW))
         scanned = events.where("event = 'scanned'").select("graph_id", "id_a")
         waiting = checkpointed(
             lists.groupBy("graph_id", "id_a").agg(F.max("full").alias("full")).join(scanned, ["graph_id", "id_a"], "left_anti")

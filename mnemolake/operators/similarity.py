@@ -29,8 +29,12 @@ BROADCAST_QUERIES = 8192
 BROADCAST_BYTES = 32 << 20
 QUERY_BLOCK = 4096
 NODE_BLOCK = 16384
+#: Rows of a block on either side when every pair at the floor is asked for: all pairs of two blocks fit a task.
+ALL_BLOCK = 2048
 SCORE_DIGITS = 12  # scores closer than this are ties, whatever order the product summed in
 _CHUNK = 512
+#: Scores of one step: fewer queries are taken at a time against many nodes, so working tables stay at some megabytes.
+STEP_SCORES = 1 << 20
 
 COSINE = ValueFunction()
 
@@ -62,6 +66,10 @@ def _side(table: pa.Table, id_column: str) -> tuple[np.ndarray, np.ndarray, np.n
     return table.column(id_column).to_numpy(), matrix, norms, inputs
 
 
+def _step(nodes: int) -> int:
+    return max(1, min(_CHUNK, STEP_SCORES // max(1, nodes)))
+
+
 def _best(
     queries: tuple, nodes: tuple, value: ValueFunction, k: int | None, later_only: bool, floor: float | None
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -72,8 +80,9 @@ def _best(
     ids, matrix, norms = ids[order], matrix[order], norms[order]
     inputs = {name: column[order][None, :] for name, column in inputs.items()}
     parts = []
-    for lo in range(0, len(query_ids), _CHUNK):
-        hi = min(lo + _CHUNK, len(query_ids))
+    step = _step(len(ids))
+    for lo in range(0, len(query_ids), step):
+        hi = min(lo + step, len(query_ids))
         scale = query_norms[lo:hi, None] * norms[None, :]
         products = query_matrix[lo:hi] @ matrix.T
         relevance = np.divide(products, scale, out=np.zeros_like(products), where=scale > 0)
@@ -177,7 +186,7 @@ def _keys(table: pa.Table | pa.RecordBatch, by: list[str]) -> dict[tuple, np.nda
 
 def _emit(schema: pa.Schema, key: tuple, query_ids: np.ndarray, found: tuple) -> pa.RecordBatch:
     query, ids, relevance, scores = found
-    columns = [pa.array([v] * len(query), type=schema.field(i).type) for i, v in enumerate(key)]
+    columns = [pa.repeat(pa.scalar(v, schema.field(i).type), len(query)) for i, v in enumerate(key)]
     n = len(key)
     columns.append(pa.array(query_ids[query], type=schema.field(n).type))
     columns.append(pa.array(ids, type=schema.field(n + 1).type))
@@ -208,10 +217,13 @@ def _scan(sample, nodes, by, query_id, node_id, out, value, k, floor, later_only
                 if queries is None:
                     continue
                 block = _side(table.take(pa.array(rows)), node_id)
-                found = _best(queries, block, value, k, later_only, floor)
                 if k is None:
-                    yield _emit(schema, key, queries[0], found)
+                    step = _step(len(rows))
+                    for lo in range(0, len(queries[0]), step):
+                        some = tuple(x[lo : lo + step] for x in queries[:3])
+                        yield _emit(schema, key, some[0], _best((*some, {}), block, value, k, later_only, floor))
                     continue
+                found = _best(queries, block, value, k, later_only, floor)
                 kept.setdefault(key, []).append(found)
                 held[key] = held.get(key, 0) + len(found[0])
                 if held[key] > 4 * k * len(queries[0]):
@@ -242,7 +254,7 @@ def _split(df: DataFrame, sizes: DataFrame, large: DataFrame, by: list[str], row
 
 def _blocks(queries, nodes, by, query_id, node_id, out, value, k, floor, later_only) -> DataFrame:
     """Bounded (query block, node block) pairs per key, co-grouped."""
-    most = QUERY_BLOCK, NODE_BLOCK
+    most = [min(size, ALL_BLOCK) if k is None else size for size in (QUERY_BLOCK, NODE_BLOCK)]
     one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
     rows = queries.select(*by, one.alias("_q"), none.alias("_n")).unionByName(nodes.select(*by, none.alias("_q"), one.alias("_n")))
     sizes = (

@@ -1,6 +1,9 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,3 +182,20 @@ def test_many_copies_equal_the_sequential_scan(spark):
     table = spark.createDataFrame([("g", a, b, x, y) for (a, b), (x, y) in keep.items()], "graph_id string, id_a long, id_b long, deactivate_earlier boolean, deactivate_later boolean")
     got = consolidate.resolve_merges(df, scanner=F.col("is_active"), candidate=F.col("is_active"), decisions=table, threshold=0.6, list_size=4)
     assert sorted((r.id_a, r.id_b) for r in got.collect()) == sorted(_scan(facts, 1, 1, 0.6, keep))
+
+
+def test_fold_holds_columns_not_rows():
+    n, size = 5000, 32
+    a = np.repeat(np.arange(n), size)
+    place = np.tile(np.arange(1, size + 1), n)
+    order = np.random.default_rng(4).permutation(n * size)
+    no, yes = np.zeros(n * size, bool), np.ones(n * size, bool)
+    columns = {"id_a": a, "id_b": a + place, "place": place.astype(np.int32), "score": 1.0 - place / 100, "full": yes, "barred": no, "deactivate_a": yes, "deactivate_b": yes}
+    rows = pa.table({name: column[order] for name, column in columns.items()})
+    tracemalloc.start()
+    out = consolidate._folder(1, 1)((pa.scalar("g"), pa.scalar(-1)), rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    merges = out.filter(pa.compute.equal(out["event"], "merge"))
+    assert merges["id_a"].to_pylist() == list(range(0, n, 2)) and merges["id_b"].to_pylist() == list(range(1, n + 1, 2))
+    assert set(out["graph_id"].to_pylist()) == {"g"} and peak < 12 << 20

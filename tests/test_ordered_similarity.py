@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import Window
@@ -93,3 +95,34 @@ def test_vectors(spark):
     ).first()
     assert row.zero == 0.0 and abs(row.one - 1.0) < 1e-12
     assert len(row.h) == 40 and row.h[32:] == row.h[:8] and row.n == row.e
+
+
+def test_working_tables_of_a_block_stay_small():
+    rng = np.random.default_rng(2)
+    ids, matrix = np.arange(similarity.NODE_BLOCK), rng.normal(size=(similarity.NODE_BLOCK, 8))
+    side = ids, matrix, np.linalg.norm(matrix, axis=1), {}
+    few = ids[:512], matrix[:512], side[2][:512], {}
+    tracemalloc.start()
+    found = similarity._best(few, side, similarity.COSINE, 32, True, 0.2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found[0]) == 512 * 32 and peak < 100 << 20
+
+
+def test_all_pairs_come_in_small_blocks(spark, vectors, monkeypatch):
+    monkeypatch.setattr(similarity, "ALL_BLOCK", 5)
+    queries, nodes = vectors
+    q = spark.createDataFrame(queries, "graph_id string, query_id long, embedding array<float>")
+    n = spark.createDataFrame(nodes, "graph_id string, semantic_id long, embedding array<float>").repartition(3)
+    for rows in (0, similarity.BROADCAST_QUERIES):
+        got = nearest(q, n, k=None, floor=0.31, broadcast_rows=rows)
+        assert sorted((r.graph_id, r.query_id, r.semantic_id) for r in got.collect()) == sorted(_brute(queries, nodes, len(nodes), floor=0.31))
+    plan = nearest(q, n, k=None, floor=0.31, broadcast_rows=0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "/ 5" in plan
+
+
+def test_keys_of_one_side_and_missing_keys_match_nothing(spark):
+    rows = "graph_id string, {} long, embedding array<float>"
+    q = spark.createDataFrame([("a", 1, [1.0]), (None, 2, [1.0]), ("q", 3, [1.0])], rows.format("query_id"))
+    n = spark.createDataFrame([("a", 4, [1.0]), (None, 5, [1.0]), ("n", 6, [1.0])], rows.format("semantic_id"))
+    assert [(r.query_id, r.semantic_id) for r in nearest(q, n, k=3, broadcast_rows=0).collect()] == [(1, 4)]
