@@ -18,8 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SPAN = 1 << 16
-GROUP_ROWS = 1 << 20
+SPAN = 1 << 12
+GROUP_ROWS = 1 << 14
 
 
 def groups_are_small(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> bool:

@@ -126,3 +126,13 @@ def test_keys_of_one_side_and_missing_keys_match_nothing(spark):
     q = spark.createDataFrame([("a", 1, [1.0]), (None, 2, [1.0]), ("q", 3, [1.0])], rows.format("query_id"))
     n = spark.createDataFrame([("a", 4, [1.0]), (None, 5, [1.0]), ("n", 6, [1.0])], rows.format("semantic_id"))
     assert [(r.query_id, r.semantic_id) for r in nearest(q, n, k=3, broadcast_rows=0).collect()] == [(1, 4)]
+
+
+def test_a_group_of_whole_texts_is_dealt_to_many_tasks(spark):
+    rows = spark.range(20_000, numPartitions=4).select(F.lit("g").alias("graph_id"), "id", F.repeat(F.lit("x"), 100).alias("text"))
+    numbered = number_rows(rows, ["graph_id"], ["id"], "place")
+    assert numbered.where("place <> id").count() == 0 and numbered.count() == 20_000
+    plan = numbered._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line[line.index("], [") :] for line in plan.split("\n") if "Window [" in line]
+    # the outer one meets the texts, the inner one only a row per block
+    assert len(windows) == 2 and "_block" in windows[0].split("], [")[1]
