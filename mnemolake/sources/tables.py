@@ -287,8 +287,11 @@ def block_of(node_id: str, size: int):
 
 
 def write_blocks(rows: DataFrame, node_id: str, size: int, path: str) -> None:
-    """Block-file layout: one partition per ``id // size``; rewriting a block replaces just that block."""
-    rows.withColumn("block", block_of(node_id, size)).write.mode("overwrite").option(
+    """Block-file layout: one partition per ``id // size``; rewriting a block replaces just that block.
+
+    A block goes to one task and becomes one file, however many tasks hold rows of it.
+    """
+    rows.withColumn("block", block_of(node_id, size)).repartition("block").write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy("block").parquet(path)
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from mnemolake import session
 from mnemolake.functions.vector import hash_embedding
 from mnemolake.operators import build, consolidate, ordered, retrieve, similarity
+from mnemolake.sources import tables
 from mnemolake.sources.tables import MemoryStore
 from mnemolake.streaming import jobs
 
@@ -125,3 +126,11 @@ def test_shared_folder_is_required_off_one_machine(spark):
     spark.range(1).write.parquet(f"{folder}/x")
     session.remove_run_files(spark)
     assert not os.path.exists(folder.removeprefix("file:"))
+
+
+def test_a_block_is_one_file_however_its_rows_are_dealt(spark, tmp_path):
+    rows = spark.range(200).select("id", F.lit("x").alias("text")).repartition(7)
+    for _ in range(2):  # written again, it is replaced
+        tables.write_blocks(rows, "id", 20, str(tmp_path / "blocks"))
+    assert len(list(tmp_path.glob("blocks/block=*/*.parquet"))) == 10
+    assert spark.read.parquet(str(tmp_path / "blocks")).where("block = id div 20").count() == 200
