@@ -86,3 +86,24 @@ def test_rows_made_by_a_function_are_never_broadcast(facts):
             left, right = (j for j in sides if j < ends)
             built = lines[left:right] if "BuildLeft" in line else lines[right:ends]
             assert "_vector" not in built[0] and not any("MapInArrow" in x for x in built[:3]), (line, built[:3])
+
+
+def _shuffled_rows(node):
+    """Rows written by all exchanges of an executed plan."""
+    name = node.nodeName()
+    if name.startswith("AdaptiveSparkPlan"):
+        return _shuffled_rows(node.executedPlan())
+    if "QueryStage" in name:
+        return _shuffled_rows(node.plan())
+    children, own = node.children(), node.metrics().get("shuffleRecordsWritten").get().value() if name == "Exchange" else 0
+    return own + sum(_shuffled_rows(children.apply(i)) for i in range(children.size()))
+
+
+def test_vectors_travel_by_blocks_not_by_cells(spark):
+    # without clusters a query reaches most cells; it must not be copied to each of them
+    loose = _facts(spark, n=3000, spread=5.0, middles=3).where("embedding is not null")
+    joined = PivotJoin(loose, cells=200, few=10)
+    rows = loose.select("graph_id", "semantic_id", "embedding")
+    found = joined.nearest(rows.withColumnRenamed("semantic_id", "id_a"), rows, k=None, query_id="id_a", floor=0.3, later_only=True)
+    assert len(found.collect()) > 10000
+    assert 0 < _shuffled_rows(found._jdf.queryExecution().executedPlan()) < 15 * rows.count()
