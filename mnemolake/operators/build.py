@@ -26,18 +26,23 @@ from mnemolake.schema import DEFAULT_CREDIBILITY, DEFAULT_IMPORTANCE
 from mnemolake.session import checkpointed
 
 
-def next_ids(nodes: DataFrame, id_column: str) -> DataFrame:
-    """First free id per graph."""
-    return nodes.groupBy("graph_id").agg((F.max(id_column) + 1).alias("_first"))
+def next_ids(nodes: DataFrame, id_column: str, clock: str | None = None) -> DataFrame:
+    """First free id per graph, and with ``clock`` the tick after the last."""
+    tick = [] if clock is None else [(F.max(clock) + 1).alias("_tick")]
+    return nodes.groupBy("graph_id").agg((F.max(id_column) + 1).alias("_first"), *tick)
 
 
-def assign_ids(rows: DataFrame, order: list[str], id_column: str, first: DataFrame | None = None) -> DataFrame:
-    """Dense ids per graph along ``order`` (leading column a non-negative integer)."""
-    numbered = number_rows(rows, ["graph_id"], order, id_column)
-    if first is None:
-        return numbered
-    shift = F.coalesce(F.col("_first"), F.lit(0))
-    return numbered.join(first, "graph_id", "left").withColumn(id_column, F.col(id_column) + shift).drop("_first")
+def assign_ids(rows: DataFrame, order: list[str], id_column: str, first: DataFrame | None = None, clock: str | None = None) -> DataFrame:
+    """Dense ids per graph along ``order`` (leading column a non-negative integer).
+
+    With ``clock``, rows take the ticks after their graph's last one too, in order of their new ids. ``first`` (``next_ids``) meets
+    the rows while they are numbered: rows are not dealt out by graph for it.
+    """
+    numbered = number_rows(rows, ["graph_id"], order, id_column, known=first)
+    after = lambda column: F.lit(0) if first is None else F.coalesce(F.col(column), F.lit(0))
+    if clock is not None:
+        numbered = numbered.withColumn(clock, after("_tick") + F.col(id_column))
+    return numbered.withColumn(id_column, F.col(id_column) + after("_first")).drop("_first", "_tick")
 
 
 def without_blank(rows: DataFrame, text: str = "text") -> DataFrame:
@@ -356,17 +361,6 @@ def lineage(edges: DataFrame) -> DataFrame:
         known = checkpointed(known.unionByName(longer).groupBy(*key).agg(F.min("depth").alias("depth")))
 
 
-def ticking(rows: DataFrame, id_column: str, stored: DataFrame | None) -> DataFrame:
-    """Add ``time``: rows take the ticks after the graph's last one, in order of their new ids."""
-    first = rows.groupBy("graph_id").agg(F.min(id_column).alias("_first"))
-    timed = rows.join(first, "graph_id")
-    if stored is None:
-        return timed.withColumn("time", F.col(id_column) - F.col("_first")).drop("_first")
-    last = stored.groupBy("graph_id").agg((F.max("time") + 1).alias("_tick"))
-    tick = F.coalesce("_tick", F.lit(0)) + F.col(id_column) - F.col("_first")
-    return timed.join(last, "graph_id", "left").withColumn("time", tick).drop("_first", "_tick")
-
-
 def insert_batch(
     steps: DataFrame,
     facts: DataFrame,
@@ -382,14 +376,13 @@ def insert_batch(
     """
     stored = stored or {}
 
-    def first(name: str, id_column: str) -> DataFrame | None:
-        return next_ids(stored[name], id_column) if name in stored else None
+    def first(name: str, id_column: str, clock: str | None = None) -> DataFrame | None:
+        return next_ids(stored[name], id_column, clock) if name in stored else None
 
     episodes = assign_ids(steps, ["insert_id", "trajectory_num", "turn_num"], "episodic_id", first("episodic", "episodic_id"))
-    semantic = assign_ids(without_blank(facts), ["insert_id", "fact_pos"], "semantic_id", first("semantic", "semantic_id"))
-    # the logical clock advances by one per inserted fact; merged facts take ids without moving it
+    # the logical clock advances by one per inserted fact; merged facts take ids without moving it, and without a graph there is none
     semantic = (
-        ticking(semantic, "semantic_id", stored.get("semantic"))
+        assign_ids(without_blank(facts).where("graph_id is not null"), ["insert_id", "fact_pos"], "semantic_id", first("semantic", "semantic_id", "time"), "time")
         .withColumn("tags", F.array_distinct("tags"))
         .withColumn("is_active", F.lit(True))
         .withColumn("credibility", F.lit(DEFAULT_CREDIBILITY))

@@ -5,7 +5,8 @@ checked first (one count over the keys). With a larger group each group is cut i
 leading order column (``order[0]`` must be a non-negative integer or null); a small per-block summary carries
 totals or the last row from block to block, and the windows run inside (group, block). Groups of any
 size then spread over the cluster and the outcome is the same. Missing keys form a group of their own on
-both routes.
+both routes. Group and block are one column, which the summary is joined by and the windows run over, so whole rows
+are dealt out once and not once for each.
 
 ``small`` hands on what is already known: keys refined from checked ones need no second count.
 """
@@ -13,7 +14,6 @@ both routes.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,49 +29,53 @@ def groups_are_small(df: DataFrame, keys: Sequence[str], limit: int | None = Non
     return largest is None or largest <= limit
 
 
-def _blocked(df: DataFrame, order: Sequence[str], span: int) -> DataFrame:
-    return df.withColumn("_block", F.floor(F.col(order[0]) / F.lit(span)))
+def _blocked(df: DataFrame, keys: Sequence[str], order: Sequence[str], span: int) -> DataFrame:
+    """Rows with ``_block``: their group and block. A struct is never null, and missing fields are equal to each other."""
+    group = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]
+    return df.withColumn("_block", F.struct(*group, F.floor(F.col(order[0]) / F.lit(span)).alias("block")))
 
 
-def _carried(blocked: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join each row to its block's summary; missing keys and blocks match each other."""
-    names = [*keys, "_block"]
-    other = carry.select(*[F.col(c).alias(f"_of{i}") for i, c in enumerate(names)], *[c for c in carry.columns if c not in names])
-    same = [F.col(c).eqNullSafe(F.col(f"_of{i}")) for i, c in enumerate(names)]
-    return blocked.join(other, reduce(Column.__and__, same)).drop(*[f"_of{i}" for i in range(len(names))])
+def _groups(keys: Sequence[str]) -> list[Column]:
+    return [F.col(f"_block.k{i}") for i in range(len(keys))]
 
 
 def running_sum(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, out: str, *, span: int = SPAN, small: bool | None = None
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, out: str, *, span: int = SPAN, small: bool | None = None,
+    known: DataFrame | None = None,
 ) -> DataFrame:
-    """Inclusive running total of ``value`` along ``order`` inside ``keys``."""
+    """Inclusive running total of ``value`` along ``order`` inside ``keys``.
+
+    Columns of ``known``, which has a row per group at most, are added to the rows on the way (null where it has none).
+    """
+    keys = list(keys)
     if groups_are_small(df, keys) if small is None else small:
+        df = df if known is None else df.join(known, keys, "left")
         whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(out, F.coalesce(F.sum(value).over(whole), F.lit(0)))
-    blocked = _blocked(df.withColumn("_value", value), order, span)
-    earlier = (
-        Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    )
+    blocked = _blocked(df.withColumn("_value", value), keys, order, span)
+    earlier = Window.partitionBy(*_groups(keys)).orderBy("_block.block").rowsBetween(Window.unboundedPreceding, -1)
     carry = (
-        blocked.groupBy(*keys, "_block")
+        blocked.groupBy("_block")
         .agg(F.sum("_value").alias("_total"))
-        .select(*keys, "_block", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_carry"))
-    )
-    inside = (
-        Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        .select("_block", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_carry"))
     )
+    if known is not None:
+        named = carry.select("*", *[g.alias(k) for g, k in zip(_groups(keys), keys)])
+        carry = named.join(known, keys, "left").drop(*keys)
+    inside = Window.partitionBy("_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        _carried(blocked, carry, keys)
+        blocked.join(carry, "_block")
         .withColumn(out, F.coalesce(F.sum("_value").over(inside), F.lit(0)) + F.col("_carry"))
         .drop("_block", "_value", "_carry")
     )
 
 
 def number_rows(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, *, start: int = 0, span: int = SPAN, small: bool | None = None
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, *, start: int = 0, span: int = SPAN, small: bool | None = None,
+    known: DataFrame | None = None,
 ) -> DataFrame:
-    """Dense row numbers along ``order`` inside ``keys``, from ``start``."""
-    ranked = running_sum(df, keys, order, F.lit(1).cast("bigint"), out, span=span, small=small)
+    """Dense row numbers along ``order`` inside ``keys``, from ``start``; ``known`` as in ``running_sum``."""
+    ranked = running_sum(df, keys, order, F.lit(1).cast("bigint"), out, span=span, small=small, known=known)
     return ranked.withColumn(out, F.col(out) + F.lit(start - 1))
 
 
@@ -82,19 +86,15 @@ def previous_row(
     if groups_are_small(df, keys) if small is None else small:
         whole = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn(out, F.lag(F.struct(*columns)).over(whole))
-    blocked = _blocked(df.withColumn("_row", F.struct(*columns)), order, span)
+    blocked = _blocked(df.withColumn("_row", F.struct(*columns)), keys, order, span)
     carry = (
-        blocked.groupBy(*keys, "_block")
+        blocked.groupBy("_block")
         .agg(F.max_by("_row", F.struct(*order)).alias("_last"))
-        .select(
-            *keys,
-            "_block",
-            F.lag("_last").over(Window.partitionBy(*keys).orderBy("_block")).alias("_carry"),
-        )
+        .select("_block", F.lag("_last").over(Window.partitionBy(*_groups(keys)).orderBy("_block.block")).alias("_carry"))
     )
-    inside = Window.partitionBy(*keys, "_block").orderBy(*order)
+    inside = Window.partitionBy("_block").orderBy(*order)
     return (
-        _carried(blocked, carry, keys)
+        blocked.join(carry, "_block")
         .withColumn(out, F.coalesce(F.lag("_row").over(inside), F.col("_carry")))
         .drop("_block", "_row", "_carry")
     )

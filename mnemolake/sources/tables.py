@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import re
 import uuid
 from collections.abc import Iterator
@@ -90,10 +91,26 @@ class MemoryStore:
         self._open["state"].apply(entry)
         self._open["entries"].append(entry)
 
+    def _take_out(self, before: State) -> None:
+        """Undo the last ``_write``, which was on the state ``before``; its folder stays."""
+        self._open["state"] = before
+        self._open["entries"].pop()
+
+    def _delete(self, table: str, entry: dict) -> None:
+        """Delete the folder of a write that was undone."""
+        path, system = self._hadoop(f"{self.path(table)}/commit={entry['commit']}")
+        system.delete(path, True)
+
     def _folder_names(self, graph_ids: DataFrame) -> list[str]:
         escape = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
         return [escape("graph_id", r["graph_id"]) for r in graph_ids.select("graph_id").distinct().collect()]
 
+    def _graph_ids(self, folders: list[str]) -> DataFrame:
+        """The graphs of folders as listed in the log: ``_folder_names`` the other way."""
+        utils = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+        names = [utils.unescapePathName(f.removeprefix("graph_id=")) for f in folders]
+        return self.spark.createDataFrame([(None if n == utils.DEFAULT_PARTITION_NAME() else n,) for n in names], "graph_id string")
+
     def compact(self, table: str) -> None:
         """Rewrite a table's live rows into one folder per graph."""
         with self.transaction():
@@ -118,13 +135,15 @@ class MemoryStore:
     def load(self, table: str, graph_id: str | None = None, version: int | None = None) -> DataFrame:
         """A table, or one graph of it, as of the newest version or an earlier one; an unwritten table is empty."""
         ddl = schema.GRAPHS if table == "graphs" else schema.TABLES[table]
-        paths = self._state(version).paths(table)
+        df = self._read(table, ddl, self._state(version).paths(table))
+        return df if graph_id is None else df.where(F.col("graph_id") == graph_id)
+
+    def _read(self, table: str, ddl: str, paths: list[str]) -> DataFrame:
         if not paths:
             return self.spark.createDataFrame([], ddl)
         base = self.path(table)
         df = self.spark.read.schema(f"{ddl}, commit string").option("basePath", base).parquet(*[f"{base}/{p}" for p in paths])
-        df = df.select(*[f.split()[0] for f in _columns(ddl)])
-        return df if graph_id is None else df.where(F.col("graph_id") == graph_id)
+        return df.select(*[f.split()[0] for f in _columns(ddl)])
 
     def load_all(self, graph_id: str | None = None, version: int | None = None) -> dict[str, DataFrame]:
         return {name: self.load(name, graph_id, version) for name in schema.TABLES}
@@ -166,21 +185,46 @@ class MemoryStore:
         A stored row with the same key and other content is no retry: that is refused, never dropped. Columns that
         were patched since do not count: a row is the same if it is what was inserted.
         """
-        shaped = self._shaped(table, rows).dropDuplicates(KEY[table])
+        self._appended(table, rows)
+
+    def _appended(self, table: str, rows: DataFrame) -> list[str]:
+        """``append``; the folders of the graphs that ``rows`` are of.
+
+        The rows are written first, so they are computed once and settled. What is stored or repeated is looked for by key and
+        hash in the files then; only if there is any are the rows written again without it.
+        """
+        key, ddl = KEY[table], schema.TABLES[table]
         with self.transaction():
-            state = self._state()
-            if state.paths(table):
-                graphs = shaped.select("graph_id").distinct()
-                fixed = [c for c in self.load(table).columns if c not in state.patched.get(table, ())]
+            before, shaped = copy.deepcopy(self._state()), self._shaped(table, rows)
+            self._write(table, shaped)
+            entry = self._open["entries"][-1]
+            graphs = entry["add"].get(table, [])
+            fresh = self._read(table, ddl, [f"commit={entry['commit']}"] if graphs else [])
+            repeated = bool(graphs) and not fresh.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").isEmpty()
+            kept = shaped.dropDuplicates(key) if repeated else fresh
+            known = None
+            if graphs and before.paths(table):
+                fixed = [c for c in fresh.columns if c not in before.patched.get(table, ())]
                 content = lambda df: F.xxhash64(*[df[c] for c in fixed])
-                stored = self.load(table).join(graphs, "graph_id", "left_semi")
-                stored = stored.select(*KEY[table], content(stored).alias("_stored"))
-                marked = shaped.withColumn("_content", content(shaped)).join(stored, KEY[table], "left")
-                clash = marked.where("_stored is not null and _stored <> _content").select(*KEY[table]).first()
+                stored = self._read(table, ddl, before.paths(table))
+                stored = stored.select(*key, content(stored).alias("_stored")).join(fresh.select("graph_id").distinct(), "graph_id", "left_semi")
+                known = checkpointed(kept.select(*key, content(kept).alias("_content")).join(stored, key))
+                clash = known.where("_stored <> _content").select(*key).first()
                 if clash is not None:
+                    self._take_out(before)
+                    self._delete(table, entry)
                     raise ValueError(f"{table}: {clash.asDict()} is stored with other content")
-                shaped = marked.where("_stored is null").drop("_stored", "_content")
-            self._write(table, shaped)
+                known = None if known.isEmpty() else known.select(*key)
+            if repeated or known is not None:
+                self._take_out(before)
+                self._write(table, kept if known is None else kept.join(known, key, "left_anti"))
+                self._delete(table, entry)
+            self._freed()
+        return graphs
+
+    def _freed(self) -> None:
+        """Let Spark delete the shuffle files of what is written: it does when the driver collects its garbage, which may be much later."""
+        self.spark._jvm.System.gc()
 
     @staticmethod
     def _balanced(rows: DataFrame) -> DataFrame:
@@ -237,17 +281,15 @@ class MemoryStore:
     def save_insert(self, rows: dict[str, DataFrame], batch: str | None = None) -> None:
         """Write the output of ``build.insert_batch`` as one commit.
 
-        Each table is settled before anything is written, so ids and links come from one state. A ``batch`` that is
-        committed already is left as it is.
+        Ids and links come from one state: ``rows`` read folders of the version they were built on, which never change. Each
+        table is computed once and written where it stays. A ``batch`` that is committed already is left as it is.
         """
         if batch is not None and self.committed(batch):
             return
-        settled = {name: checkpointed(df) for name, df in rows.items()}
         with self.transaction(batch):
-            self.create_graph(settled["semantic"].select("graph_id").unionByName(settled["episodic"].select("graph_id")))
-            for name in ("episodic", "semantic", "tag", "procedural", "edges"):
-                self.append(name, settled[name])
-            self.upsert("subgoal", settled["subgoal"])
+            graphs = {name: self._appended(name, rows[name]) for name in ("episodic", "semantic", "tag", "procedural", "edges")}
+            self.upsert("subgoal", rows["subgoal"])
+            self.create_graph(self._graph_ids(sorted({*graphs["semantic"], *graphs["episodic"]})))
 
     def save_consolidation(self, run: dict[str, DataFrame], batch: str | None = None) -> None:
         """Write the output of ``consolidate.consolidate`` as one commit: changed facts, merged facts and all their edges.

@@ -136,3 +136,31 @@ def test_a_group_of_whole_texts_is_dealt_to_many_tasks(spark):
     windows = [line[line.index("], [") :] for line in plan.split("\n") if "Window [" in line]
     # the outer one meets the texts, the inner one only a row per block
     assert len(windows) == 2 and "_block" in windows[0].split("], [")[1]
+
+
+def _shuffled_rows(node):
+    """Rows written by all exchanges of an executed plan."""
+    name = node.nodeName()
+    if name.startswith("AdaptiveSparkPlan"):
+        return _shuffled_rows(node.executedPlan())
+    if "QueryStage" in name:
+        return _shuffled_rows(node.plan())
+    children, own = node.children(), node.metrics().get("shuffleRecordsWritten").get().value() if name == "Exchange" else 0
+    return own + sum(_shuffled_rows(children.apply(i)) for i in range(children.size()))
+
+
+def test_blocked_rows_are_dealt_out_once(spark):
+    rows = spark.range(20_000, numPartitions=4).select(F.when(F.col("id") % 2 == 0, "g").alias("k"), "id", F.repeat(F.lit("x"), 100).alias("text"))
+    known = spark.createDataFrame([("g", 5)], "k string, first long")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for numbered in (number_rows(rows, ["k"], ["id"], "place", small=False, known=known), previous_row(rows, ["k"], ["id"], ["id"], "before", small=False)):
+            got = numbered.collect()
+            assert len(got) == 20_000
+            assert _shuffled_rows(numbered._jdf.queryExecution().executedPlan()) < 21_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    by_id = {r.id: (r.place, r.first) for r in number_rows(rows, ["k"], ["id"], "place", small=False, known=known).collect()}
+    assert by_id == {i: (i // 2, 5 if i % 2 == 0 else None) for i in range(20_000)}
+    assert by_id == {r.id: (r.place, r.first) for r in number_rows(rows, ["k"], ["id"], "place", small=True, known=known).collect()}

@@ -134,3 +134,28 @@ def test_a_block_is_one_file_however_its_rows_are_dealt(spark, tmp_path):
         tables.write_blocks(rows, "id", 20, str(tmp_path / "blocks"))
     assert len(list(tmp_path.glob("blocks/block=*/*.parquet"))) == 10
     assert spark.read.parquet(str(tmp_path / "blocks")).where("block = id div 20").count() == 200
+
+
+def test_an_insert_is_written_once_and_nowhere_else(spark, tmp_path, monkeypatch):
+    settled = []
+    monkeypatch.setattr(tables, "checkpointed", lambda df: settled.append(df.columns) or session.checkpointed(df))
+    store = MemoryStore(spark, str(tmp_path / "memory"))
+    _batch(spark, store, 1, ["a", "b", "c"])
+    _batch(spark, store, 1, ["a", "b", "c"])  # again: nothing is added
+    _batch(spark, store, 2, ["d"], batch_id=1)
+    assert sorted((r.semantic_id, r.text, r.time) for r in store.load("semantic").collect()) == [(0, "a", 0), (1, "b", 1), (2, "c", 2), (3, "d", 3)]
+    assert [r.graph_id for r in store.graphs().collect()] == ["g"]
+    # whole rows go to the store's files, not to checkpoints before
+    assert not any("text" in columns for columns in settled)
+    # no file without a reader is left by the first insert; the repeated one wrote its rows before it found them stored
+    live = store._state().live["semantic"]
+    assert {p.name[7:] for p in (tmp_path / "memory" / "semantic").glob("commit=*") if list(p.glob("graph_id=*"))} == set(live)
+
+
+def test_repeated_rows_of_an_append_are_added_once(spark, tmp_path):
+    store = MemoryStore(spark, str(tmp_path / "memory"))
+    rows = spark.createDataFrame([("g x/1", i // 2, f"t{i // 2}") for i in range(8)] + [("", 9, "none"), (None, 9, "none")], "graph_id string, semantic_id long, text string")
+    store.append("semantic", rows.limit(4))
+    store.append("semantic", rows)
+    store.append("semantic", rows.where("graph_id <> ''"))
+    assert sorted((r.graph_id or "", r.semantic_id, r.text) for r in store.load("semantic").collect()) == [("", 9, "none")] * 2 + [("g x/1", i, f"t{i}") for i in range(4)]
