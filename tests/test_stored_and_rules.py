@@ -159,3 +159,40 @@ def test_repeated_rows_of_an_append_are_added_once(spark, tmp_path):
     store.append("semantic", rows)
     store.append("semantic", rows.where("graph_id <> ''"))
     assert sorted((r.graph_id or "", r.semantic_id, r.text) for r in store.load("semantic").collect()) == [("", 9, "none")] * 2 + [("g x/1", i, f"t{i}") for i in range(4)]
+
+
+def _exchanges_of(plan, column):
+    """Exchanges of an executed plan that move a column."""
+    name = plan.nodeName()
+    if name.startswith("AdaptiveSparkPlan"):
+        return _exchanges_of(plan.executedPlan(), column)
+    if "QueryStage" in name:
+        return _exchanges_of(plan.plan(), column)
+    own = [plan.simpleString(200)] if name == "Exchange" and f"{column}#" in plan.output().toString() else []
+    children = plan.children()
+    return own + [x for i in range(children.size()) for x in _exchanges_of(children.apply(i), column)]
+
+
+def test_texts_of_an_insert_meet_ids_and_clock_without_being_dealt_by_graph(spark):
+    n = 20_000  # above the size that one window takes
+    ids = spark.range(n, numPartitions=4)
+    facts = ids.select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("graph_id"), F.col("id").alias("insert_id"), F.lit(0).alias("fact_pos"), F.lit(0).alias("trajectory_num"), F.lit(0).alias("turn_num"), F.concat(F.lit("t"), "id").alias("text"), F.array(F.lit("x")).alias("tags"))
+    facts = facts.unionByName(facts.limit(1).withColumn("graph_id", F.lit(None))).withColumn("embedding", F.array(F.lit(1.0)).cast("array<float>"))
+    steps = facts.select("graph_id", "insert_id", "trajectory_num", "turn_num", F.lit("o").alias("observation"), F.lit("").alias("action")).limit(5)
+    goals = facts.select("graph_id", "insert_id", F.lit(0).alias("proc_pos"), F.lit("s").alias("subgoal"), "text", "trajectory_num", "embedding", F.col("embedding").alias("subgoal_embedding")).limit(0)
+    stored = {"semantic": spark.createDataFrame([("a", 6, 3), ("a", 4, 2)], "graph_id string, semantic_id long, time long")}
+    old, rows_limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), ordered.GROUP_ROWS
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    ordered.GROUP_ROWS = 4096
+    try:
+        semantic = build.insert_batch(steps, facts, goals, stored)["semantic"].select("graph_id", "semantic_id", "insert_id", "time", "text", "tag_ids")
+        rows = semantic.collect()
+        moved = _exchanges_of(semantic._jdf.queryExecution().executedPlan(), "text")
+    finally:
+        ordered.GROUP_ROWS = rows_limit
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    first, tick = {"a": 7, "b": 0}, {"a": 4, "b": 0}
+    assert len(rows) == n and all(
+        (r.semantic_id, r.time, r.text, r.tag_ids) == (first[r.graph_id] + r.insert_id // 2, tick[r.graph_id] + r.insert_id // 2, f"t{r.insert_id}", [0]) for r in rows
+    )
+    assert len(moved) <= 2, moved  # to be numbered, and to meet their tags
